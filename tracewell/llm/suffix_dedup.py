@@ -3,9 +3,9 @@
 Every window of ``MINIMUM`` bytes is assigned to one anchor: the leftmost of its k-grams with the smallest hash. Equal
 windows have equal anchors at equal offsets, so a window can only repeat among the contexts of its anchor. Contexts
 (an anchor's windows in one text, as one string) that are equal are counted by partial aggregation: where there are
-two, all their windows repeat, and one of them stands for the rest. What remains are contexts that share an anchor and
-one of two halves beside it but are not equal: the ends of repeats. Only their bytes are shuffled, by anchor, and
-searched in bounded batches:
+two, all their windows repeat, and one of them stands for the rest. What remains are contexts that share an anchor but
+are not equal: the ends of repeats. Only their bytes are shuffled, by anchor, pruned by digests of what their windows
+must share, and searched in bounded batches:
 
 a suffix array (prefix doubling on what is still tied, no deeper than needed) gives the Burrows-Wheeler transform.
 Breadth-first backward extension then expands intervals level by level: an interval of w found at level l settles the
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,11 @@ MINIMUM = 400
 #: Bytes of an anchor (a power of two).
 ANCHOR = 64
 #: Bytes that a batch of suffixes, and a slice of texts, hold at most (a longer text makes a slice of its own).
-BATCH_BYTES, SLICE_BYTES = 3 << 20, 8 << 20
-#: An anchor with more contexts than fit a batch is split by windows.
-HOT_CONTEXTS = BATCH_BYTES // (MINIMUM + 200)
+BATCH_BYTES, SLICE_BYTES = 1 << 20, 4 << 20
+#: An anchor with more contexts (of 500 bytes about) is split by windows.
+HOT_CONTEXTS = 6000
+#: Contexts that are pruned at once, and the step of offsets in which they are compared for it.
+PRUNE_ROWS, CELL = 4000, 16
 #: Documents up to which a key set is broadcast: 8 bytes a key. Beyond it, both sides are shuffled.
 BROADCAST_KEYS = 1_000_000
 #: Bits of a place within a slice in a packed minimum; longer slices take 64-bit minima in two passes.
@@ -117,19 +120,15 @@ def long_contexts(text: bytes, minimum: int, anchor: int) -> Iterator[tuple[int,
 
 
 def records(docs: DataFrame, minimum: int = MINIMUM, anchor: int = ANCHOR) -> DataFrame:
-    """Every context of ``docs`` (key, text): anchor, context digest, the digests of both halves beside it, key, first and last window."""
-    half = (minimum - anchor) // 2
+    """Every context of ``docs`` (key, text): anchor, context digest, key, and ``at``, its place (see ``packed``)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
 
         def made(key: np.ndarray, view: memoryview, begin: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-            f, e, p = first.tolist(), (last + minimum).tolist(), place.tolist()
-            whole = np.fromiter((digest(view[a:b]) for a, b in zip(f, e, strict=True)), np.uint64, len(f))
-            left = [digest(view[c - half : c]) if c - a >= half else 0 for a, c in zip(f, p, strict=True)]
-            right = [digest(view[c : c + anchor + half]) if b - c >= anchor + half else 0 for b, c in zip(e, p, strict=True)]
-            ints = [np.array(x, np.uint64).view(np.int64) for x in (h, whole, left, right)]
-            return pa.RecordBatch.from_arrays([*map(pa.array, ints), pa.array(key), pa.array((first - begin).astype(np.int64)), pa.array((last - begin).astype(np.int64))], names=["anchor", "context", "left", "right", "key", "lo", "hi"])
+            whole = np.fromiter((digest(view[a:b]) for a, b in zip(first.tolist(), (last + minimum).tolist(), strict=True)), np.uint64, len(first))
+            at = packed(first - begin, last - first, place - first)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), whole.view(np.int64), key, at)], names=["anchor", "context", "key", "at"])
 
         for batch, texts in byte_slices(batches):
             key = batch.column("key").to_numpy()
@@ -143,7 +142,16 @@ def records(docs: DataFrame, minimum: int = MINIMUM, anchor: int = ANCHOR) -> Da
             if len(first):
                 yield made(key[text], memoryview(flat), (np.cumsum(sizes) - sizes)[text], first, last, place, h)
 
-    return docs.select("key", "text").mapInArrow(run, "anchor bigint, context bigint, left bigint, right bigint, key bigint, lo bigint, hi bigint")
+    return docs.select("key", "text").mapInArrow(run, "anchor bigint, context bigint, key bigint, at bigint")
+
+
+def packed(lo: np.ndarray, more: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """First window, further windows and the anchor's place behind the first window in one number."""
+    return lo << 32 | more << 16 | place
+
+
+def unpacked(at: int) -> tuple[int, int, int]:
+    return at >> 32, at >> 16 & 0xFFFF, at & 0xFFFF
 
 
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -247,55 +255,104 @@ def runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places[np.r_[0, gap + 1]], places[np.r_[gap, len(places) - 1]]
 
 
+class Row(NamedTuple):
+    """A context, or the part of it that may repeat: windows from ``lo`` on, the anchor's place in ``raw``."""
+
+    anchor: int
+    many: bool  # stands for equal ones elsewhere
+    key: int
+    lo: int
+    place: int
+    raw: bytes
+
+
+def pruned(rows: list[Row], minimum: int) -> list[Row]:
+    """What of the contexts of whole anchors may repeat.
+
+    Windows with their anchor at an offset from g to g + CELL - 1 all hold the ``minimum - CELL + 1`` bytes around the
+    anchor that begin at offset g; windows of two contexts can only be equal if these are. A context without such a
+    partner goes, and the others are trimmed to the offsets that have one.
+    """
+    seen: dict[tuple[int, int, int], int] = {}
+    cells = []
+    for r in rows:
+        own = []
+        view = memoryview(r.raw)
+        for g in range((r.place - (len(r.raw) - minimum)) // CELL, r.place // CELL + 1):
+            start = r.place - g * CELL
+            cell = (r.anchor, g, xxhash.xxh3_64_intdigest(view[max(start, 0) : start - CELL + 1 + minimum]))
+            seen[cell] = seen.get(cell, 0) + 1
+            own.append(cell)
+        cells.append(own)
+    out = []
+    for r, own in zip(rows, cells, strict=True):
+        shared = [c[1] for c in own if seen[c] > 1]
+        if shared:
+            first = max(0, r.place - shared[-1] * CELL - CELL + 1)
+            last = min(len(r.raw) - minimum, r.place - shared[0] * CELL)
+            out.append(Row(r.anchor, r.many, r.key, r.lo + first, r.place - first, r.raw[first : last + minimum]))
+    return out
+
+
 def batch_repeats(rows: DataFrame, minimum: int = MINIMUM) -> DataFrame:
-    """Rows (anchor, many, key, lo, bytes) to ranges (key, lo, hi) of repeated windows. ``many``: stands for equal ones elsewhere."""
+    """Rows (anchor, many, key, lo, place, raw) to ranges (key, lo, hi) of repeated windows."""
 
-    def search(held: list[tuple[int, bool, int, int, bytes]]) -> pa.RecordBatch:
+    def search(held: list[Row]) -> pa.RecordBatch:
         key, lo, hi = [], [], []
-        for (_, many, k, at, _), places in zip(held, repeated([r[4] for r in held], minimum), strict=True):
-            if len(places) and not many:
+        for r, places in zip(held, repeated([r.raw for r in held], minimum), strict=True):
+            if len(places) and not r.many:
                 first, last = runs(places)
-                key += [k] * len(first)
-                lo += (first + at).tolist()
-                hi += (last + at).tolist()
+                key += [r.key] * len(first)
+                lo += (first + r.lo).tolist()
+                hi += (last + r.lo).tolist()
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, lo, hi)], names=["key", "lo", "hi"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        size = 0
-        cut_at = 0  # rows of whole anchors so far
+        ready: list[Row] = []  # pruned rows of whole anchors
+        ready_bytes = 0
+        group: list[Row] = []  # rows of the anchor that is being read
+        pending: list[Row] = []  # rows of whole anchors, not yet pruned
+
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("anchor", "many", "key", "lo", "bytes")], strict=True):
-                if held and row[0] != held[-1][0]:
-                    cut_at = len(held)
-                    if size >= BATCH_BYTES // 2:
-                        yield search(held)
-                        held, size, cut_at = [], 0, 0
-                if size + len(row[4]) > BATCH_BYTES and cut_at:
-                    yield search(held[:cut_at])
-                    held, cut_at = held[cut_at:], 0
-                    size = sum(len(r[4]) for r in held)
-                held.append(row)
-                size += len(row[4])
-        if held:
-            yield search(held)
+            for row in map(Row._make, zip(*[batch.column(c).to_pylist() for c in Row._fields], strict=True)):
+                if group and row.anchor != group[-1].anchor:
+                    pending += group
+                    group = []
+                    if len(pending) >= PRUNE_ROWS:
+                        for r in pruned(pending, minimum):
+                            if ready and ready_bytes >= BATCH_BYTES and r.anchor != ready[-1].anchor:
+                                yield search(ready)
+                                ready, ready_bytes = [], 0
+                            ready.append(r)
+                            ready_bytes += len(r.raw)
+                        pending = []
+                group.append(row)
+        for r in pruned(pending + group, minimum):
+            if ready and ready_bytes >= BATCH_BYTES and r.anchor != ready[-1].anchor:
+                yield search(ready)
+                ready, ready_bytes = [], 0
+            ready.append(r)
+            ready_bytes += len(r.raw)
+        if ready:
+            yield search(ready)
 
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "key bigint, lo bigint, hi bigint")
 
 
 def context_rows(texts: DataFrame, minimum: int = MINIMUM) -> DataFrame:
-    """Rows (key, text, wanted) to the bytes of the wanted contexts; ``wanted`` holds (anchor, many, lo, hi)."""
+    """Rows (key, text, wanted) to the bytes of the wanted contexts; ``wanted`` holds (anchor, many, at)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in byte_slices(batches):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in Row._fields]
             for key, text, wanted in zip(batch.column("key").to_pylist(), raw, batch.column("wanted").to_pylist(), strict=True):
                 for w in wanted:
-                    for column, x in zip(out, (w["anchor"], w["many"], key, w["lo"], text[w["lo"] : w["hi"] + minimum]), strict=True):
+                    lo, more, place = unpacked(w["at"])
+                    for column, x in zip(out, (w["anchor"], w["many"], key, lo, place, text[lo : lo + more + minimum]), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "many", "key", "lo", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=list(Row._fields))
 
-    return texts.select("key", "text", "wanted").mapInArrow(run, "anchor bigint, many boolean, key bigint, lo bigint, bytes binary")
+    return texts.select("key", "text", "wanted").mapInArrow(run, "anchor bigint, many boolean, key bigint, lo bigint, place bigint, raw binary")
 
 
 def window_repeats(rows: DataFrame, minimum: int = MINIMUM) -> DataFrame:
@@ -303,7 +360,7 @@ def window_repeats(rows: DataFrame, minimum: int = MINIMUM) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for many, key, lo, raw in zip(*[batch.column(c).to_pylist() for c in ("many", "key", "lo", "bytes")], strict=True):
+            for many, key, lo, raw in zip(*[batch.column(c).to_pylist() for c in ("many", "key", "lo", "raw")], strict=True):
                 view, n = memoryview(raw), len(raw) - minimum + 1
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(view[i : i + minimum]) for i in range(n)], pa.binary()), pa.array([many] * n), pa.array([key] * n, pa.int64()), pa.array(range(lo, lo + n), pa.int64())], names=["window", "many", "key", "lo"])
 
@@ -322,22 +379,18 @@ def of_keys(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFr
 def repeated_windows(docs: DataFrame, minimum: int = MINIMUM, anchor: int = ANCHOR) -> DataFrame:
     """Ranges (key, lo, hi) of windows that start elsewhere too, over ``docs`` (key, text)."""
     found = records(docs, minimum, anchor)
-    classes = cut(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"), F.min(F.struct("key", "lo", "hi")).alias("at")))
+    classes = cut(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("first")))
     often = cut(classes.where("n > 1").select("anchor", "context"))
-    whole = of_keys(found.select("anchor", "context", "key", "lo", "hi"), often, ["anchor", "context"], "left_semi").select("key", "lo", "hi")
-    # Contexts that are not equal share a window only if they share the anchor and one of its sides.
-    shared = cut(classes.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("rarest")).where("k > 1 and rarest = 1"))
-    near = of_keys(classes, shared, ["anchor"], "left_semi")
-    side = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(s).alias("digest")) for k, s in enumerate(("left", "right"))]))
-    sides = near.select("anchor", "n", "at", side.alias("s")).select("anchor", "n", "at", "s.*").where("digest <> 0")
-    pairs = sides.groupBy("anchor", "side", "digest").agg(F.count("*").alias("k"), F.min("n").alias("rarest")).where("k > 1 and rarest = 1")
-    linked = cut(sides.join(pairs, ["anchor", "side", "digest"], "left_semi").select("anchor", (F.col("n") > 1).alias("many"), "at.*").distinct())
-    crowd = linked.groupBy("anchor").agg((F.count("*") > HOT_CONTEXTS).alias("hot"))
-    wanted = cut(linked.join(crowd, "anchor").groupBy("key").agg(F.collect_set(F.struct("anchor", "many", "lo", "hi", "hot")).alias("wanted")))
+    lo = F.shiftright("at", 32)
+    whole = of_keys(found, often, ["anchor", "context"], "left_semi").select("key", lo.alias("lo"), (lo + F.shiftright("at", 16).bitwiseAND(0xFFFF)).alias("hi"))
+    # Contexts that are not equal can share a window only with another one of their anchor.
+    shared = cut(classes.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("rarest")).where("k > 1 and rarest = 1").select("anchor", (F.col("k") > HOT_CONTEXTS).alias("hot")))
+    near = of_keys(classes, shared, ["anchor"], "left_semi").join(shared, "anchor")
+    wanted = cut(near.groupBy("first.key").agg(F.collect_set(F.struct("anchor", (F.col("n") > 1).alias("many"), "first.at", "hot")).alias("wanted")))
     texts = of_keys(docs, wanted, ["key"], "left_semi").dropDuplicates(["key"]).join(wanted, "key")
     pick = lambda hot: texts.withColumn("wanted", F.filter("wanted", lambda w: w["hot"] == F.lit(hot))).where(F.size("wanted") > 0)
     out = whole.unionByName(batch_repeats(context_rows(pick(False), minimum), minimum))
-    if crowd.where("hot").take(1):
+    if shared.where("hot").take(1):
         out = out.unionByName(window_repeats(context_rows(pick(True), minimum), minimum))
     return out
 
