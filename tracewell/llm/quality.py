@@ -91,7 +91,9 @@ def measured(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     # Only texts with a repeated window are sorted; the others hand on an empty array.
     some = F.when(F.size(F.array_distinct(q + "w")) < F.size(q + "w"), F.col(q + "w")).otherwise(F.array().cast("array<bigint>"))
     step = repeat_positions(step.select(*keep, *rest, some.alias(q + "w")), [*keep, *rest], q + "w", q + "at")
-    return step.select(*keep, *rest, covered(F.col(q + "at"), WINDOW).alias(q + "n_repeat_words"))
+    # A column that is not deterministic keeps filters above this step: pushed down, they would repeat it many times over.
+    fence = F.when(F.monotonically_increasing_id() >= 0, F.col(q + "n_words")).alias(q + "n_words")
+    return step.select(*keep, fence, *rest[1:], covered(F.col(q + "at"), WINDOW).alias(q + "n_repeat_words"))
 
 
 def with_rates(rows: DataFrame) -> DataFrame:
