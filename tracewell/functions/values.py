@@ -32,7 +32,7 @@ def request_headers(headers: Column, each: int = 8192, total: int = 16384) -> Co
 def retry_after_ms(value: Column, now: Column) -> Column:
     """Retry-After: seconds, or an HTTP date after ``now``; else 0."""
     seconds = F.when(F.trim(value).rlike(r"^(?:\d+(?:\.\d*)?|\.\d+)$"), F.trim(value).cast("double"))
-    date = F.try_to_timestamp(value, F.lit("EEE, dd MMM yyyy HH:mm:ss 'GMT'"))
+    date = F.try_to_timestamp(F.regexp_extract(value, r"^[A-Z][a-z]{2}, (\d{2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
     return F.coalesce(F.round(seconds * 1000).cast("long"), F.greatest(F.lit(0).cast("long"), F.unix_millis(date) - F.unix_millis(now)), F.lit(0).cast("long"))
 
 

@@ -32,10 +32,10 @@ def counted(stream: DataFrame, width: str = "1 hour", delay: str = "1 hour") ->
     return stream.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("value"))
 
 
-def ttl_cache(stream: DataFrame, key: str, ttl_ms: int) -> DataFrame:
+def ttl_cache(stream: DataFrame, key: str, ttl_ms: int, delay: str = "1 hour") -> DataFrame:
     """Hits and misses of a cache by key whose entries live ttl_ms: the state of a key is when its entry was fetched.
 
-    State of a key that is not seen for the TTL times out, so it stays bounded.
+    State of a key goes once the watermark has passed its last event by the TTL, so it stays bounded.
     """
     kind = stream.schema[key].dataType.simpleString()
 
@@ -51,10 +51,11 @@ def ttl_cache(stream: DataFrame, key: str, ttl_ms: int) -> DataFrame:
             else:
                 fetched, misses = t, misses + 1
         state.update((fetched, hits, misses))
-        state.setTimeoutDuration(max(1, ttl_ms))
+        state.setTimeoutTimestamp(max(times[-1] + ttl_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [k[0]], "hits": [hits], "misses": [misses]})
 
-    return stream.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, hits long, misses long", "fetched long, hits long, misses long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = stream.withWatermark("ts", delay)
+    return timed.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, hits long, misses long", "fetched long, hits long, misses long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def retries(stream: DataFrame, key: str, limits: Limits = Limits()) -> DataFrame:
