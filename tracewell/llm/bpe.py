@@ -29,8 +29,12 @@ from tracewell.llm.common import WordCache, text_slices
 #: Words of more bytes than this are merged one by one with a heap.
 HEAP_BYTES = 256
 #: Symbols that one batch of merge rounds holds at most.
-BATCH_SYMBOLS = 1 << 21
-NONE = np.iinfo(np.int64).max
+BATCH_SYMBOLS = 1 << 16
+#: Pre-tokens that a vocabulary remembers at most.
+CACHE_WORDS = 150_000
+#: Words that are done leave the arrays when fewer than this share still merge.
+RETIRE = 0.7
+NONE = np.iinfo(np.int32).max
 #: White space that str.split() takes and the tokenizer does not.
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -59,23 +63,27 @@ class Bpe:
             self.strings[i] = s
         self.width = len(self.strings)
         chars = byte_chars()
-        self.inner = np.array([vocab[c] for c in chars], np.int64)
-        self.last = np.array([vocab[c + self.end] for c in chars], np.int64)
+        self.inner = np.array([vocab[c] for c in chars], np.int32)
+        self.last = np.array([vocab[c + self.end] for c in chars], np.int32)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         key = np.array([vocab[a] * self.width + vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(key, kind="stable")
-        self.keys, self.ranks, self.made = key[order], order.astype(np.int64), made[order]
+        self.keys, self.made = key[order], made[order].astype(np.int32)
+        self.ranks = np.append(order, NONE).astype(np.int32)  # the last stands for no merge
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.pattern = regex.compile(split)
+        self.lined = regex.compile(split + "|\n")
+        self.forget()
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
 
     def normal(self, text: str) -> str:
         """NFC and lower case, character by character (a final sigma is no special case)."""
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Places of pair keys among the sorted ones; -1 where there is no such merge."""
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Places of pairs among the sorted pair keys; -1 where there is no such merge."""
+        keys = left.astype(np.int64) * self.width + right
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, at, -1)
 
@@ -83,7 +91,7 @@ class Bpe:
         """One word's merges, lowest rank and leftmost first, with a heap over a linked list."""
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        at = self.find(np.array(symbols[:-1], np.int64) * self.width + np.array(symbols[1:], np.int64))
+        at = self.find(np.array(symbols[:-1], np.int64), np.array(symbols[1:], np.int64))
         heap = [(int(self.ranks[a]), i, symbols[i], symbols[i + 1], int(self.made[a])) for i, a in enumerate(at) if a >= 0]
         heapq.heapify(heap)
         known: dict[tuple[int, int], tuple[int, int] | None] = {}
@@ -101,81 +109,113 @@ class Bpe:
                     continue
                 pair = (symbols[left], symbols[right])
                 if pair not in known:
-                    p = int(self.find(np.array([pair[0] * self.width + pair[1]]))[0])
+                    p = int(self.find(np.array(pair[:1]), np.array(pair[1:]))[0])
                     known[pair] = (int(self.ranks[p]), int(self.made[p])) if p >= 0 else None
                 if found := known[pair]:
                     heapq.heappush(heap, (found[0], left, *pair, found[1]))
         return [s for s in symbols if s >= 0]
 
-    def rounds(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word by merge rounds over one flat array of symbols."""
-        lengths = np.array([len(w) for w in words], np.int64)
-        flat = np.frombuffer(b"".join(words), np.uint8)
+    def rounds(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, given as their bytes in one array and their lengths: all ids in one array, and how many each word has.
+
+        A round looks up only the pairs that the round before has made.
+        """
         ids = self.inner[flat]
         ends = np.cumsum(lengths) - 1
         ids[ends] = self.last[flat[ends]]
-        owner = np.repeat(np.arange(len(words)), lengths)
+        owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        at = np.full(len(ids), -1, np.int32)  # the merge of each symbol with the next one
+        at[:-1] = self.find(ids[:-1], ids[1:])
+        at[ends] = -1
         done_ids, done_owner = [], []
         while len(ids):
-            at = self.find(ids[:-1] * self.width + ids[1:])
-            rank = np.full(len(ids), NONE)
-            rank[:-1] = np.where((at >= 0) & (owner[:-1] == owner[1:]), self.ranks[at], NONE)
-            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            rank = self.ranks[at]  # at -1 stands a rank above all
+            starts = np.flatnonzero(owner[1:] != owner[:-1])
+            starts = np.concatenate([starts[:0], [0], starts + 1])
             lowest = np.minimum.reduceat(rank, starts)
-            sizes = np.diff(np.r_[starts, len(ids)])
-            live = np.repeat(lowest < NONE, sizes)
-            if not live.all():
+            sizes = np.diff(np.append(starts, len(ids)))
+            live = lowest < NONE
+            hit = (rank == np.repeat(lowest, sizes)) & (rank < NONE)
+            if np.count_nonzero(live) < RETIRE * len(live):  # words that are done leave the arrays, many at a time
+                live = np.repeat(live, sizes)
                 done_ids.append(ids[~live])
                 done_owner.append(owner[~live])
-            best = np.repeat(lowest, sizes)[live]
-            hit = rank[live] == best
-            ids, owner, at = ids[live], owner[live], np.r_[at, -1][live]
-            if not len(ids):
-                break
+                ids, owner, at, hit = ids[live], owner[live], at[live], hit[live]
+                if not len(ids):
+                    break
             # Equal pairs that overlap (aaa) stand next to each other: every second one of a run merges.
-            place = np.arange(len(hit))
-            run = place - np.maximum.accumulate(np.where(hit, -1, place))
-            take = hit & (run % 2 == 1)
-            ids = np.where(take, self.made[at], ids)
-            keep = ~np.r_[False, take[:-1]]
-            ids, owner = ids[keep], owner[keep]
-        if not done_ids:
-            return [np.zeros(0, np.int64) for _ in words]
-        ids, owner = np.concatenate(done_ids), np.concatenate(done_owner)
-        order = np.argsort(owner, kind="stable")
-        counts = np.bincount(owner, minlength=len(words))
-        return np.split(ids[order], np.cumsum(counts)[:-1])
-
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of distinct pre-tokens, in bounded batches."""
-        out: list[np.ndarray | None] = [None] * len(words)
-        batch, held = [], 0
-        for i in sorted(range(len(words)), key=lambda i: len(words[i])):
-            if len(words[i]) > HEAP_BYTES:
-                raw = np.frombuffer(words[i], np.uint8)
-                out[i] = np.array(self.merge_long([*self.inner[raw[:-1]].tolist(), int(self.last[raw[-1]])]), np.int64)
+            if (hit[1:] & hit[:-1]).any():
+                place = np.arange(len(hit))
+                hit &= (place - np.maximum.accumulate(np.where(hit, -1, place))) % 2 == 1
+            where = np.flatnonzero(hit)
+            ids[where] = self.made[at[where]]
+            keep = np.ones(len(ids), bool)
+            keep[where + 1] = False
+            ids, owner, at = ids[keep], owner[keep], at[keep]
+            fresh = where - np.arange(len(where))  # each merge before it took one symbol away
+            at[fresh] = -1
+            before = fresh[fresh > 0] - 1
+            at[before] = -1
+            look = np.concatenate([fresh[fresh < len(ids) - 1], before])
+            look = look[owner[look] == owner[look + 1]]
+            at[look] = self.find(ids[look], ids[look + 1])
+        ids, owner = np.concatenate([*done_ids, ids[:0]]), np.concatenate([*done_owner, owner[:0]])
+        return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(lengths))
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pre-tokens in one array, and how many each has, in bounded batches."""
+        raw = np.frombuffer("\n".join([*words, ""]).encode(), np.uint8)
+        stops = np.flatnonzero(raw == 10)
+        lengths = np.diff(np.concatenate([[-1], stops])) - 1
+        ids, counts = [], []
+        k = 0
+        while k < len(words):
+            begin = int(stops[k - 1]) + 1 if k else 0
+            if lengths[k] > HEAP_BYTES:
+                word = raw[begin : stops[k]]
+                got = self.merge_long([*self.inner[word[:-1]].tolist(), int(self.last[word[-1]])])
+                ids.append(np.array(got, np.int32))
+                counts.append(np.array([len(got)]))
+                k += 1
                 continue
-            batch.append(i)
-            held += len(words[i])
-            if held >= BATCH_SYMBOLS:
-                for k, ids in zip(batch, self.rounds([words[k] for k in batch]), strict=True):
-                    out[k] = ids
-                batch, held = [], 0
-        if batch:
-            for k, ids in zip(batch, self.rounds([words[k] for k in batch]), strict=True):
-                out[k] = ids
-        return out
-
-    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
-        """Ids of chunks of text without white space: no pre-token crosses white space, so chunks stand alone."""
-        places: list[list[int]] = []
-        index: dict[bytes, int] = {}
-        for chunk in chunks:
-            found = [w.encode() for w in self.pattern.findall(self.normal(chunk))]
-            places.append([index.setdefault(w, len(index)) for w in found])
-        ids = self.encode_words(list(index))
-        empty = np.zeros(0, np.int64)
-        return [ids[p[0]] if len(p) == 1 else np.concatenate([ids[k] for k in p]) if p else empty for p in places]
+            end = max(k + 1, int(np.searchsorted(stops, begin + BATCH_SYMBOLS)))
+            over = np.flatnonzero(lengths[k:end] > HEAP_BYTES)
+            end = k + int(over[0]) if len(over) else end
+            part = raw[begin : stops[end - 1]]
+            a, b = self.rounds(part[part != 10], lengths[k:end])
+            ids.append(a)
+            counts.append(b)
+            k = end
+        none = np.zeros(0, np.int32)
+        return np.concatenate([none, *ids]), np.concatenate([none, *counts]).astype(np.int64)
+
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks of text without white space, as little-endian 32-bit numbers: no pre-token crosses white space."""
+        # All chunks are split by one search; the line feed after each is a token of its own, without ids.
+        tokens = self.lined.findall(self.normal("\n".join([*chunks, ""])))
+        if len(self.index) > CACHE_WORDS:
+            self.forget()
+        new = list(set(tokens).difference(self.index))
+        if new:
+            ids, counts = self.encode_words(new)
+            start = len(self.index)
+            self.index.update(zip(new, range(start, start + len(new)), strict=True))
+            ends = np.cumsum(counts)
+            self.first = np.concatenate([self.first, len(self.store) + ends - counts])
+            self.count = np.concatenate([self.count, counts])
+            self.store = np.concatenate([self.store, ids])
+        at = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
+        n = self.count[at]
+        total = np.cumsum(n)
+        flat = self.store[np.repeat(self.first[at] - (total - n), n) + np.arange(int(total[-1]) if len(total) else 0)]
+        raw = flat.astype("<u4").tobytes()
+        ends = (4 * total[at == 0]).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def forget(self) -> None:
+        """Start the memory of pre-tokens anew; the line feed is its first entry, without ids."""
+        self.index: dict[str, int] = {"\n": 0}
+        self.first, self.count, self.store = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def parts(self, text: str | None) -> list[str]:
         """White-space chunks of a text; special tokens stand as chunks of their own."""
@@ -193,11 +233,13 @@ class Bpe:
             return [c for c in SPACE.split(text) if c]
         return text.split()
 
-    def values(self, chunks: list[str]) -> list[np.ndarray]:
+    def values(self, chunks: list[str]) -> list[bytes]:
         """Like encode_chunks, with special tokens as chunks."""
+        if self.special.keys().isdisjoint(chunks):
+            return self.encode_chunks(chunks) if chunks else []
         plain = [c for c in chunks if c not in self.special]
-        known = dict(zip(plain, self.encode_chunks(plain), strict=True))
-        return [known[c] if c in known else np.array([self.special[c]], np.int64) for c in chunks]
+        known = dict(zip(plain, self.values(plain), strict=True))
+        return [known[c] if c in known else np.array([self.special[c]], "<u4").tobytes() for c in chunks]
 
 
 @functools.cache
@@ -206,6 +248,12 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
+@functools.cache
+def id_cache(path: str) -> WordCache:
+    """Chunk -> its ids as little-endian 32-bit numbers."""
+    return WordCache(load(path).values)
+
+
 @functools.cache
 def text_cache(path: str) -> WordCache:
     """Chunk -> (number of tokens, ids as text, tokens as text)."""
@@ -213,8 +261,8 @@ def text_cache(path: str) -> WordCache:
 
     def fill(chunks: list[str]) -> list[tuple[int, str, str]]:
         out = []
-        for ids in bpe.values(chunks):
-            ids = ids.tolist()
+        for raw in bpe.values(chunks):
+            ids = memoryview(raw).cast("I").tolist()
             out.append((len(ids), " ".join(map(str, ids)), " ".join([bpe.strings[i] for i in ids])))
         return out
 
@@ -235,7 +283,7 @@ def encode_decode(docs: DataFrame, path: str, id_column: str = "doc_id", digests
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch, texts in text_slices(batches):
             split = [bpe.parts(t) for t in texts]
-            known = cache.get_all([c for p in split for c in p])
+            known = cache.get_all(split)
             n, ids, tokens = [], [], []
             for p in split:
                 got = [v for v in map(known.__getitem__, p) if v[0]]

@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries that a worker's word cache holds at most; beyond that it starts anew, so memory stays bounded.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: Words longer than this many bytes are worked out each time and never cached.
 CACHE_WORD_BYTES = 200
 #: Bytes of text that one slice of an Arrow batch holds at most (a single longer text makes a slice of its own).
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,26 +66,24 @@ class WordCache:
     def __init__(self, fill: Callable[[list], list], limit: int = CACHE_WORDS) -> None:
         self.fill, self.limit, self.known = fill, limit, {}
 
-    def get_all(self, words: list) -> dict:
-        """A dictionary that has every one of ``words``."""
-        unseen = list({w for w in words if w not in self.known}) if self.known else list(set(words))
+    def get_all(self, split: list[list]) -> dict:
+        """A dictionary that has every word of the lists."""
+        wanted = set().union(*split)
+        unseen = list(wanted.difference(self.known))
         if not unseen:
             return self.known
         values = self.fill(unseen)
+        if len(self.known) + len(unseen) <= self.limit and max(map(len, unseen)) <= CACHE_WORD_BYTES:
+            self.known.update(zip(unseen, values, strict=True))
+            return self.known
+        # What this call needs stands beside the cache, which starts anew with what fits of it.
+        fresh = {w: self.known[w] for w in wanted if w in self.known}
+        fresh.update(zip(unseen, values, strict=True))
         if len(self.known) + len(unseen) > self.limit:
-            # What this call needs is kept beside the cache, and the cache starts anew with it.
-            fresh = {w: self.known[w] for w in set(words) if w in self.known}
-            fresh.update(zip(unseen, values, strict=True))
-            self.known = {w: v for w, v in fresh.items() if len(w) <= CACHE_WORD_BYTES} if len(fresh) <= self.limit else {}
-            return fresh
-        long = [w for w in unseen if len(w) > CACHE_WORD_BYTES]
-        if long:
-            out = dict(self.known)
-            out.update(zip(unseen, values, strict=True))
-            self.known.update((w, v) for w, v in zip(unseen, values, strict=True) if len(w) <= CACHE_WORD_BYTES)
-            return out
-        self.known.update(zip(unseen, values, strict=True))
-        return self.known
+            self.known = {}
+        if len(self.known) + len(fresh) <= self.limit:
+            self.known.update((w, v) for w, v in fresh.items() if len(w) <= CACHE_WORD_BYTES)
+        return fresh
 
 
 def lower_ascii(text: Column) -> Column:

@@ -15,7 +15,6 @@ Only the id and the text are read, so other columns cannot clash.
 from __future__ import annotations
 
 import bisect
-import functools
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm import bpe
-from tracewell.llm.common import WordCache, cut, text_slices
+from tracewell.llm.common import cut, text_slices
 
 CAPACITY = 2048
 #: Rows that one rank group holds about.
@@ -37,23 +36,16 @@ FILL_NODES, STATE_NODES = 4000, 3000
 Pattern = tuple[tuple[tuple[int, int], ...], int]  # ((length, how many), ...), how often
 
 
-@functools.cache
-def byte_cache(path: str) -> WordCache:
-    """Chunk -> its ids as little-endian 32-bit numbers."""
-    vocabulary = bpe.load(path)
-    return WordCache(lambda chunks: [ids.astype("<u4").tobytes() for ids in vocabulary.values(chunks)])
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, id_column: str = "doc_id") -> DataFrame:
     """Token pieces of every whole text: id, piece, start, length, ids_crc32. A narrow map."""
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, cache = bpe.load(path), byte_cache(path)
+        vocabulary, cache = bpe.load(path), bpe.id_cache(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch, texts in text_slices(batches):
             split = [vocabulary.parts(t) for t in texts]
-            known = cache.get_all([c for p in split for c in p])
+            known = cache.get_all(split)
             row, piece, start, length, crc = [], [], [], [], []
             for i, p in enumerate(split):
                 ids = b"".join([*map(known.__getitem__, p), end])

@@ -165,7 +165,7 @@ def load(path: str) -> Unigram:
 @functools.cache
 def count_cache(path: str) -> WordCache:
     unigram = load(path)
-    return WordCache(lambda words: unigram.counts([MARK + w for w in words]), limit=1_000_000)
+    return WordCache(lambda words: unigram.counts([MARK + w for w in words]), limit=600_000)
 
 
 def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id") -> DataFrame:
@@ -176,7 +176,7 @@ def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id") -> DataF
         cache = count_cache(path)
         for batch, texts in text_slices(batches):
             split = [t.split() if t else [] for t in texts]
-            known = cache.get_all([w for p in split for w in p])
+            known = cache.get_all(split)
             n = [sum(map(known.__getitem__, p)) for p in split]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(p) for p in split], pa.int64()), pa.array(n, pa.int64())], names=[id_column, "n_pretokens", "n_tokens"])
 
