@@ -61,7 +61,7 @@ def bounded(body: Column, most: int = MAX_BODY) -> Column:
 def read_journals(spark: SparkSession, path: str) -> DataFrame:
     """(run_id, line_no, raw) of NDJSON journals at <path>/<run_id>/attempts.ndjson. Lines of one journal (16 MiB at
     most) are numbered by their place in the whole file."""
-    whole = spark.read.option("wholetext", True).text(path).withColumn("run_id", F.element_at(F.split(F.input_file_name(), "/"), -2))
+    whole = spark.read.text(path, wholetext=True).withColumn("run_id", F.element_at(F.split(F.input_file_name(), "/"), -2))
     return whole.select("run_id", F.posexplode(F.split("value", "\n")).alias("line_no", "raw")).where("raw <> ''")
 
 
