@@ -168,7 +168,7 @@ class Labeller:
     def chunk_sums(self, chunks: list[str]) -> np.ndarray:
         """For each chunk the sums of its positions' probabilities, and the number of positions; zero without letters."""
         out = np.zeros((len(chunks), self.sums.shape[1]), np.float32)
-        spoken = [i for i, c in enumerate(chunks) if LETTER.search(c)]
+        spoken = [i for i, c in enumerate(chunks) if LETTER.search(c)] if self.model.languages else []
         spoken.sort(key=lambda i: len(chunks[i]))
         for at in range(0, len(spoken), RUN_WINDOWS):
             part = spoken[at : at + RUN_WINDOWS]
