@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import ann, bpe, language_id, license_scan, packing, quality, sharding, simhash, suffix_dedup, unigram
+from tracewell.llm import ann, bpe, language_id, license_scan, oracles, packing, quality, sharding, simhash, suffix_dedup, unigram
 from tracewell.llm.common import table
 
 
@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": oracles.quality_sql(), "op8_license_scan": oracles.license_sql()}
