@@ -56,6 +56,16 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iter
             yield part, part.column(column).to_pylist()
 
 
+#: The caches of this worker process.
+WORD_CACHES: list[WordCache] = []
+
+
+def forget_words() -> None:
+    """Empty this worker's caches: tasks that need the memory for something else begin with it."""
+    for cache in WORD_CACHES:
+        cache.known = {}
+
+
 class WordCache:
     """Values by word, filled for many unseen words at once.
 
@@ -65,6 +75,7 @@ class WordCache:
 
     def __init__(self, fill: Callable[[list], list], limit: int = CACHE_WORDS) -> None:
         self.fill, self.limit, self.known = fill, limit, {}
+        WORD_CACHES.append(self)
 
     def get_all(self, split: list[list]) -> dict:
         """A dictionary that has every word of the lists."""

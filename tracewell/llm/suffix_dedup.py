@@ -32,13 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut
+from tracewell.llm.common import cut, forget_words
 
 MINIMUM = 400
 #: Bytes of an anchor (a power of two).
 ANCHOR = 64
 #: Bytes that a batch of suffixes, and a slice of texts, hold at most (a longer text makes a slice of its own).
-BATCH_BYTES, SLICE_BYTES = 1 << 20, 4 << 20
+BATCH_BYTES, SLICE_BYTES = 1 << 20, 1 << 20
 #: An anchor with more contexts (of 500 bytes about) is split by windows.
 HOT_CONTEXTS = 6000
 #: Contexts that are pruned at once, and the step of offsets in which they are compared for it.
@@ -98,6 +98,7 @@ def contexts(flat: np.ndarray, sizes: np.ndarray, minimum: int = MINIMUM, anchor
 
 def byte_slices(batches: Iterable[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about ``most`` bytes of text, and the texts as bytes."""
+    forget_words()
     for batch in batches:
         column = batch.column("text").fill_null("").cast(pa.binary())
         sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
@@ -308,6 +309,7 @@ def batch_repeats(rows: DataFrame, minimum: int = MINIMUM) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, lo, hi)], names=["key", "lo", "hi"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         ready: list[Row] = []  # pruned rows of whole anchors
         ready_bytes = 0
         group: list[Row] = []  # rows of the anchor that is being read
