@@ -45,6 +45,48 @@ def test_traversal_of_a_cycle(spark):
     assert {r["url"]: r["parent"] for r in order.collect()} == {1: 0, 2: 1, 3: 2}
 
 
+LIMITS = {"pages": 100, "depth": 3, "frontier": 10, "bytes": 10_000, "wall_ms": 60_000, "delay_ms": 250, "concurrency": 1, "retries": 1, "redirects": 5}
+
+
+def site(**links):
+    return {u: {"links": list(to), "robots": True, "kind": "success", "code": "ok", "bytes": 10, "delay_ms": 0, "retries": 0, "redirects": 0} for u, to in links.items()}
+
+
+def states(rows):
+    return [(r["state"], r["url"], r["reason"]) for r in rows]
+
+
+def test_exact_crawl():
+    pages = site(s="ab", a="bs", b="c", c="")
+    rows, out = crawl.simulate("s", pages, LIMITS)
+    assert states(rows) == [("accepted", "s", None), ("accepted", "a", None), ("skipped", "b", "duplicate"), ("skipped", "s", "duplicate"), ("accepted", "b", None), ("accepted", "c", None)] and out["status"] == "ok"
+    rows, out = crawl.simulate("s", pages, LIMITS | {"pages": 2})
+    assert states(rows)[-1] == ("unvisited", "b", "max_pages") and (out["status"], out["limit"]) == ("partial", "max_pages")
+    rows, out = crawl.simulate("s", pages, LIMITS | {"bytes": 15})
+    assert ("blocked", "a", "hard_limit") in states(rows) and ("unvisited", "b", "max_bytes") in states(rows)
+    rows, out = crawl.simulate("s", pages, LIMITS | {"depth": 1})
+    assert ("unvisited", "c", "max_depth") in states(rows) and out["limit"] == "max_depth"
+    rows, out = crawl.simulate("s", pages, LIMITS | {"frontier": 1})
+    assert ("unvisited", "b", "max_frontier") in states(rows)
+    rows, out = crawl.simulate("s", pages, LIMITS | {"wall_ms": 400})
+    assert out["pages"] == 2 and ("unvisited", "b", "max_time") in states(rows)
+    pages["a"]["robots"] = False
+    rows, out = crawl.simulate("s", pages, LIMITS, lambda u, is_seed: "excluded" if u == "c" else None)
+    assert states(rows) == [("accepted", "s", None), ("blocked", "a", "robots_denied"), ("accepted", "b", None), ("skipped", "c", "excluded")] and out["status"] == "partial"
+    pages["s"]["robots"] = False
+    assert crawl.simulate("s", pages, LIMITS)[1]["status"] == "blocked"
+
+
+def test_edges(spark):
+    from tracewell.operators import admission
+
+    assert admission.comparable("::FFFF:1.2.3.4") == "1.2.3.4" and admission.comparable("[::1]") == "::1" and admission.comparable("x") is None
+    row = spark.range(1).select(admission.valid_relative_path(F.lit("a/b.json")).alias("a"), admission.valid_relative_path(F.lit("a/../b")).alias("b"), admission.valid_relative_path(F.lit("/a")).alias("c")).first()
+    assert tuple(row) == (True, False, False)
+    runs = admission.run_ids(spark.createDataFrame([(1_700_000_000_123, "k")], "ms long, k string"), "ms", "k")
+    assert runs.where(admission.valid_run_id(F.col("run_id"))).count() == 1
+
+
 def test_exact_schedule(spark):
     pages = spark.createDataFrame([("o", k, 0, 300, 2) for k in range(4)], "origin string, seq long, ready_ms long, delay_ms long, want_retries long")
     got = crawl.exact_schedule(pages, ["origin"], 3, 700, 250, 2).orderBy("seq").collect()

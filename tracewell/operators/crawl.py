@@ -126,3 +126,103 @@ def exact_schedule(pages: DataFrame, by: list[str], retries: int, wall_ms: int,
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*by, "seq"]) + ", start_ms long, offered long, retries_used long, reason string"
     return pages.groupBy(*by).applyInPandas(fold, schema)
+
+
+def simulate(seed: str, pages: dict[str, dict], limits: dict[str, int], scope=None) -> tuple[list[dict], dict]:  # noqa: ANN001
+    """One crawl in exact order over captured pages: its ledger and its summary.
+
+    A page holds ``links``, ``robots`` (allowed), ``kind`` and ``code`` of its outcome, ``bytes``, ``delay_ms``,
+    ``retries`` and ``redirects``. Limits: pages, depth, frontier, bytes, wall_ms, delay_ms, concurrency, retries,
+    redirects. ``scope(url, is_seed)`` gives a reason against a URL, or None. Batches are barriers: discoveries of a
+    batch are queued in the order of its dispatch.
+    """
+    queue: list[tuple[str, int]] = []
+    seen: set[str] = set()
+    rows: list[dict] = []
+    limit: str | None = None
+    retries, redirects, total, dispatched = limits["retries"], limits["redirects"], 0, 0
+    clock, gap, started = 0, 0, False
+
+    def note(state: str, url: str, depth: int, reason: str | None) -> None:
+        rows.append({"state": state, "url": url, "depth": depth, "reason": reason})
+
+    def offer(url: str, depth: int, is_seed: bool = False) -> None:
+        nonlocal limit
+        reason = "max_depth" if depth > limits["depth"] else scope(url, is_seed) if scope else None
+        reason = reason or ("duplicate" if url in seen else "max_frontier" if len(queue) >= limits["frontier"] else None)
+        if reason is None:
+            seen.add(url)
+            queue.append((url, depth))
+        elif reason in ("max_depth", "max_frontier"):
+            note("unvisited", url, depth, reason)
+            limit = limit or reason
+        else:
+            note("skipped", url, depth, reason)
+
+    offer(seed, 0, True)
+    stop = None
+    while queue and stop is None:
+        batch = []
+        while queue and len(batch) < limits["concurrency"] and stop is None:
+            url, depth = queue[0]
+            page = pages.get(url)
+            if clock >= limits["wall_ms"]:
+                stop = "max_time"
+            elif page is not None and not page["robots"]:
+                queue.pop(0)
+                note("blocked", url, depth, "robots_denied")
+            elif dispatched >= limits["pages"]:
+                stop = "max_pages"
+            elif total >= limits["bytes"]:
+                stop = "max_bytes"
+            else:
+                begin = clock + max(limits["delay_ms"], gap) if started else clock
+                if begin >= limits["wall_ms"]:
+                    stop = "max_time"
+                    continue
+                queue.pop(0)
+                clock, started, gap = begin, True, page["delay_ms"] if page else 0
+                dispatched += 1
+                # The first page of a batch is offered all that is left of the shared budgets.
+                batch.append((url, depth, page, (retries, redirects) if not batch else (0, 0)))
+        for url, depth, page, (may_retry, may_redirect) in batch:
+            if page is None:
+                note("blocked", url, depth, "not_found")
+                continue
+            retries -= min(may_retry, page["retries"])
+            redirects -= min(may_redirect, page["redirects"])
+            total += page["bytes"]
+            if total > limits["bytes"]:
+                note("blocked", url, depth, "hard_limit")
+                stop = stop or "max_bytes"
+            elif page["kind"] == "success":
+                note("accepted", url, depth, None)
+                for link in page["links"]:
+                    offer(link, depth + 1)
+            else:
+                note("blocked" if page["kind"] == "terminal" else "failed", url, depth, page["code"])
+    limit = limit or stop
+    for url, depth in queue:
+        note("unvisited", url, depth, stop)
+    n = {s: sum(r["state"] == s for r in rows) for s in ("accepted", "skipped", "blocked", "failed", "unvisited")}
+    whole = not (limit or n["blocked"] or n["failed"] or n["unvisited"])
+    status = ("ok" if whole else "partial") if n["accepted"] else "blocked" if n["blocked"] else "exhausted"
+    return rows, {"status": status, "limit": limit, "bytes": total, "pages": dispatched, "retries_left": retries, "redirects_left": redirects, **n}
+
+
+def crawl_exact(pages: DataFrame, by: list[str], limits: dict[str, int]) -> DataFrame:
+    """simulate() for every crawl: ``pages`` holds by, seed, url, links and the page columns. What a crawl can reach is
+    bounded by its page limit and frontier; pages beyond its depth are dropped before by bfs() where sites are large."""
+    kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
+    columns = ["links", "robots", "kind", "code", "bytes", "delay_ms", "retries", "redirects"]
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        site = {u: {**dict(zip(columns, v, strict=True)), "links": list(v[0])} for u, *v in rows[["url", *columns]].itertuples(index=False, name=None)}
+        ledger_rows, summary = simulate(rows["seed"].iloc[0], site, limits)
+        out = pd.DataFrame(ledger_rows, columns=["state", "url", "depth", "reason"]).assign(seq=range(len(ledger_rows)), status=summary["status"])
+        for c in by:
+            out[c] = rows[c].iloc[0]
+        return out
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + f", state string, url {kinds['url']}, depth int, reason string, seq long, status string"
+    return pages.groupBy(*by).applyInPandas(fold, schema)

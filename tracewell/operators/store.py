@@ -97,3 +97,15 @@ def missing_objects(lines: DataFrame, stored: DataFrame) -> DataFrame:
 def drift(expected: DataFrame, found: DataFrame) -> DataFrame:
     """Files whose hash differs from the recorded one, or that are gone."""
     return expected.join(found.select("name", F.col("sha256").alias("now")), "name", "left").where(~F.col("sha256").eqNullSafe(F.col("now"))).select("name", "sha256", "now")
+
+
+def commit_manifests(new: DataFrame, existing: DataFrame, faults: DataFrame) -> DataFrame:
+    """Manifests to append: written once, and only without faults."""
+    return new.dropDuplicates(["run_id"]).join(existing.select("run_id"), "run_id", "left_anti").join(faults.select("run_id"), "run_id", "left_anti")
+
+
+def cache_records(manifests: DataFrame, ttl_ms: int) -> DataFrame:
+    """Cache rows of committed ok manifests (run_id, fingerprint, source_hash, artifact_hash, fetched_at, revalidated_at): a
+    revalidated record keeps when it was fetched, and expires from when it was revalidated."""
+    base = F.coalesce("revalidated_at", "fetched_at")
+    return manifests.where("status = 'ok'").select("fingerprint", "run_id", "source_hash", "artifact_hash", "fetched_at", (base + F.make_dt_interval(secs=F.lit(ttl_ms / 1000))).alias("expires_at"))

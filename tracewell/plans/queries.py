@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import formats, ip, markup, urls, values
-from tracewell.operators import contracts, cost, crawl, redirects, retry, robots, search, store
+from tracewell.operators import admission, contracts, cost, crawl, redirects, retry, robots, search, store
 from tracewell.plans import jobs
 from tracewell.sources import capture
 from tracewell.streaming import jobs as streams
@@ -451,6 +451,50 @@ def crawl_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.ledger(part("accepted", None), skipped, part("blocked", "robots_denied"), part("failed", "not_found"), part("unvisited", "max_pages"))
 
 
+@query()
+def crawl_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawls of every origin in exact order: its pages link to the next ones of the origin."""
+    from pyspark.sql import Window
+
+    n = F.col("page_id")
+    pages = col(spark, sf_dir, "pages", urls.plain_parts(F.col("url"))["origin"].alias("origin"), n.alias("url"), F.octet_length("html").cast("long").alias("bytes"))
+    w = Window.partitionBy("origin").orderBy("url")
+    rows = pages.withColumn("links", F.array_compact(F.array(*[F.lead("url", k).over(w) for k in (1, 2, 3)]))).withColumn("seed", F.min("url").over(Window.partitionBy("origin")))
+    n = F.col("url")
+    rows = rows.withColumns({"robots": n % 7 != 0, "kind": F.when(n % 11 == 0, "terminal").otherwise("success"), "code": F.when(n % 11 == 0, "gone").otherwise("ok"), "delay_ms": n % 3 * 100, "retries": n % 2, "redirects": F.lit(0).cast("long")})
+    return crawl.crawl_exact(rows, ["origin"], {"pages": 5, "depth": 3, "frontier": 6, "bytes": 60_000, "wall_ms": 60_000, "delay_ms": 250, "concurrency": 2, "retries": 3, "redirects": 3})
+
+
+@query("""
+WITH a AS (SELECT s_suppkey, CAST(s_suppkey % 200 AS VARCHAR) AS d FROM supplier)
+SELECT s_suppkey, s_suppkey % 3 <> 1 AS matches, CASE s_suppkey % 5 WHEN 0 THEN 'method' WHEN 1 THEN 'bytes' WHEN 2 THEN 'redirects' END AS fault, CASE WHEN s_suppkey % 4 = 0 THEN 'secret_query' WHEN s_suppkey % 4 = 1 THEN 'unsafe_header' END AS fingerprint FROM a
+""")
+def edge_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peers, network intents and fingerprint inputs."""
+    k = F.col("s_suppkey")
+    d = (k % 200).cast("string")
+    peer = F.when(k % 3 == 0, F.concat(F.lit("::ffff:10.0.0."), d)).when(k % 3 == 1, "10.1.1.1").otherwise(F.concat(F.lit("10.0.0."), d))
+    url = F.concat(F.lit("https://a.com/?q=1"), F.when(k % 4 == 0, "&code=2").otherwise("&tokens=3"))
+    headers = F.create_map(F.when(k % 4 == 1, "x-session-id").otherwise("accept"), F.lit("v"))
+    rows = col(spark, sf_dir, "supplier", "s_suppkey", F.concat(F.lit("10.0.0."), d).alias("selected"), peer.alias("peer"))
+    fault = admission.intent_fault(F.when(k % 5 == 0, "POST").otherwise("get"), F.when(k % 5 == 1, 0).otherwise(10), F.lit(5), F.when(k % 5 == 2, 21).otherwise(5))
+    return rows.select("s_suppkey", admission.peer_matches(F.col("selected"), F.col("peer")).alias("matches"), fault.alias("fault"), admission.fingerprint_fault(url, headers).alias("fingerprint"))
+
+
+@query("""
+WITH m AS (SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 6 = 0 THEN 'blocked' ELSE 'ok' END AS status, o_custkey AS fingerprint, o_orderdate AS fetched_at FROM orders WHERE o_orderkey % 5 <> 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY fetched_at DESC, run_id DESC) AS n FROM m WHERE status = 'ok')
+SELECT fingerprint, run_id, fetched_at + INTERVAL 3600 SECOND AS expires_at FROM k WHERE n = 1
+""")
+def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests that are written once become cache rows, of which the last one of each fingerprint stays."""
+    k = F.col("o_orderkey")
+    new = col(spark, sf_dir, "orders", k.alias("run_id"), F.when(k % 6 == 0, "blocked").otherwise("ok").alias("status"), F.col("o_custkey").alias("fingerprint"), F.lit("s").alias("source_hash"), F.lit("a").alias("artifact_hash"), F.col("o_orderdate").alias("fetched_at"), F.lit(None).cast("timestamp_ntz").alias("revalidated_at"))
+    fresh = store.commit_manifests(new, new.where("run_id % 10 = 0"), new.where("run_id % 10 = 5"))
+    rows = store.cache_records(fresh, 3_600_000)
+    return store.latest(rows, "fingerprint", [F.desc("fetched_at"), F.desc("run_id")]).select("fingerprint", "run_id", "expires_at")
+
+
 LEDGER = "SELECT user_id AS run_id, event_id AS seq, CASE event_type WHEN 'click' THEN CASE WHEN user_id % 3 = 0 THEN 'skipped' ELSE 'accepted' END WHEN 'error' THEN 'blocked' WHEN 'view' THEN 'skipped' WHEN 'signup' THEN 'failed' ELSE 'unvisited' END AS state, CASE event_type WHEN 'error' THEN 'reason_' || (event_id % 3) END AS reason FROM events WHERE event_id % 3 <> 1"
 
 
