@@ -222,7 +222,9 @@ def test_simhash_components(spark, docs):
     assert collections.Counter((r["doc_id"], r["fp"] & (2**64 - 1)) for r in got) == collections.Counter((r["doc_id"], plain_fingerprint(r["text"])) for r in rows)
     assert simhash.near_duplicates(empty(spark)).count() == 0
     one = simhash.deduplicate(docs)
-    assert one.columns == docs.columns and one.count() == len({r["component_id"] for r in got})
+    ids = [r["doc_id"] for r in one.collect()]
+    assert one.columns == docs.columns and sorted(i for i in ids if i is not None) == sorted({r["component_id"] for r in got} - {None})
+    assert ids.count(None) == 1  # the null text stands under an id too
 
 
 @pytest.mark.parametrize("small", [1, 16])

@@ -181,8 +181,18 @@ def near_duplicates(docs: DataFrame, words_in: int = SHINGLE_WORDS, radius: int
 
 
 def deduplicate(docs: DataFrame, words_in: int = SHINGLE_WORDS, radius: int = RADIUS, id_column: str = "doc_id") -> DataFrame:
-    """One row of each group: that of its smallest id (any one of rows that repeat it), with all its columns."""
-    groups = near_duplicates(docs, words_in, radius, id_column)
-    kept = groups.where(F.col(id_column).eqNullSafe(F.col("component_id"))).select(F.col(id_column).alias("__kept")).distinct()
-    rows = docs.join(kept, docs[id_column].eqNullSafe(kept["__kept"]), "left_semi")
-    return rows.dropDuplicates([id_column])
+    """One row of each group: that of its smallest id (any one of rows that repeat it), with all its columns.
+
+    Documents without an id stay once for each text that no document with an id has. Texts are shuffled once, by id:
+    the semi-join and the removal of repeated ids share that exchange.
+    """
+    named = docs.where(F.col(id_column).isNotNull())
+    groups = near_duplicates(named, words_in, radius, id_column)
+    kept = groups.where(F.col(id_column) == F.col("component_id")).select(id_column).distinct()
+    rows = named.join(kept, id_column, "left_semi").dropDuplicates([id_column]).select(*docs.columns)
+    nameless = docs.where(F.col(id_column).isNull())
+    if not has(nameless.select(id_column)):
+        return rows
+    same = named.select(F.xxhash64("text").alias("__same")).distinct()
+    alone = nameless.dropDuplicates(["text"]).withColumn("__same", F.xxhash64("text")).join(same, "__same", "left_anti")
+    return rows.unionByName(alone.select(*docs.columns))
