@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tracewell.llm.common import WordCache, text_slices
+from tracewell.llm.common import WordCache, bounded, text_slices
 
 #: Words of more bytes than this are merged one by one with a heap.
 HEAP_BYTES = 256
@@ -294,4 +294,4 @@ def encode_decode(docs: DataFrame, path: str, id_column: str = "doc_id", digests
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(tokens, pa.string())], names=out)
 
     out = [id_column, "n_tokens", "ids_sha256", "decoded_sha256"] if digests else [id_column, "n_tokens", "ids", "decoded"]
-    return docs.select(id_column, "text").mapInArrow(run, f"`{id_column}` {kind}, n_tokens bigint, {out[2]} string, {out[3]} string")
+    return docs.select(id_column, "text").mapInArrow(bounded(run, keep_words=True), f"`{id_column}` {kind}, n_tokens bigint, {out[2]} string, {out[3]} string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -39,14 +41,14 @@ def has(df: DataFrame) -> bool:
     return bool(df.take(1))
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of the batches with about SLICE_BYTES of text each, and their texts, so that memory stays bounded."""
+def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of the batches with about ``most`` bytes of text each, and their texts, so that memory stays bounded."""
     for batch in batches:
         lengths = batch.column(column).fill_null("").cast(pa.large_string())
         sizes = pa.compute.binary_length(lengths).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(sizes):
-            if held and held + n > SLICE_BYTES:
+            if held and held + n > most:
                 part = batch.slice(start, i - start)
                 yield part, part.column(column).to_pylist()
                 start, held = i, 0
@@ -66,6 +68,25 @@ def forget_words() -> None:
         cache.known = {}
 
 
+def bounded(run: Callable, keep_words: bool = False) -> Callable:
+    """A map function that leaves its worker's memory as small as it found it: workers are used again, by other operators.
+
+    Word caches of earlier tasks are emptied first, unless the task itself uses them, and memory that was freed goes
+    back to the system in the end.
+    """
+
+    def wrapped(batches: Iterable) -> Iterator:
+        if not keep_words:
+            forget_words()
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return wrapped
+
+
 class WordCache:
     """Values by word, filled for many unseen words at once.
 

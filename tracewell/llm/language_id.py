@@ -24,13 +24,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import text_slices
+from tracewell.llm.common import bounded, text_slices
 
 PER_LANGUAGE, TRAIN_CHARS, MAX_LANGUAGES = 300, 20_000, 200
 HIDDEN, WINDOW, STEPS, BATCH, RATE, SEED = 16, 32, 400, 256, 0.02, 5
 FOLDS = 5
-#: Chunks that a worker remembers at most, and chunk windows that run through the network at once.
-CACHE_CHUNKS, RUN_WINDOWS = 400_000, 8192
+#: Chunks that a worker remembers at most, chunk windows that run through the network at once, and bytes of a slice of texts.
+CACHE_CHUNKS, RUN_WINDOWS, SLICE_BYTES = 200_000, 4096, 1 << 20
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
@@ -248,12 +248,12 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id") -> DataFra
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, most=SLICE_BYTES):
             names, score = labeller.label(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[id_column, "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_column), F.col("text"), held_out(id_column).alias("held_out"))
-    return rows.mapInArrow(run, f"`{id_column}` {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(bounded(run), f"`{id_column}` {kind}, held_out boolean, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
@@ -261,8 +261,8 @@ def identified(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, most=SLICE_BYTES):
             names, score = labeller.label(texts)
             yield batch.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, score.tolist(), strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(bounded(run), docs.schema)

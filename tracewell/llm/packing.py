@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm import bpe
-from tracewell.llm.common import cut, text_slices
+from tracewell.llm.common import bounded, cut, text_slices
 
 CAPACITY = 2048
 #: Rows that one rank group holds about.
@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
                     crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=[id_column, "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(id_column, "text").mapInArrow(run, f"`{id_column}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return docs.select(id_column, "text").mapInArrow(bounded(run, keep_words=True), f"`{id_column}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def lower_bound(counts: dict[int, int], capacity: int = CAPACITY) -> int:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut, has, text_slices
+from tracewell.llm.common import bounded, cut, has, text_slices
 
 SHINGLE_WORDS, RADIUS, HASH_SEED = 3, 3, 42
 SEGMENTS, SEGMENT_BITS = 4, 16
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, words_in: int = SHINGLE_WORDS, id_column: str
             fp = np.array([fingerprint(shingle_hashes(t, words_in)) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=[id_column, "fp"])
 
-    return docs.select(id_column, "text").mapInArrow(run, f"`{id_column}` {kind}, fp bigint")
+    return docs.select(id_column, "text").mapInArrow(bounded(run), f"`{id_column}` {kind}, fp bigint")
 
 
 def budgets(radius: int = RADIUS) -> list[int]:
@@ -146,7 +146,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         if len(held_key):
             yield made(held_key, held_fp)
 
-    return keyed.select("key", "fp").mapInArrow(run, "a bigint, b bigint")
+    return keyed.select("key", "fp").mapInArrow(bounded(run), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:

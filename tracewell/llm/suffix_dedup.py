@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut, forget_words
+from tracewell.llm.common import bounded, cut
 
 MINIMUM = 400
 #: Bytes of an anchor (a power of two).
@@ -98,7 +98,6 @@ def contexts(flat: np.ndarray, sizes: np.ndarray, minimum: int = MINIMUM, anchor
 
 def byte_slices(batches: Iterable[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about ``most`` bytes of text, and the texts as bytes."""
-    forget_words()
     for batch in batches:
         column = batch.column("text").fill_null("").cast(pa.binary())
         sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
@@ -143,7 +142,7 @@ def records(docs: DataFrame, minimum: int = MINIMUM, anchor: int = ANCHOR) -> Da
             if len(first):
                 yield made(key[text], memoryview(flat), (np.cumsum(sizes) - sizes)[text], first, last, place, h)
 
-    return docs.select("key", "text").mapInArrow(run, "anchor bigint, context bigint, key bigint, at bigint")
+    return docs.select("key", "text").mapInArrow(bounded(run), "anchor bigint, context bigint, key bigint, at bigint")
 
 
 def packed(lo: np.ndarray, more: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -309,7 +308,6 @@ def batch_repeats(rows: DataFrame, minimum: int = MINIMUM) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, lo, hi)], names=["key", "lo", "hi"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_words()
         ready: list[Row] = []  # pruned rows of whole anchors
         ready_bytes = 0
         group: list[Row] = []  # rows of the anchor that is being read
@@ -338,7 +336,7 @@ def batch_repeats(rows: DataFrame, minimum: int = MINIMUM) -> DataFrame:
         if ready:
             yield search(ready)
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "key bigint, lo bigint, hi bigint")
+    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(bounded(run), "key bigint, lo bigint, hi bigint")
 
 
 def context_rows(texts: DataFrame, minimum: int = MINIMUM) -> DataFrame:
@@ -354,7 +352,7 @@ def context_rows(texts: DataFrame, minimum: int = MINIMUM) -> DataFrame:
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=list(Row._fields))
 
-    return texts.select("key", "text", "wanted").mapInArrow(run, "anchor bigint, many boolean, key bigint, lo bigint, place bigint, raw binary")
+    return texts.select("key", "text", "wanted").mapInArrow(bounded(run), "anchor bigint, many boolean, key bigint, lo bigint, place bigint, raw binary")
 
 
 def window_repeats(rows: DataFrame, minimum: int = MINIMUM) -> DataFrame:
@@ -366,7 +364,7 @@ def window_repeats(rows: DataFrame, minimum: int = MINIMUM) -> DataFrame:
                 view, n = memoryview(raw), len(raw) - minimum + 1
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(view[i : i + minimum]) for i in range(n)], pa.binary()), pa.array([many] * n), pa.array([key] * n, pa.int64()), pa.array(range(lo, lo + n), pa.int64())], names=["window", "many", "key", "lo"])
 
-    windows = cut(rows.mapInArrow(run, "window binary, many boolean, key bigint, lo bigint"))
+    windows = cut(rows.mapInArrow(bounded(run), "window binary, many boolean, key bigint, lo bigint"))
     often = windows.groupBy("window").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("n")).where("n > 1")
     return windows.where("not many").join(often, "window", "left_semi").select("key", "lo", F.col("lo").alias("hi"))
 
@@ -442,7 +440,7 @@ def kept_digests(docs: DataFrame, minimum: int = MINIMUM, anchor: int = ANCHOR,
                 sha.append(kept.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (n, gone, count)], pa.array(sha, pa.string())], names=[id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    changed = touched.select(id_column, "text", "spans").mapInArrow(run, f"`{id_column}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    changed = touched.select(id_column, "text", "spans").mapInArrow(bounded(run), f"`{id_column}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     text = F.coalesce("text", F.lit(""))
     same = rest.select(id_column, F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
     return changed.unionByName(same)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracewell.llm.common import WordCache, text_slices
+from tracewell.llm.common import WordCache, bounded, text_slices
 
 MARK = "▁"
 #: Pre-tokens of more characters are worked out one at a time.
@@ -180,4 +180,4 @@ def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id") -> DataF
             n = [sum(map(known.__getitem__, p)) for p in split]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(p) for p in split], pa.int64()), pa.array(n, pa.int64())], names=[id_column, "n_pretokens", "n_tokens"])
 
-    return docs.select(id_column, "text").mapInArrow(run, f"`{id_column}` {kind}, n_pretokens bigint, n_tokens bigint")
+    return docs.select(id_column, "text").mapInArrow(bounded(run, keep_words=True), f"`{id_column}` {kind}, n_pretokens bigint, n_tokens bigint")
