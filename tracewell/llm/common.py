@@ -8,6 +8,7 @@ import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +45,7 @@ def has(df: DataFrame) -> bool:
 def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Slices of the batches with about ``most`` bytes of text each, and their texts, so that memory stays bounded."""
     for batch in batches:
-        lengths = batch.column(column).fill_null("").cast(pa.large_string())
-        sizes = pa.compute.binary_length(lengths).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(sizes):
             if held and held + n > most:

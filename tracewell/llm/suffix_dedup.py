@@ -99,16 +99,16 @@ def contexts(flat: np.ndarray, sizes: np.ndarray, minimum: int = MINIMUM, anchor
 def byte_slices(batches: Iterable[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about ``most`` bytes of text, and the texts as bytes."""
     for batch in batches:
-        column = batch.column("text").fill_null("").cast(pa.binary())
-        sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
+        raw = lambda part: part.column("text").fill_null("").cast(pa.binary()).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(sizes):
             if held and held + n > most:
-                yield batch.slice(start, i - start), column.slice(start, i - start).to_pylist()
+                yield (part := batch.slice(start, i - start)), raw(part)
                 start, held = i, 0
             held += int(n)
         if start < batch.num_rows:
-            yield batch.slice(start), column.slice(start).to_pylist()
+            yield (part := batch.slice(start)), raw(part)
 
 
 def long_contexts(text: bytes, minimum: int, anchor: int) -> Iterator[tuple[int, np.ndarray, tuple[np.ndarray, ...]]]:
