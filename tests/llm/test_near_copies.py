@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from tracewell.llm import simhash
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -55,3 +56,11 @@ def test_stage_keeps_one_row_of_each_group(spark):
     out = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted(r["doc_id"] or 0 for r in out) == [0, 1, 1] and {a, b} == {r["text"] for r in out if r["doc_id"]}
     assert corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
+
+
+def test_simhash_keeps_one_row_of_each_group(spark):
+    rnd = random.Random(5)
+    a, b, c = (" ".join(f"w{rnd.randrange(5000)}" for _ in range(200)) for _ in range(3))
+    rows = [(1, a, "x"), (1, b, "x"), (None, a.upper(), "x"), (None, c, "x"), (None, c.upper(), "x"), (7, a, "x"), (7, a, "x")]
+    out = simhash.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r["doc_id"] or 0 for r in out) == [0, 1, 1] and {a, b} == {r["text"] for r in out if r["doc_id"]}

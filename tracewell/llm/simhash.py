@@ -180,19 +180,19 @@ def near_duplicates(docs: DataFrame, words_in: int = SHINGLE_WORDS, radius: int
     return marked.join(named, "fp").select(id_column, "fp", "component_id")
 
 
+def keyed(docs: DataFrame, id_column: str) -> DataFrame:
+    """The documents with a key of each row's own; rows that share it are equal in id and text."""
+    return docs.withColumn("__key", F.xxhash64(F.col(id_column).isNull(), id_column, F.col("text").isNull(), "text"))
+
+
 def deduplicate(docs: DataFrame, words_in: int = SHINGLE_WORDS, radius: int = RADIUS, id_column: str = "doc_id") -> DataFrame:
-    """One row of each group: that of its smallest id (any one of rows that repeat it), with all its columns.
+    """One row of each group: that of its smallest id, rows without an id last, with all its columns.
 
-    Documents without an id stay once for each text that no document with an id has. Texts are shuffled once, by id:
-    the semi-join and the removal of repeated ids share that exchange.
+    Each row has a key of its own, which only rows with equal id and text share; ids may repeat or be null. Texts are
+    shuffled once, by key: the semi-join and the removal of repeated keys share that exchange.
     """
-    named = docs.where(F.col(id_column).isNotNull())
-    groups = near_duplicates(named, words_in, radius, id_column)
-    kept = groups.where(F.col(id_column) == F.col("component_id")).select(id_column).distinct()
-    rows = named.join(kept, id_column, "left_semi").dropDuplicates([id_column]).select(*docs.columns)
-    nameless = docs.where(F.col(id_column).isNull())
-    if not has(nameless.select(id_column)):
-        return rows
-    same = named.select(F.xxhash64("text").alias("__same")).distinct()
-    alone = nameless.dropDuplicates(["text"]).withColumn("__same", F.xxhash64("text")).join(same, "__same", "left_anti")
-    return rows.unionByName(alone.select(*docs.columns))
+    rows = keyed(docs, id_column)
+    groups = near_duplicates(rows, words_in, radius, "__key").distinct()
+    named = groups.join(rows.select("__key", F.col(id_column).alias("__id")), "__key")
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.isnull("__id"), "__id", "__key")).alias("best")).select(F.col("best.__key").alias("__key"))
+    return rows.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
