@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tests.llm import plain
 from tracewell.llm import ann, bpe, language_id, license_scan, packing, quality, queries, sharding, simhash, suffix_dedup, unigram
 
 WORD_BPE, PIECES = queries.tokenizer("word_bpe_49k.json"), queries.tokenizer("piece_bpe_32k.model")
@@ -165,15 +166,21 @@ def test_bin_completion_against_exhaustive_search():
         assert used == collections.Counter(sizes) and sum(t for _, t in patterns) == least_bins(sizes, 20)
 
 
-def brute_repeats(raws, m):
-    seen = collections.Counter(r[i : i + m] for r in raws for i in range(len(r) - m + 1))
+def brute_repeats(raws, m, passage, words):
+    def gone(raws, m):
+        seen = collections.Counter(r[i : i + m] for r in raws for i in range(len(r) - m + 1))
+        for r in raws:
+            out = bytearray(len(r))
+            for i in range(len(r) - m + 1):
+                if seen[r[i : i + m]] > 1:
+                    out[i : i + m] = b"\1" * m
+            yield out
+
     out = []
-    for r in raws:
-        gone = bytearray(len(r))
-        for i in range(len(r) - m + 1):
-            if seen[r[i : i + m]] > 1:
-                gone[i : i + m] = b"\1" * m
-        out.append((len(r), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(bytes(b for b, g in zip(r, gone, strict=True) if not g)).hexdigest()))
+    for r, g, p in zip(raws, gone(raws, m), gone(raws, passage), strict=True):
+        sha = hashlib.sha256(bytes(b for b, x in zip(r, g, strict=True) if not x)).hexdigest()
+        runs = [len(r[x.start() : x.end()].split()) for x in re.finditer(b"\1+", p)]
+        out.append((len(r), sum(g), len(re.findall(b"\1+", g)), sha, sum(n for n in runs if n >= words)))
     return out
 
 
@@ -192,13 +199,33 @@ def test_suffix_array_and_intervals():
 def test_suffix_dedup(spark, docs, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", hot)
     rows = docs.collect()
-    want = collections.Counter((r["doc_id"], *w) for r, w in zip(rows, brute_repeats([(r["text"] or "").encode() for r in rows], 80), strict=True))
-    assert collections.Counter(map(tuple, suffix_dedup.kept_digests(docs, 80, 16).collect())) == want
-    kept = suffix_dedup.remove_repeats(docs, 80, 16)
-    assert kept.columns == docs.columns and kept.count() == docs.count()
+    want = collections.Counter((r["doc_id"], *w) for r, w in zip(rows, brute_repeats([(r["text"] or "").encode() for r in rows], 80, 50, 8), strict=True))
+    assert collections.Counter(map(tuple, suffix_dedup.kept_digests(docs, 80, 16, passage=50, passage_anchor=16, passage_words=8).collect())) == want
+    assert {bool(k[-1]) for k in want} == {True, False}
     assert suffix_dedup.kept_digests(empty(spark)).count() == 0
 
 
+def test_repeats_leave_other_columns_alone(spark, docs):
+    clash = docs.withColumns({"spans": F.lit("s"), "rest": F.col("doc_id") * 2, "id": F.lit(None).cast("int"), "key": F.lit(7)})
+    rows = clash.collect()
+    kept = plain.without_repeats({k: r["text"] or "" for k, r in enumerate(rows)}, 80)
+    want = collections.Counter((*r[:1], r["text"] and kept[k], *r[2:]) for k, r in enumerate(rows))
+    out = suffix_dedup.remove_repeats(clash, 80, 16)
+    assert out.columns == clash.columns and collections.Counter(map(tuple, out.collect())) == want
+    assert any(kept[k] != (r["text"] or "") for k, r in enumerate(rows))
+
+
+def test_suffix_dedup_with_production_parameters(spark):
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("etaoinshr") for _ in range(rnd.randint(1, 9))) for _ in range(500)]
+    long = [" ".join(rnd.choice(words) for _ in range(rnd.randint(60, 600))) for _ in range(30)]
+    passages = [" ".join(rnd.choice(words) for _ in range(n)) for n in (51, 55, 90, 200)]
+    rows = long + [a[:300] + p + a[300:] for p in passages for a in rnd.sample(long, 3)] + long[:3] + [passages[3] * 3]
+    df = frame(spark, enumerate(rows))
+    want = collections.Counter((i, *w) for i, w in enumerate(brute_repeats([r.encode() for r in rows], 400, 240, 50)))
+    assert collections.Counter(map(tuple, suffix_dedup.kept_digests(df).collect())) == want
+
+
 def test_long_texts_in_blocks(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PLACE_BITS", 10)
     raw = "".join(texts()[12:20]).encode()[:2000]

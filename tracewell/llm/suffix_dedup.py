@@ -15,8 +15,13 @@ boundaries that are not settled by then are those of suffixes which share MINIMU
 An anchor with more contexts than a batch holds is split by the windows themselves: their 128-bit digests are counted
 by partial aggregation. Nothing is collected on the driver.
 
-Defined results: a null text is empty; texts under MINIMUM bytes lose nothing. Rows that repeat a whole row count as
-copies of each other. An empty table gives an empty result. Only the id and the text are read.
+Beside the bytes that go, ``kept_digests`` counts the words of passages: runs of strings of ``PASSAGE`` bytes that stand
+elsewhere too, of ``PASSAGE_WORDS`` words or more. They are found in the same way, by a search of their own.
+
+Defined results: a null text is empty; texts under MINIMUM bytes lose nothing. Rows are told apart by 128 bits of their
+id and text, so rows that repeat a whole row count as copies of each other, and null or repeated ids are no exception.
+An empty table gives an empty result. Columns other than the id and the text pass through ``remove_repeats`` as one
+struct, so their names cannot clash. What a text holds at once (its contexts and spans) is in proportion to its length.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import bounded, cut
@@ -37,13 +42,15 @@ from tracewell.llm.common import bounded, cut
 MINIMUM = 400
 #: Bytes of an anchor (a power of two).
 ANCHOR = 64
+#: Strings that make up passages, the anchors within them, and the words from which a run of them is a passage.
+PASSAGE, PASSAGE_ANCHOR, PASSAGE_WORDS = 240, 32, 50
 #: Bytes that a batch of suffixes, and a slice of texts, hold at most (a longer text makes a slice of its own).
-BATCH_BYTES, SLICE_BYTES = 1 << 20, 1 << 20
+BATCH_BYTES, SLICE_BYTES = 1 << 19, 1 << 20
 #: An anchor with more contexts (of 500 bytes about) is split by windows.
 HOT_CONTEXTS = 6000
 #: Contexts that are pruned at once, and the step of offsets in which they are compared for it.
 PRUNE_ROWS, CELL = 4000, 16
-#: Documents up to which a key set is broadcast: 8 bytes a key. Beyond it, both sides are shuffled.
+#: Keys up to which a key set is broadcast: 16 bytes a key. Beyond it, both sides are shuffled.
 BROADCAST_KEYS = 1_000_000
 #: Bits of a place within a slice in a packed minimum; longer slices take 64-bit minima in two passes.
 PLACE_BITS = 26
@@ -125,24 +132,24 @@ def records(docs: DataFrame, minimum: int = MINIMUM, anchor: int = ANCHOR) -> Da
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
 
-        def made(key: np.ndarray, view: memoryview, begin: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        def made(key: pa.Array, view: memoryview, begin: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
             whole = np.fromiter((digest(view[a:b]) for a, b in zip(first.tolist(), (last + minimum).tolist(), strict=True)), np.uint64, len(first))
             at = packed(first - begin, last - first, place - first)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), whole.view(np.int64), key, at)], names=["anchor", "context", "key", "at"])
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(whole.view(np.int64)), key, pa.array(at)], names=["anchor", "context", "key", "at"])
 
         for batch, texts in byte_slices(batches):
-            key = batch.column("key").to_numpy()
+            key = batch.column("key")
             if len(texts) == 1 and len(texts[0]) > SLICE_BYTES:
                 for at, part, (_, first, last, place, h) in long_contexts(texts[0], minimum, anchor):
-                    yield made(np.repeat(key, len(first)), memoryview(part), np.full(len(first), -at), first, last, place, h)
+                    yield made(key.take(pa.array(np.zeros(len(first), np.int64))), memoryview(part), np.full(len(first), -at), first, last, place, h)
                 continue
             sizes = np.array([len(t) for t in texts], np.int64)
             flat = np.frombuffer(b"".join(texts), np.uint8)
             text, first, last, place, h = contexts(flat, sizes, minimum, anchor)
             if len(first):
-                yield made(key[text], memoryview(flat), (np.cumsum(sizes) - sizes)[text], first, last, place, h)
+                yield made(key.take(pa.array(text)), memoryview(flat), (np.cumsum(sizes) - sizes)[text], first, last, place, h)
 
-    return docs.select("key", "text").mapInArrow(bounded(run), "anchor bigint, context bigint, key bigint, at bigint")
+    return docs.select("key", "text").mapInArrow(bounded(run), "anchor bigint, context bigint, key binary, at bigint")
 
 
 def packed(lo: np.ndarray, more: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -158,27 +165,29 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes sorted by their first ``depth`` symbols at least. Symbol 0 separates strings: each 0 is smaller than
     all else and a symbol of its own, in the order of places."""
     n = len(symbols)
-    wide = 6
+    wide = 7
     ends = np.flatnonzero(symbols == 0)
-    to_end = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # the text ends with a separator
-    padded = np.r_[symbols, np.zeros(wide, symbols.dtype)].astype(np.int64)
+    to_end = np.repeat(ends, np.diff(np.r_[-1, ends])) - np.arange(n)  # the text ends with a separator
+    short = to_end < wide  # these hold a separator, and are told apart by place
     key = np.zeros(n, np.int64)
-    for k in range(wide):
-        key = key << 9 | np.where(to_end >= k, padded[k : k + n], 0)
-    order = np.argsort(key, kind="stable")
-    short = to_end < wide  # these hold a separator: told apart by place, which the stable sort has done
-    sorted_key, own = key[order], short[order]
+    for k in range(min(wide, n)):
+        key <<= 9
+        key[: n - k] |= np.where(to_end[: n - k] >= k, symbols[k:], 0)
+    order = np.argsort(key)
+    own = short[order]
+    tail = order[own]
+    order[own] = tail[np.lexsort((tail, key[tail]))]
+    sorted_key = key[order]
     head = np.r_[True, (sorted_key[1:] != sorted_key[:-1]) | own[1:] | own[:-1]]
-    place = np.arange(n)
-    rank = np.empty(n, np.int64)
-    group = np.maximum.accumulate(np.where(head, place, 0))
-    rank[order] = group
+    del key, sorted_key, own, to_end, short
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     done = wide
     tied = np.flatnonzero(~(head & np.r_[head[1:], True]))
     while done < depth and len(tied):
         at = order[tied]
-        sub = rank[at] << 32 | rank[np.minimum(at + done, n - 1)]
-        by = np.argsort(sub, kind="stable")
+        sub = rank[at].astype(np.int64) << 32 | rank[np.minimum(at + done, n - 1)]
+        by = np.argsort(sub)
         at, sub = at[by], sub[by]
         order[tied] = at
         head = np.r_[True, sub[1:] != sub[:-1]]
@@ -191,45 +200,45 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
 def unsettled(symbols: np.ndarray, order: np.ndarray, minimum: int) -> np.ndarray:
     """Which boundaries i (between the suffixes of ranks i - 1 and i) have a common prefix of ``minimum`` or more.
 
-    Breadth-first backward extension: all intervals of one level are extended at once by every symbol before them.
+    Breadth-first backward extension: all intervals of one level are extended at once by every symbol before them. An
+    interval with one symbol before all its suffixes keeps their order, so the steps of its ends are those of the next.
     """
     n = len(symbols)
-    before = symbols[order - 1].astype(np.int64)  # the transform; the first suffix wraps around to the last separator
-    by_symbol = np.argsort(before, kind="stable")
-    keyed = before[by_symbol] * n + by_symbol  # (symbol, rank): sorted, so counting is a binary search
-    step = np.empty(n, np.int64)
-    step[by_symbol] = np.arange(n)
-    heads = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])  # of runs of equal symbols
+    before = symbols[order - 1]  # the transform; the first suffix wraps around to the last separator
+    by_symbol = np.argsort(before, kind="stable").astype(np.int32)
+    step = np.empty(n, np.int32)
+    step[by_symbol] = np.arange(n, dtype=np.int32)
+    keyed = before[by_symbol].astype(np.int64) * n + by_symbol  # (symbol, rank): sorted, so counting is a binary search
+    step[before == 0] = -1
+    change = np.r_[True, before[1:] != before[:-1]]
+    heads, run = np.flatnonzero(change).astype(np.int32), np.cumsum(change, dtype=np.int32)  # runs of equal symbols
     settled = np.zeros(n + 1, bool)
     settled[[0, n]] = True
-    low, high = np.array([0]), np.array([n])
+    low, high = np.array([0], np.int32), np.array([n], np.int32)
     for level in range(minimum):
         if not len(low):
             break
-        one = high - low == 1
-        single = low[one]
-        single = step[single[before[single] > 0]]
-        low, high = low[~one], high[~one]
-        if len(low):
+        one = run[low] == run[high - 1]
+        begin, end = step[low[one]], step[high[one] - 1] + 1
+        live = begin >= 0
+        begin, end = begin[live], end[live]
+        if not one.all():
+            low, high = low[~one], high[~one]
             # The symbols before an interval: at its start, and at the heads of runs within it.
-            a, b = np.searchsorted(heads, low, "right"), np.searchsorted(heads, high, "left")
-            count = b - a + 1
+            first, count = run[low], run[high - 1] - run[low] + 1
             owner = np.repeat(np.arange(len(low)), count)
-            along = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            at = np.where(along == 0, low[owner], heads[np.minimum(a[owner] + along - 1, len(heads) - 1)])
-            symbol = before[at]
-            keep = symbol > 0
-            owner, symbol = owner[keep], symbol[keep]
-            pair = np.unique(owner * 512 + symbol)
-            owner, symbol = pair // 512, pair % 512
-            many = np.searchsorted(keyed, symbol * n + low[owner]), np.searchsorted(keyed, symbol * n + high[owner])
-        else:
-            many = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            along = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            symbol = before[heads[first[owner] - 1 + along]].astype(np.int64)
+            pair = np.sort(owner[symbol > 0] << 9 | symbol[symbol > 0])
+            pair = pair[np.r_[True, pair[1:] != pair[:-1]]] if len(pair) else pair
+            owner, symbol = pair >> 9, pair & 511
+            begin = np.r_[begin, np.searchsorted(keyed, symbol * n + low[owner]).astype(np.int32)]
+            end = np.r_[end, np.searchsorted(keyed, symbol * n + high[owner]).astype(np.int32)]
         if level == 0:  # each separator is a symbol of its own, with one suffix
-            single = np.arange(np.count_nonzero(symbols == 0))
-        low, high = np.r_[many[0], single], np.r_[many[1], single + 1]
-        new = ~settled[high]
-        low, high = low[new], high[new]
+            single = np.arange(np.count_nonzero(symbols == 0), dtype=np.int32)
+            begin, end = np.r_[begin, single], np.r_[end, single + 1]
+        new = ~settled[end]
+        low, high = begin[new], end[new]
         settled[high] = True
     return ~settled
 
@@ -260,7 +269,7 @@ class Row(NamedTuple):
 
     anchor: int
     many: bool  # stands for equal ones elsewhere
-    key: int
+    key: bytes
     lo: int
     place: int
     raw: bytes
@@ -305,7 +314,7 @@ def batch_repeats(rows: DataFrame, minimum: int = MINIMUM) -> DataFrame:
                 key += [r.key] * len(first)
                 lo += (first + r.lo).tolist()
                 hi += (last + r.lo).tolist()
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, lo, hi)], names=["key", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["key", "lo", "hi"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[Row] = []  # pruned rows of whole anchors
@@ -315,6 +324,8 @@ def batch_repeats(rows: DataFrame, minimum: int = MINIMUM) -> DataFrame:
 
         for batch in batches:
             for row in map(Row._make, zip(*[batch.column(c).to_pylist() for c in Row._fields], strict=True)):
+                if group and row[:1] + row[2:4] == group[-1][:1] + group[-1][2:4]:
+                    continue  # from a row that repeats another as a whole
                 if group and row.anchor != group[-1].anchor:
                     pending += group
                     group = []
@@ -336,7 +347,7 @@ def batch_repeats(rows: DataFrame, minimum: int = MINIMUM) -> DataFrame:
         if ready:
             yield search(ready)
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(bounded(run), "key bigint, lo bigint, hi bigint")
+    return rows.repartition("anchor").sortWithinPartitions("anchor", "key", "lo").mapInArrow(bounded(run), "key binary, lo bigint, hi bigint")
 
 
 def context_rows(texts: DataFrame, minimum: int = MINIMUM) -> DataFrame:
@@ -350,9 +361,9 @@ def context_rows(texts: DataFrame, minimum: int = MINIMUM) -> DataFrame:
                     lo, more, place = unpacked(w["at"])
                     for column, x in zip(out, (w["anchor"], w["many"], key, lo, place, text[lo : lo + more + minimum]), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=list(Row._fields))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=list(Row._fields))
 
-    return texts.select("key", "text", "wanted").mapInArrow(bounded(run), "anchor bigint, many boolean, key bigint, lo bigint, place bigint, raw binary")
+    return texts.select("key", "text", "wanted").mapInArrow(bounded(run), "anchor bigint, many boolean, key binary, lo bigint, place bigint, raw binary")
 
 
 def window_repeats(rows: DataFrame, minimum: int = MINIMUM) -> DataFrame:
@@ -362,9 +373,10 @@ def window_repeats(rows: DataFrame, minimum: int = MINIMUM) -> DataFrame:
         for batch in batches:
             for many, key, lo, raw in zip(*[batch.column(c).to_pylist() for c in ("many", "key", "lo", "raw")], strict=True):
                 view, n = memoryview(raw), len(raw) - minimum + 1
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(view[i : i + minimum]) for i in range(n)], pa.binary()), pa.array([many] * n), pa.array([key] * n, pa.int64()), pa.array(range(lo, lo + n), pa.int64())], names=["window", "many", "key", "lo"])
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(view[i : i + minimum]) for i in range(n)], pa.binary()), pa.array([many] * n), pa.array([key] * n, pa.binary()), pa.array(range(lo, lo + n), pa.int64())], names=["window", "many", "key", "lo"])
 
-    windows = cut(rows.mapInArrow(bounded(run), "window binary, many boolean, key bigint, lo bigint"))
+    once = rows.dropDuplicates(["anchor", "key", "lo"])  # rows may repeat others as a whole
+    windows = cut(once.mapInArrow(bounded(run), "window binary, many boolean, key binary, lo bigint"))
     often = windows.groupBy("window").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("n")).where("n > 1")
     return windows.where("not many").join(often, "window", "left_semi").select("key", "lo", F.col("lo").alias("hi"))
 
@@ -387,7 +399,7 @@ def repeated_windows(docs: DataFrame, minimum: int = MINIMUM, anchor: int = ANCH
     shared = cut(classes.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("rarest")).where("k > 1 and rarest = 1").select("anchor", (F.col("k") > HOT_CONTEXTS).alias("hot")))
     near = of_keys(classes, shared, ["anchor"], "left_semi").join(shared, "anchor")
     wanted = cut(near.groupBy("first.key").agg(F.collect_set(F.struct("anchor", (F.col("n") > 1).alias("many"), "first.at", "hot")).alias("wanted")))
-    texts = of_keys(docs, wanted, ["key"], "left_semi").dropDuplicates(["key"]).join(wanted, "key")
+    texts = of_keys(docs, wanted, ["key"], "left_semi").join(wanted, "key")
     pick = lambda hot: texts.withColumn("wanted", F.filter("wanted", lambda w: w["hot"] == F.lit(hot))).where(F.size("wanted") > 0)
     out = whole.unionByName(batch_repeats(context_rows(pick(False), minimum), minimum))
     if shared.where("hot").take(1):
@@ -395,13 +407,14 @@ def repeated_windows(docs: DataFrame, minimum: int = MINIMUM, anchor: int = ANCH
     return out
 
 
-def keyed(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Rows with ``key``, which is the same for rows with equal id and text only."""
-    return docs.withColumn("key", F.xxhash64(id_column, "text"))
+def keyed(docs: DataFrame, id_column: str, *columns: Column) -> DataFrame:
+    """``key`` (16 bytes, the same for rows with equal id and text only), ``text`` and the columns."""
+    half = lambda *seed: F.lpad(F.hex(F.xxhash64(*seed, F.isnull(id_column), id_column, F.isnull("text"), "text")), 16, "0")
+    return docs.select(F.unhex(F.concat(half(), half(F.lit(1)))).alias("key"), "text", *columns)
 
 
-def removed(n: int, spans: list[dict] | None, minimum: int) -> list[tuple[int, int]]:
-    """Maximal removed runs [first, end) of a text."""
+def removed(spans: list[dict] | None, minimum: int) -> list[tuple[int, int]]:
+    """Maximal runs [first, end) of bytes that spans of windows cover."""
     out: list[tuple[int, int]] = []
     for lo, end in sorted((s["lo"], s["hi"] + minimum) for s in spans or []):
         if out and lo <= out[-1][1]:
@@ -411,44 +424,50 @@ def removed(n: int, spans: list[dict] | None, minimum: int) -> list[tuple[int, i
     return out
 
 
-def dedup_spans(docs: DataFrame, minimum: int = MINIMUM, anchor: int = ANCHOR, id_column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """The keyed rows with something to remove (with ``spans``), and the keyed rows without."""
-    rows = keyed(docs, id_column)
-    narrow = rows.select("key", "text")
-    spans = cut(repeated_windows(narrow, minimum, anchor).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
-    touched = of_keys(rows, spans, ["key"], "left_semi").join(spans, "key")
-    return touched, of_keys(rows, spans, ["key"], "left_anti")
+def spans_of(rows: DataFrame, minimum: int, anchor: int, name: str) -> DataFrame:
+    """(key, ``name``) of every key with repeated windows: their ranges."""
+    found = repeated_windows(rows.select("key", "text"), minimum, anchor)
+    return cut(found.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias(name)))
 
 
-def kept_digests(docs: DataFrame, minimum: int = MINIMUM, anchor: int = ANCHOR, id_column: str = "doc_id") -> DataFrame:
-    """Per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
-    touched, rest = dedup_spans(docs, minimum, anchor, id_column)
-    kind = docs.schema[id_column].dataType.simpleString()
+def with_spans(rows: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose keys have spans, with them, and the rows without."""
+    return of_keys(rows, spans, ["key"], "left_semi").join(spans, "key"), of_keys(rows, spans, ["key"], "left_anti")
+
+
+def kept_digests(docs: DataFrame, minimum: int = MINIMUM, anchor: int = ANCHOR, id_column: str = "doc_id", passage: int = PASSAGE, passage_anchor: int = PASSAGE_ANCHOR, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """Per document: id, n_bytes, n_removed, n_spans, kept_sha256, and n_passage_words, the words in long repeated passages."""
+    rows = keyed(docs, id_column, F.col(id_column).alias("id"))
+    spans = spans_of(rows, minimum, anchor, "spans").join(spans_of(rows, passage, passage_anchor, "passages"), "key", "full")
+    touched, rest = with_spans(rows, cut(spans))
+    numbers = ["n_bytes", "n_removed", "n_spans", "n_passage_words"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in byte_slices(batches):
-            n, gone, count, sha = [], [], [], []
-            for text, spans in zip(texts, batch.column("spans").to_pylist(), strict=True):
-                cuts, at, kept = removed(len(text), spans, minimum), 0, hashlib.sha256()
+            out, sha = [], []
+            for text, spans, passages in zip(texts, batch.column("spans").to_pylist(), batch.column("passages").to_pylist(), strict=True):
+                cuts, at, kept = removed(spans, minimum), 0, hashlib.sha256()
                 for a, b in cuts:
                     kept.update(text[at:a])
                     at = b
                 kept.update(text[at:])
-                n.append(len(text))
-                gone.append(sum(b - a for a, b in cuts))
-                count.append(len(cuts))
+                words = [len(text[a:b].split()) for a, b in removed(passages, passage)]
+                out.append((len(text), sum(b - a for a, b in cuts), len(cuts), sum(n for n in words if n >= passage_words)))
                 sha.append(kept.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (n, gone, count)], pa.array(sha, pa.string())], names=[id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array([x[k] for x in out], pa.int64()) for k in range(len(numbers))], pa.array(sha, pa.string())], names=["id", *numbers, "kept_sha256"])
 
-    changed = touched.select(id_column, "text", "spans").mapInArrow(bounded(run), f"`{id_column}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    kind = docs.schema[id_column].dataType.simpleString()
+    changed = touched.select("id", "text", "spans", "passages").mapInArrow(bounded(run), f"id {kind}, {', '.join(f'{n} bigint' for n in numbers)}, kept_sha256 string")
     text = F.coalesce("text", F.lit(""))
-    same = rest.select(id_column, F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
-    return changed.unionByName(same)
+    none = F.lit(0).cast("long")
+    same = rest.select("id", F.octet_length(text).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), none.alias("n_passage_words"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
+    return changed.unionByName(same).select(F.col("id").alias(id_column), "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words")
 
 
 def remove_repeats(docs: DataFrame, minimum: int = MINIMUM, anchor: int = ANCHOR, id_column: str = "doc_id") -> DataFrame:
     """The documents with repeated bytes taken out of ``text`` (bytes cut within a character become U+FFFD); other columns stay."""
-    touched, rest = dedup_spans(docs, minimum, anchor, id_column)
+    rows = keyed(docs, id_column, F.struct(*[F.lit(None).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]).alias("rest"))
+    touched, untouched = with_spans(rows, spans_of(rows, minimum, anchor, "spans"))
 
     @F.pandas_udf("string")
     def cut_text(text, spans):  # noqa: ANN001, ANN202
@@ -457,11 +476,11 @@ def remove_repeats(docs: DataFrame, minimum: int = MINIMUM, anchor: int = ANCHOR
         out = []
         for t, s in zip(text, spans, strict=True):
             raw, at, kept = t.encode(), 0, []
-            for a, b in removed(len(raw), list(s), minimum):
+            for a, b in removed(list(s), minimum):
                 kept.append(raw[at:a])
                 at = b
             out.append(b"".join([*kept, raw[at:]]).decode("utf-8", "replace"))
         return pd.Series(out)
 
-    changed = touched.withColumn("text", cut_text("text", "spans"))
-    return changed.select(*docs.columns).unionByName(rest.select(*docs.columns))
+    back = lambda df, text: df.select(*[(text if c == "text" else F.col("rest")[c]).alias(c) for c in docs.columns])
+    return back(touched, cut_text("text", "spans")).unionByName(back(untouched, F.col("text")))
