@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounded, cut
+from tracewell.llm.common import bounded, cut, written
 
 MINIMUM = 400
 #: Bytes of an anchor (a power of two).
@@ -52,6 +52,8 @@ HOT_CONTEXTS = 6000
 PRUNE_ROWS, CELL = 4000, 16
 #: Keys up to which a key set is broadcast: 16 bytes a key. Beyond it, both sides are shuffled.
 BROADCAST_KEYS = 1_000_000
+#: The columns that tell a row by its id and text.
+KEY = ["k1", "k2"]
 #: Bits of a place within a slice in a packed minimum; longer slices take 64-bit minima in two passes.
 PLACE_BITS = 26
 
@@ -127,29 +129,29 @@ def long_contexts(text: bytes, minimum: int, anchor: int) -> Iterator[tuple[int,
 
 
 def records(docs: DataFrame, minimum: int = MINIMUM, anchor: int = ANCHOR) -> DataFrame:
-    """Every context of ``docs`` (key, text): anchor, context digest, key, and ``at``, its place (see ``packed``)."""
+    """Every context of ``docs`` (k1, k2, text): anchor, context digest, k1, k2, and ``at``, its place (see ``packed``)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
 
-        def made(key: pa.Array, view: memoryview, begin: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        def made(key: list[np.ndarray], view: memoryview, begin: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
             whole = np.fromiter((digest(view[a:b]) for a, b in zip(first.tolist(), (last + minimum).tolist(), strict=True)), np.uint64, len(first))
             at = packed(first - begin, last - first, place - first)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(whole.view(np.int64)), key, pa.array(at)], names=["anchor", "context", "key", "at"])
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(whole.view(np.int64)), *map(pa.array, key), pa.array(at)], names=["anchor", "context", *KEY, "at"])
 
         for batch, texts in byte_slices(batches):
-            key = batch.column("key")
+            key = [batch.column(k).to_numpy() for k in KEY]
             if len(texts) == 1 and len(texts[0]) > SLICE_BYTES:
                 for at, part, (_, first, last, place, h) in long_contexts(texts[0], minimum, anchor):
-                    yield made(key.take(pa.array(np.zeros(len(first), np.int64))), memoryview(part), np.full(len(first), -at), first, last, place, h)
+                    yield made([np.repeat(k, len(first)) for k in key], memoryview(part), np.full(len(first), -at), first, last, place, h)
                 continue
             sizes = np.array([len(t) for t in texts], np.int64)
             flat = np.frombuffer(b"".join(texts), np.uint8)
             text, first, last, place, h = contexts(flat, sizes, minimum, anchor)
             if len(first):
-                yield made(key.take(pa.array(text)), memoryview(flat), (np.cumsum(sizes) - sizes)[text], first, last, place, h)
+                yield made([k[text] for k in key], memoryview(flat), (np.cumsum(sizes) - sizes)[text], first, last, place, h)
 
-    return docs.select("key", "text").mapInArrow(bounded(run), "anchor bigint, context bigint, key binary, at bigint")
+    return docs.select(*KEY, "text").mapInArrow(bounded(run), "anchor bigint, context bigint, k1 bigint, k2 bigint, at bigint")
 
 
 def packed(lo: np.ndarray, more: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -269,7 +271,8 @@ class Row(NamedTuple):
 
     anchor: int
     many: bool  # stands for equal ones elsewhere
-    key: bytes
+    k1: int
+    k2: int
     lo: int
     place: int
     raw: bytes
@@ -299,22 +302,21 @@ def pruned(rows: list[Row], minimum: int) -> list[Row]:
         if shared:
             first = max(0, r.place - shared[-1] * CELL - CELL + 1)
             last = min(len(r.raw) - minimum, r.place - shared[0] * CELL)
-            out.append(Row(r.anchor, r.many, r.key, r.lo + first, r.place - first, r.raw[first : last + minimum]))
+            out.append(Row(r.anchor, r.many, r.k1, r.k2, r.lo + first, r.place - first, r.raw[first : last + minimum]))
     return out
 
 
 def batch_repeats(rows: DataFrame, minimum: int = MINIMUM) -> DataFrame:
-    """Rows (anchor, many, key, lo, place, raw) to ranges (key, lo, hi) of repeated windows."""
+    """Rows (see ``Row``) to ranges (k1, k2, lo, hi) of repeated windows."""
 
     def search(held: list[Row]) -> pa.RecordBatch:
-        key, lo, hi = [], [], []
+        out: tuple[list, ...] = ([], [], [], [])
         for r, places in zip(held, repeated([r.raw for r in held], minimum), strict=True):
             if len(places) and not r.many:
                 first, last = runs(places)
-                key += [r.key] * len(first)
-                lo += (first + r.lo).tolist()
-                hi += (last + r.lo).tolist()
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["key", "lo", "hi"])
+                for column, x in zip(out, ([r.k1] * len(first), [r.k2] * len(first), (first + r.lo).tolist(), (last + r.lo).tolist()), strict=True):
+                    column += x
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=[*KEY, "lo", "hi"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[Row] = []  # pruned rows of whole anchors
@@ -324,7 +326,7 @@ def batch_repeats(rows: DataFrame, minimum: int = MINIMUM) -> DataFrame:
 
         for batch in batches:
             for row in map(Row._make, zip(*[batch.column(c).to_pylist() for c in Row._fields], strict=True)):
-                if group and row[:1] + row[2:4] == group[-1][:1] + group[-1][2:4]:
+                if group and (row.anchor, *row[2:5]) == (group[-1].anchor, *group[-1][2:5]):
                     continue  # from a row that repeats another as a whole
                 if group and row.anchor != group[-1].anchor:
                     pending += group
@@ -347,23 +349,23 @@ def batch_repeats(rows: DataFrame, minimum: int = MINIMUM) -> DataFrame:
         if ready:
             yield search(ready)
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "key", "lo").mapInArrow(bounded(run), "key binary, lo bigint, hi bigint")
+    return rows.repartition("anchor").sortWithinPartitions("anchor", *KEY, "lo").mapInArrow(bounded(run), "k1 bigint, k2 bigint, lo bigint, hi bigint")
 
 
 def context_rows(texts: DataFrame, minimum: int = MINIMUM) -> DataFrame:
-    """Rows (key, text, wanted) to the bytes of the wanted contexts; ``wanted`` holds (anchor, many, at)."""
+    """Rows (k1, k2, text, wanted) to the bytes of the wanted contexts; ``wanted`` holds (anchor, many, at)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in byte_slices(batches):
             out: list[list] = [[] for _ in Row._fields]
-            for key, text, wanted in zip(batch.column("key").to_pylist(), raw, batch.column("wanted").to_pylist(), strict=True):
+            for k1, k2, text, wanted in zip(*[batch.column(k).to_pylist() for k in KEY], raw, batch.column("wanted").to_pylist(), strict=True):
                 for w in wanted:
                     lo, more, place = unpacked(w["at"])
-                    for column, x in zip(out, (w["anchor"], w["many"], key, lo, place, text[lo : lo + more + minimum]), strict=True):
+                    for column, x in zip(out, (w["anchor"], w["many"], k1, k2, lo, place, text[lo : lo + more + minimum]), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=list(Row._fields))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.binary()), strict=True)], names=list(Row._fields))
 
-    return texts.select("key", "text", "wanted").mapInArrow(bounded(run), "anchor bigint, many boolean, key binary, lo bigint, place bigint, raw binary")
+    return texts.select(*KEY, "text", "wanted").mapInArrow(bounded(run), "anchor bigint, many boolean, k1 bigint, k2 bigint, lo bigint, place bigint, raw binary")
 
 
 def window_repeats(rows: DataFrame, minimum: int = MINIMUM) -> DataFrame:
@@ -371,14 +373,14 @@ def window_repeats(rows: DataFrame, minimum: int = MINIMUM) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for many, key, lo, raw in zip(*[batch.column(c).to_pylist() for c in ("many", "key", "lo", "raw")], strict=True):
+            for many, k1, k2, lo, raw in zip(*[batch.column(c).to_pylist() for c in ("many", *KEY, "lo", "raw")], strict=True):
                 view, n = memoryview(raw), len(raw) - minimum + 1
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(view[i : i + minimum]) for i in range(n)], pa.binary()), pa.array([many] * n), pa.array([key] * n, pa.binary()), pa.array(range(lo, lo + n), pa.int64())], names=["window", "many", "key", "lo"])
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(view[i : i + minimum]) for i in range(n)], pa.binary()), pa.array([many] * n), *[pa.array([k] * n, pa.int64()) for k in (k1, k2)], pa.array(range(lo, lo + n), pa.int64())], names=["window", "many", *KEY, "lo"])
 
-    once = rows.dropDuplicates(["anchor", "key", "lo"])  # rows may repeat others as a whole
-    windows = cut(once.mapInArrow(bounded(run), "window binary, many boolean, key binary, lo bigint"))
+    once = rows.dropDuplicates(["anchor", *KEY, "lo"])  # rows may repeat others as a whole
+    windows = cut(once.mapInArrow(bounded(run), "window binary, many boolean, k1 bigint, k2 bigint, lo bigint"))
     often = windows.groupBy("window").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("n")).where("n > 1")
-    return windows.where("not many").join(often, "window", "left_semi").select("key", "lo", F.col("lo").alias("hi"))
+    return windows.where("not many").join(often, "window", "left_semi").select(*KEY, "lo", F.col("lo").alias("hi"))
 
 
 def of_keys(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
@@ -388,18 +390,18 @@ def of_keys(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFr
     return rows.join(F.broadcast(keys) if small else keys, on, how)
 
 
-def repeated_windows(docs: DataFrame, minimum: int = MINIMUM, anchor: int = ANCHOR) -> DataFrame:
-    """Ranges (key, lo, hi) of windows that start elsewhere too, over ``docs`` (key, text)."""
-    found = records(docs, minimum, anchor)
-    classes = cut(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("first")))
+def repeated_windows(found: DataFrame, docs: DataFrame, minimum: int = MINIMUM) -> DataFrame:
+    """Ranges (k1, k2, lo, hi) of windows that start elsewhere too, over ``docs`` (k1, k2, text) with the contexts ``found``."""
+    # Any member may stand for its class: the three first values come from one row.
+    classes = cut(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in (*KEY, "at")]))
     often = cut(classes.where("n > 1").select("anchor", "context"))
     lo = F.shiftright("at", 32)
-    whole = of_keys(found, often, ["anchor", "context"], "left_semi").select("key", lo.alias("lo"), (lo + F.shiftright("at", 16).bitwiseAND(0xFFFF)).alias("hi"))
+    whole = of_keys(found, often, ["anchor", "context"], "left_semi").select(*KEY, lo.alias("lo"), (lo + F.shiftright("at", 16).bitwiseAND(0xFFFF)).alias("hi"))
     # Contexts that are not equal can share a window only with another one of their anchor.
     shared = cut(classes.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("rarest")).where("k > 1 and rarest = 1").select("anchor", (F.col("k") > HOT_CONTEXTS).alias("hot")))
     near = of_keys(classes, shared, ["anchor"], "left_semi").join(shared, "anchor")
-    wanted = cut(near.groupBy("first.key").agg(F.collect_set(F.struct("anchor", (F.col("n") > 1).alias("many"), "first.at", "hot")).alias("wanted")))
-    texts = of_keys(docs, wanted, ["key"], "left_semi").join(wanted, "key")
+    wanted = cut(near.groupBy(*KEY).agg(F.collect_set(F.struct("anchor", (F.col("n") > 1).alias("many"), "at", "hot")).alias("wanted")))
+    texts = of_keys(docs, wanted, KEY, "left_semi").join(wanted, KEY)
     pick = lambda hot: texts.withColumn("wanted", F.filter("wanted", lambda w: w["hot"] == F.lit(hot))).where(F.size("wanted") > 0)
     out = whole.unionByName(batch_repeats(context_rows(pick(False), minimum), minimum))
     if shared.where("hot").take(1):
@@ -408,9 +410,9 @@ def repeated_windows(docs: DataFrame, minimum: int = MINIMUM, anchor: int = ANCH
 
 
 def keyed(docs: DataFrame, id_column: str, *columns: Column) -> DataFrame:
-    """``key`` (16 bytes, the same for rows with equal id and text only), ``text`` and the columns."""
-    half = lambda *seed: F.lpad(F.hex(F.xxhash64(*seed, F.isnull(id_column), id_column, F.isnull("text"), "text")), 16, "0")
-    return docs.select(F.unhex(F.concat(half(), half(F.lit(1)))).alias("key"), "text", *columns)
+    """``k1`` and ``k2`` (128 bits, the same for rows with equal id and text only), ``text`` and the columns."""
+    half = lambda *seed: F.xxhash64(*seed, F.isnull(id_column), id_column, F.isnull("text"), "text")
+    return docs.select(half().alias("k1"), half(F.lit(1)).alias("k2"), "text", *columns)
 
 
 def removed(spans: list[dict] | None, minimum: int) -> list[tuple[int, int]]:
@@ -425,20 +427,21 @@ def removed(spans: list[dict] | None, minimum: int) -> list[tuple[int, int]]:
 
 
 def spans_of(rows: DataFrame, minimum: int, anchor: int, name: str) -> DataFrame:
-    """(key, ``name``) of every key with repeated windows: their ranges."""
-    found = repeated_windows(rows.select("key", "text"), minimum, anchor)
-    return cut(found.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias(name)))
+    """(k1, k2, ``name``) of every row with repeated windows: their ranges."""
+    with written(records(rows, minimum, anchor)) as found:
+        ranges = repeated_windows(found, rows.select(*KEY, "text"), minimum)
+        return cut(ranges.groupBy(*KEY).agg(F.collect_set(F.struct("lo", "hi")).alias(name)))
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows whose keys have spans, with them, and the rows without."""
-    return of_keys(rows, spans, ["key"], "left_semi").join(spans, "key"), of_keys(rows, spans, ["key"], "left_anti")
+    """The rows that have spans, with them, and the rows without."""
+    return of_keys(rows, spans, KEY, "left_semi").join(spans, KEY), of_keys(rows, spans, KEY, "left_anti")
 
 
 def kept_digests(docs: DataFrame, minimum: int = MINIMUM, anchor: int = ANCHOR, id_column: str = "doc_id", passage: int = PASSAGE, passage_anchor: int = PASSAGE_ANCHOR, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans, kept_sha256, and n_passage_words, the words in long repeated passages."""
     rows = keyed(docs, id_column, F.col(id_column).alias("id"))
-    spans = spans_of(rows, minimum, anchor, "spans").join(spans_of(rows, passage, passage_anchor, "passages"), "key", "full")
+    spans = spans_of(rows, minimum, anchor, "spans").join(spans_of(rows, passage, passage_anchor, "passages"), KEY, "full")
     touched, rest = with_spans(rows, cut(spans))
     numbers = ["n_bytes", "n_removed", "n_spans", "n_passage_words"]
 
