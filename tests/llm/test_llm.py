@@ -116,6 +116,31 @@ def test_sharding(spark, docs):
     assert sharding.shard(empty(spark)).count() == 0
 
 
+def test_sharding_keeps_ids_and_places_them_by_the_plain_permutation(spark):
+    rows = [(2**60 + 1, "é" * 3), (2**60 + 3, "a"), (None, "b"), (None, None), (7, ""), (7, "")]
+    got = sharding.shard(frame(spark, rows), 3).collect()
+    sizes = collections.Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == sizes
+
+    def plain_place(x, n):
+        half = sharding.half_bits(n)
+        while True:
+            left, right = x >> half, x & ((1 << half) - 1)
+            for k in range(sharding.ROUNDS):
+                z = (right + (sharding.SEED + k) * 0x9E3779B97F4A7C15) % 2**64
+                z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+                left, right = right, left ^ (z ^ z >> 31) & ((1 << half) - 1)
+            x = left << half | right
+            if x < n:
+                return x
+
+    assert all(plain_place(r["row_number"], len(rows)) == r["slot"] * 3 + r["shard"] for r in got)
+    order = sorted(got, key=lambda r: r["row_number"])
+    keys = [(r["doc_id"] is not None, r["doc_id"] or 0, r["text_crc32"], r["size"]) for r in order]
+    assert keys == sorted(keys) and [r["row_number"] for r in order] == list(range(len(rows)))
+
+
 def test_packing(spark, docs, corpus):
     from tokenizers import Tokenizer
 
@@ -309,6 +334,24 @@ def test_quality_drops_what_stands_out(spark):
     assert kept == set(range(len(clean)))
 
 
+@pytest.mark.parametrize("rule", ["symbols", "repeats", "dup_lines", "word_length"])
+def test_each_quality_rule_rejects_alone(spark, rule):
+    """Documents that pass the base rules, and one that stands out by the one measure."""
+    rnd = random.Random(len(rule))
+    word = lambda: "".join(rnd.choice("etaoinshr") for _ in range(rnd.randint(4, 6)))
+    clean = ["\n".join(" ".join(word() for _ in range(10)) for _ in range(12)) for _ in range(600)]
+    line = clean[0].split("\n")
+    odd = {
+        "symbols": clean[0].replace("\n", " ### "),
+        "repeats": clean[0] + "\n" + " ".join(w for k in (0, 2) for w in line[k].split()[:5] + [word()]),
+        "dup_lines": "\n".join([*line, "a b", "a b", "c d", "c d", "e f", "e f"]),
+        "word_length": "\n".join(" ".join(word() * 3 for _ in range(10)) for _ in range(12)),
+    }[rule]
+    got = {r["doc_id"]: r for r in quality.judged(frame(spark, [*enumerate(clean), (900, odd)])).collect()}
+    assert not got[900]["__q_base_failed"] and not got[900]["__q_kept"]
+    assert sum(got[i]["__q_kept"] for i in range(600)) >= 594
+
+
 def test_license_scan(spark, docs, corpus):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     got = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}

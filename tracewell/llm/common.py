@@ -53,16 +53,25 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def work_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """The rows as a Parquet table in the shared folder."""
+    folder = folder or work_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 @contextmanager
 def written(df: DataFrame) -> Iterator[DataFrame]:
     """The rows as a Parquet table in the shared folder, which goes at the end: what is made of them must be cut before."""
-    spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    folder = work_folder(df.sparkSession)
     try:
-        df.write.parquet(folder)
-        yield spark.read.schema(df.schema).parquet(folder)
+        yield stored(df, folder)
     finally:
-        remove(spark, folder)
+        remove(df.sparkSession, folder)
 
 
 def has(df: DataFrame) -> bool:

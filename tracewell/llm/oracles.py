@@ -8,14 +8,19 @@ from tracewell.llm import license_scan, quality
 def quality_sql() -> str:
     """Operator 1. Groups are small here, so the sketches' quantiles are exact ones: the value of rank ceil(p n)."""
     rate = {"symbols": "n_symbols / greatest(word_chars, 1)", "repeats": "n_repeat_words / greatest(n_words, 1)", "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "word_length": "word_chars / greatest(n_words, 1)"}
-    quantiles = ", ".join(f"quantile_disc({m}, 0.25) AS {m}_1, quantile_disc({m}, 0.75) AS {m}_3" for m in rate)
-    chosen = ", ".join(f"CASE WHEN g.n >= {quality.LEAST_ROWS} THEN g.{m}_{k} ELSE e.{m}_{k} END AS {m}_{k}" for m in rate for k in (1, 3))
-    tests = []
-    for m, (least, lower) in quality.RULES.items():
-        scale = f"{quality.REACH} * greatest({m}_3 - {m}_1, {least})"
-        tests.append(f"{m} <= {m}_3 + {scale}")
-        if lower:
-            tests.append(f"{m} >= {m}_1 - {scale}")
+    quantiles, fences, tests = [], [], []
+    for m, (low, high, reach, least, below) in quality.RULES.items():
+        quantiles += [f"quantile_disc({m}, {quality.QUANTILES[k]}) AS {m}_{end}" for k, end in ((low, "lower"), (high, "upper"))]
+        scale = f"{reach} * greatest({m}_upper - {m}_lower, {least})"
+        fences.append((f"high_{m}", f"{m}_upper + {scale}"))
+        tests.append(f"{m} <= high_{m}")
+        if below:
+            fences.append((f"low_{m}", f"{m}_lower - {scale}"))
+            tests.append(f"{m} >= low_{m}")
+    quantiles, stand = ", ".join(quantiles), ", ".join(f"{e} AS {k}" for k, e in fences)
+    weight = f"({quality.PRIOR_ROWS} / CAST({{0}}.n + {quality.PRIOR_ROWS} AS DOUBLE))"
+    drawn = lambda own, above: ", ".join(f"{own}.{k} + ({above}.{k} - {own}.{k}) * {weight.format(own)} AS {k}" for k, _ in fences)
+    level = lambda *by: f"SELECT {''.join(f'{b}, ' for b in by)}n, {stand} FROM (SELECT {''.join(f'{b}, ' for b in by)}count(*) AS n, {quantiles} FROM x WHERE NOT base_failed{' GROUP BY ' + ', '.join(by) if by else ''})"
     return rf"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
@@ -25,9 +30,9 @@ cov AS (SELECT r, CAST(sum(least(5, coalesce(nxt - i, 5))) AS BIGINT) AS n_repea
 m AS (SELECT t.r, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM t JOIN w USING (r) LEFT JOIN cov USING (r)),
 x AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed, {', '.join(f'{e} AS {k}' for k, e in rate.items())} FROM m),
-g AS (SELECT lang, source, count(*) AS n, {quantiles} FROM x WHERE NOT base_failed GROUP BY lang, source),
-e AS (SELECT {quantiles} FROM x WHERE NOT base_failed),
-l AS (SELECT g.lang, g.source, {chosen} FROM g, e)
+g AS ({level("lang", "source")}), h AS ({level("lang")}), e AS ({level()}),
+hl AS (SELECT h.lang, {drawn("h", "e")} FROM h, e),
+l AS (SELECT g.lang, g.source, {drawn("g", "hl")} FROM g JOIN hl ON g.lang IS NOT DISTINCT FROM hl.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(NOT base_failed AND {' AND '.join(tests)}, false) AS kept
 FROM x LEFT JOIN l ON x.lang IS NOT DISTINCT FROM l.lang AND x.source IS NOT DISTINCT FROM l.source
 """

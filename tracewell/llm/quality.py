@@ -1,15 +1,18 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches (operator 1), native.
 
 Each measure of a document is an expression over its arrays of words and lines. Documents that pass the fixed base
-rules feed one quantile sketch a measure for every (language, source): Spark's percentile_approx is a Greenwald-Khanna
-summary that is merged map side, so a hot source costs one small summary a task. A group of fewer than ``LEAST_ROWS``
-documents takes the thresholds of all documents, which come from the same pass (grouping sets). Thresholds are fences
-around the quartiles, with a least scale for groups that hardly vary; documents are then joined with the thresholds
-of their group and filtered. The threshold table is broadcast only where it is small.
+rules feed one quantile sketch a measure for every (language, source), language, and all: Spark's percentile_approx is
+a Greenwald-Khanna summary that is merged map side, so a hot source costs one small summary a task. A fence stands
+beyond an upper quantile by a multiple of the distance to a lower one: quartiles where junk stands far out, the last
+percentiles where most documents have none at all. ``LEAST`` is only the resolution of a measure, far below its
+spread. A group's fences are drawn toward those of its language, and these toward those of all, by the weight of
+``PRIOR_ROWS`` documents, so there is no size at which a group's thresholds change. Documents are then joined with the
+fences of their group and filtered. The threshold table is broadcast only where it is small.
 
 Defined results: a null or empty text has no words and fails the base rules. Null languages and sources are groups of
 their own. A text of any length is measured whole. Repeated rows are judged alike. An empty table gives an empty
-result. In ``filtered`` all columns of the documents pass through; names of its own are prefixed with ``__q_``.
+result. In ``filtered`` all columns of the documents pass through; a column of theirs must not begin with ``__q_``, the prefix of
+its own (that is an error and not a silent change).
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut
+from tracewell.llm.common import cut, stored
 
 #: White space that separates words, as characters and as a regular expression class.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -26,11 +29,17 @@ SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 #: Sketch accuracy: the rank error is one part in this many.
 ACCURACY = 10_000
-LEAST_ROWS = 50
-#: Fences stand this many scales outside the quartiles.
-REACH = 4.0
-#: Measure -> (least scale, whether there is a lower fence too).
-RULES = {"symbols": (0.01, False), "repeats": (0.05, False), "dup_lines": (0.15, False), "word_length": (0.75, True)}
+#: Documents that the group above weighs when fences are drawn toward it.
+PRIOR_ROWS = 50
+QUANTILES = [0.25, 0.75, 0.95, 0.99]
+#: Measure -> (places of the lower and the upper quantile, distances that the fence stands beyond the upper one, the
+#: least distance, whether there is a fence below the lower one too).
+RULES = {
+    "symbols": (0, 1, 4.0, 0.005, False),
+    "repeats": (2, 3, 1.0, 0.01, False),
+    "dup_lines": (2, 3, 1.0, 0.01, False),
+    "word_length": (0, 1, 4.0, 0.25, True),
+}
 #: Groups up to which thresholds are broadcast (some 100 bytes each).
 BROADCAST_GROUPS = 50_000
 
@@ -108,29 +117,45 @@ def with_rates(rows: DataFrame) -> DataFrame:
     })
 
 
+def drawn(own: Column, toward: Column, n: Column) -> Column:
+    """A fence drawn toward that of the group above."""
+    return own + (toward - own) * (PRIOR_ROWS / (n + F.lit(PRIOR_ROWS)))
+
+
 def thresholds(rows: DataFrame) -> DataFrame:
     """One row for each (lang, source): the fences high_* and low_* of the rules."""
-    sketches = [F.percentile_approx(f"__q_{m}", [0.25, 0.75], ACCURACY).alias(m) for m in RULES]
-    passed = rows.where("not __q_base_failed").select(F.struct("lang", "source").alias("of"), *[f"__q_{m}" for m in RULES])
-    groups = cut(passed.cube("of").agg(F.grouping("of").alias("all"), F.count("*").alias("n"), *sketches))
-    every = groups.where("all = 1").select(*[F.col(m).alias(f"every_{m}") for m in RULES])  # one row
-    own = groups.where("all = 0").join(F.broadcast(every))
-    chosen = own.select("of", *[F.when(F.col("n") >= LEAST_ROWS, F.col(m)).otherwise(F.col(f"every_{m}")).alias(m) for m in RULES])
-    scale = {m: F.greatest(F.col(m)[1] - F.col(m)[0], F.lit(least)) for m, (least, _) in RULES.items()}
-    fences = [(F.col(m)[1] + REACH * scale[m]).alias(f"__t_high_{m}") for m in RULES]
-    fences += [(F.col(m)[0] - REACH * scale[m]).alias(f"__t_low_{m}") for m, (_, lower) in RULES.items() if lower]
-    return chosen.select(F.col("of.lang").alias("__t_lang"), F.col("of.source").alias("__t_source"), *fences)
-
-
-def verdicts(rows: DataFrame, narrow: DataFrame) -> DataFrame:
-    """``rows`` with ``__q_kept``, by the thresholds that the same documents' ``narrow`` measures give."""
-    limits = cut(thresholds(narrow))
-    small = limits.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    joined = rows.join(F.broadcast(limits) if small else limits, rows["lang"].eqNullSafe(limits["__t_lang"]) & rows["source"].eqNullSafe(limits["__t_source"]), "left")
+    passed = rows.where("not __q_base_failed").select("lang", "source", *[f"__q_{m}" for m in RULES])
+    sketches = [F.percentile_approx(f"__q_{m}", QUANTILES, ACCURACY).alias(m) for m in RULES]
+    groups = cut(passed.rollup("lang", "source").agg(F.grouping_id().alias("above"), F.count("*").alias("n"), *sketches))
+    fences = {}
+    for m, (low, high, reach, least, below) in RULES.items():
+        scale = reach * F.greatest(F.col(m)[high] - F.col(m)[low], F.lit(least))
+        fences[f"high_{m}"] = F.col(m)[high] + scale
+        if below:
+            fences[f"low_{m}"] = F.col(m)[low] - scale
+    at = lambda level, *names: groups.where(F.col("above") == level).select(*names, "n", *[c.alias(k) for k, c in fences.items()])
+    every = at(3).drop("n").first()  # one row
+    if every is None:
+        return at(0, F.col("lang").alias("__t_lang"), F.col("source").alias("__t_source")).drop("n").withColumnsRenamed({k: f"__t_{k}" for k in fences})
+    by_lang = at(1, "lang").select(F.col("lang").alias("__t_lang"), *[drawn(F.col(k), F.lit(every[k]), F.col("n")).alias(f"above_{k}") for k in fences])
+    own = at(0, "lang", "source")
+    joined = own.join(broadcast_few(by_lang), own["lang"].eqNullSafe(by_lang["__t_lang"]))
+    return joined.select("__t_lang", F.col("source").alias("__t_source"), *[drawn(F.col(k), F.col(f"above_{k}"), F.col("n")).alias(f"__t_{k}") for k in fences])
+
+
+def broadcast_few(groups: DataFrame) -> DataFrame:
+    """Thresholds are broadcast only up to a number of groups."""
+    return F.broadcast(groups) if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else groups
+
+
+def verdicts(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``__q_kept``, by the thresholds that their own measures give."""
+    limits = cut(thresholds(rows))
+    joined = rows.join(broadcast_few(limits), rows["lang"].eqNullSafe(limits["__t_lang"]) & rows["source"].eqNullSafe(limits["__t_source"]), "left")
     fine = ~F.col("__q_base_failed")
-    for m, (_, lower) in RULES.items():
+    for m, (*_, below) in RULES.items():
         fine = fine & (F.col(f"__q_{m}") <= F.col(f"__t_high_{m}"))
-        if lower:
+        if below:
             fine = fine & (F.col(f"__q_{m}") >= F.col(f"__t_low_{m}"))
     # Documents without a threshold row are in groups where all fail the base rules.
     return joined.withColumn("__q_kept", F.coalesce(fine, F.lit(False))).drop(*limits.columns)
@@ -138,14 +163,15 @@ def verdicts(rows: DataFrame, narrow: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Per document: id, lang, source, the measures, base_failed and kept (all but the first three with prefix ``__q_``)."""
-    rows = cut(with_rates(measured(docs, [id_column, "lang", "source"])))
-    return verdicts(rows, rows)
+    return verdicts(cut(with_rates(measured(docs, [id_column, "lang", "source"]))))
 
 
 def filtered(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns only.
 
-    Texts are measured twice and never shuffled: once for the sketches, once beside the joined thresholds.
+    Every text is measured once: documents and measures are written to the shared folder, where the table stays as
+    checkpoints do; the sketches then read the narrow columns alone.
     """
-    rows = with_rates(measured(docs))
-    return verdicts(rows, with_rates(measured(docs, ["lang", "source"]))).where("__q_kept").select(*docs.columns)
+    if taken := [c for c in docs.columns if c.startswith(("__q_", "__t_"))]:
+        raise ValueError(f"columns {taken} bear this operator's own prefix")
+    return verdicts(stored(with_rates(measured(docs)))).where("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])

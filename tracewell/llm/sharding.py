@@ -6,7 +6,8 @@ The place p of a row then gives shard p mod shards and slot p div shards, so sha
 slots have no gaps, and both are computable from the row number alone (``locate``) and back (``row_of``).
 
 Defined results: a null text counts as empty. Rows that are equal in id, checksum and size are interchangeable.
-An empty table gives an empty result. Texts are never moved: only id, size and checksum are shuffled.
+An empty table gives an empty result. Null ids come first and stay null; ids of any size and type are handed on as they
+are. Texts are never moved, whatever their length: only id, size and checksum are shuffled, and no other column is read.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,10 +95,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_column: st
     narrow = docs.select(F.col(id_column), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     rows, n = numbered(narrow, [id_column, "text_crc32", "size"])
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s, slot = locate(batch["row_number"].to_numpy(), n, shards, seed)
-            yield batch.assign(shard=s.astype(np.int32), slot=slot)
+            s, slot = locate(batch.column("row_number").to_numpy(), n, shards, seed)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s.astype(np.int32)), pa.array(slot)], names=[*batch.schema.names, "shard", "slot"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return rows.mapInPandas(run, f"`{id_column}` {kind}, size bigint, text_crc32 bigint, row_number bigint, shard int, slot bigint")
+    return rows.mapInArrow(run, f"`{id_column}` {kind}, size bigint, text_crc32 bigint, row_number bigint, shard int, slot bigint")
