@@ -64,14 +64,16 @@ def test_bpe_matches_the_library_and_round_trips(spark, docs, corpus):
     assert bpe.encode_decode(docs, WORD_BPE).count() == docs.count() and bpe.encode_decode(empty(spark), WORD_BPE).count() == 0
 
 
-def test_bpe_rounds_and_heap_agree():
-    b = bpe.Bpe(WORD_BPE)
+def test_bpe_rounds_of_long_words():
+    from tokenizers import Tokenizer
+
+    t, b = Tokenizer.from_file(WORD_BPE), bpe.Bpe(WORD_BPE)
     rnd = random.Random(2)
-    for _ in range(60):
-        w = bytes(rnd.choice(b"aaabtheing\xc3") for _ in range(rnd.randint(1, 120)))
-        ids, _ = b.rounds(np.frombuffer(w, np.uint8), np.array([len(w)]))
-        raw = np.frombuffer(w, np.uint8)
-        assert ids.tolist() == b.merge_long([*b.inner[raw[:-1]].tolist(), int(b.last[raw[-1]])])
+    for n in [*range(1, 60), 300, 5000]:
+        w = "".join(rnd.choice("aaabtheing") for _ in range(n))
+        raw = np.frombuffer(w.encode(), np.uint8)
+        ids, _ = b.rounds(raw, np.array([len(w)]))
+        assert ids.tolist() == b.long_rounds(raw).tolist() == t.encode(w, add_special_tokens=False).ids
 
 
 def test_caches_stay_bounded():
@@ -102,6 +104,15 @@ def test_unigram_counts(spark, docs, corpus):
     assert unigram.token_counts(empty(spark), PIECES).count() == 0
 
 
+@pytest.mark.parametrize("rebase", [3, 1024])
+def test_unigram_counts_of_long_pretokens(monkeypatch, rebase):
+    monkeypatch.setattr(unigram, "REBASE", rebase)
+    u = unigram.Unigram(PIECES)
+    rnd = random.Random(3)
+    words = sorted({"▁" + "".join(rnd.choice("theinga é日") for _ in range(n)) for n in [*range(1, 40), 200, 3000] for _ in range(3)} | {"▁" + "a" * 2500, "▁the", "▁the" * 40})
+    assert u.counts(words) == [plain_tokens(u, w) for w in words]
+
+
 def test_sharding(spark, docs):
     for n in (1, 2, 3, 40, 1000):
         rows = np.arange(n)
@@ -375,7 +386,8 @@ def test_license_voting(spark):
 def test_language_gradients():
     rng = np.random.default_rng(0)
     m = language_id.Model(["a", "b"], *[0.3 * rng.standard_normal(s) for s in ((2, 256, 12), (2, 4, 12), (2, 4, 2), (2,))])
-    matrix, length, owner = language_id.windows([b"abc", b"a" * 40, b"zz"])
+    matrix, length, owner, own = language_id.windows([b"abc", b"a" * 40, b"zz"])
+    assert own.sum(axis=1).tolist() == [3, 32, 8, 2] and length.tolist() == [3, 40, 24, 2]
     label = np.array([0, 1, 0])[owner]
     _, grads = language_id.gradients(m, matrix, length, label)
     for x, g, at in zip(m.parameters(), grads, [(0, 97, 5), (1, 2, 9), (1, 3, 1), (1,)], strict=True):
@@ -405,6 +417,53 @@ def test_language_id(spark, docs):
     assert kept.columns == docs.columns and kept.count() == sum(1 for v in language_id.predict(docs, model).collect() if v["lang_pred"] != "und")
 
 
+def test_labels_equal_a_plain_network_byte_by_byte():
+    rng = np.random.default_rng(4)
+    m = language_id.Model(["a", "b", "c"], *[0.5 * rng.standard_normal(s) for s in ((2, 256, 12), (2, 4, 12), (2, 4, 3), (3,))])
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def plain(raw):
+        logits = np.tile(m.c, (len(raw), 1))
+        for d in range(2):
+            state = np.zeros(4)
+            for t in range(len(raw)) if d == 0 else reversed(range(len(raw))):
+                x = m.w[d][raw[t]]
+                z, r = sig(x[:4] + state @ m.u[d][:, :4]), sig(x[4:8] + state @ m.u[d][:, 4:8])
+                new = np.tanh(x[8:] + r * (state @ m.u[d][:, 8:]))
+                state = new + z * (state - new)
+                logits[t] += state @ m.v[d]
+        e = np.exp(logits)
+        return e / e.sum(axis=1, keepdims=True)
+
+    texts = ["Hello there 12", "x", "日本語のテキスト" * 9, "a 日本 b"]
+    names, score = language_id.Labeller(m).label(texts)
+    for text, name, s in zip(texts, names, score, strict=True):
+        total = []
+        for chunk in text.lower().split():
+            raw, out = chunk.encode(), []
+            if not any(c.isalpha() for c in chunk):
+                continue
+            for at in range(0, len(raw), 32):
+                enter = max(0, at - 16)
+                out += plain(raw[enter : at + 48])[at - enter : at - enter + 32].tolist()
+            assert len(out) == len(raw)
+            total += out
+        mean = np.mean(total, axis=0)
+        assert name == m.languages[mean.argmax()] and abs(mean.max() - s) < 1e-4
+
+
+def test_every_labelled_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_DOCS", 6)
+    rnd = random.Random(7)
+    long = "".join(rnd.choice(["keit", "sch ", "über", "ung "]) for _ in range(9000))
+    rows = [(i, "the thing was shown", "en") for i in range(400)] + [(1000 + i, long, "de") for i in range(3)]
+    df = spark.createDataFrame([(i, t, k, "s", len(t), "x", "y", "z") for i, t, k in rows], DOCS)
+    texts, languages = language_id.sample(df)
+    assert set(languages) == {"en", "de"} and languages.count("en") == 3 and max(map(len, texts)) == language_id.EXCERPT
+    model = language_id.train(texts, languages, steps=60)
+    assert language_id.Labeller(model).label([long])[0] == ["de"] and model.languages == ["de", "en"]
+
+
 def brute_near(ids, x, q_id, k):
     d = np.sqrt(((x - x[ids == q_id][0]) ** 2).sum(axis=1))
     return [int(ids[i]) for i in np.lexsort((ids, d)) if ids[i] != q_id][:k]
@@ -428,6 +487,8 @@ def test_nearest_neighbours(spark, monkeypatch, group_rows):
         hits += len(set(g["vec_id"]) & set(brute_near(ids, exact, q, 10)))
     assert out["query_id"].nunique() == 12 and hits >= 0.9 * 120
     assert out[out["query_id"] == 100]["vec_id"].tolist()[:3] == [7, 101, 102]
+    odd = spark.createDataFrame([(i, v.tolist()[: 8 if i % 50 else 6], "q") for i, v in enumerate(x)], df.schema)
+    assert ann.search(odd, F.col("vec_id") % 50 == 0).count() == 0  # queries of another dimension than the table's
     few = ann.search(df.where("vec_id < 4"), F.col("vec_id") == 0).collect()
     assert len(few) == 3 and ann.search(df.where("vec_id < 0"), F.col("vec_id") == 0).count() == 0
 

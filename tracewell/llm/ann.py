@@ -5,20 +5,24 @@ A code is cut into ``TABLES`` substrings, and each substring is an index of its
 differ in at most radius / TABLES bits in one of the substrings at least, so probing every substring value within
 that many bits of the query's finds all of them; each pair is taken in the first table that finds it. What is within
 the radius is ranked by exact Euclidean distance. The radius is the ``QUANTILE`` of the code distances of true
-neighbours in the sample, so it follows the data; queries that find too few go again with the radius at its most.
+neighbours in the sample, so it follows the data; queries that find too few go again with twice the radius.
 
-Work is dealt out by (table, group of substring values, salt, block of queries): a value that many codes share is split
-by salt, and queries come in blocks, so no task holds more than ``GROUP_ROWS`` codes and ``BLOCK_QUERIES`` queries about.
-Only sample, and counts by substring value, reach the driver. Equal vectors are kept up to k + 1 (the smallest ids),
-which no result can tell from all of them; equal query vectors are searched once.
+The index is dealt out by documents: every task indexes the rows that it reads, ``GROUP_ROWS`` at a time, and answers
+for them. So no vector is shuffled or copied, neither by table nor by query, and a vector or a code that a third of
+all rows share is spread over all tasks. Queries come in blocks of about ``BLOCK_QUERIES``, one broadcast and one pass
+over the table for each block; a pass hands on at most k + 1 ids and distances for each query and task, which are
+merged by query. Only the sample and one block of queries at a time reach the driver.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose
 dimension is not the most common one (the smaller one on a tie). Equal distances go to the smaller id. A row that
-repeats an id and a vector counts once; an id with different vectors counts as several candidates.
+repeats an id and a vector counts once; an id with different vectors counts as several candidates, and as a query it asks
+for each of them. An empty table, or one without usable vectors, gives an empty result. Only the id, the vector and what
+the query condition names are read.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut, has
+from tracewell.llm.common import cut
 
 BITS, TABLES = 64, 8
 FIT_ROWS, FIT_QUERIES, FIT_ROUNDS, QUANTILE, SEED = 8192, 256, 30, 0.95, 3
@@ -87,11 +91,11 @@ def radius_of(coder: Coder, x: np.ndarray, k: int) -> int:
     return int(np.quantile(found, QUANTILE, method="higher")) if len(found) else BITS
 
 
-def usable(rows: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """Rows (id, v) that take part."""
-    v = F.col(vector)
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = rows.where(v.isNotNull() & F.col(id_column).isNotNull()).where(finite).select(F.col(id_column).cast("long").alias("id"), v.alias("v"))
+def usable(rows: DataFrame, is_query: Column, id_column: str, vector: str) -> DataFrame:
+    """Rows (id, v, asks) that take part, of one dimension for queries and candidates alike."""
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    rows = rows.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = rows.where(F.col("v").isNotNull() & F.col("id").isNotNull()).where(finite)
     sizes = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()
     return rows.where(F.size("v") == sizes[0]["n"]) if sizes else rows
 
@@ -104,22 +108,6 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def coded(rows: DataFrame, coder: Coder) -> DataFrame:
-    """Rows (id, v) with ``code``, 8 bytes."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                code = [c.tobytes() for c in coder.codes(matrix(b.column("v")))]
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(code, pa.binary())], names=["id", "v", "code"])
-
-    return rows.mapInArrow(run, f"id bigint, v {rows.schema['v'].dataType.simpleString()}, code binary")
-
-
-def byte_at(t: int) -> Column:
-    return F.conv(F.hex(F.substring("code", t + 1, 1)), 16, 10).cast("int")
-
-
 def probe(t: int, radius: int, k: int, ids: np.ndarray, codes: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q_codes: np.ndarray, q: np.ndarray) -> tuple[list, list, list]:
     """The k nearest of the codes within the radius that table ``t`` is the first to find, for each query."""
     flips = radius // TABLES
@@ -152,67 +140,98 @@ def probe(t: int, radius: int, k: int, ids: np.ndarray, codes: np.ndarray, x: np
     return out
 
 
-def within(base: DataFrame, queries: DataFrame, counts: dict[tuple[int, int], int], n_queries: int, radius: int, k: int) -> DataFrame:
-    """(qid, id, score): for each query its k nearest within the radius. ``counts``: codes by (table, value)."""
-    flips = radius // TABLES
-    total = sum(c for (t, _), c in counts.items() if t == 0)
-    groups = int(min(256, max(1, -(-total // GROUP_ROWS))))
-    held: dict[tuple[int, int], int] = {}
-    for (t, v), c in counts.items():
-        held[t, v % groups] = held.get((t, v % groups), 0) + c
-    blocks = max(1, -(-n_queries // BLOCK_QUERIES))
-    layout = base.sparkSession.createDataFrame([(t, g, -(-c // GROUP_ROWS)) for (t, g), c in held.items()], "t int, g int, salts int")
-    tables = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), byte_at(t).alias("value")) for t in range(TABLES)]))
-    rows = base.select("id", "v", "code", tables.alias("s")).select("id", "v", "code", "s.t", (F.col("s.value") % groups).alias("g"))
-    rows = rows.join(F.broadcast(layout), ["t", "g"]).withColumn("salt", F.pmod(F.xxhash64("id", "v"), F.col("salts")).cast("int"))
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).drop("salts")
-    # A query goes to the groups that hold a value within reach of its own.
-    reach = base.sparkSession.createDataFrame([(v, sorted({(v ^ o) % groups for o in range(256) if int(POPCOUNT[o]) <= flips})) for v in range(256)], "value int, gs array<int>")
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("s", tables)
-    asked = asked.select("qid", "v", "code", "block", "s.t", "s.value").join(F.broadcast(reach), "value").withColumn("g", F.explode("gs"))
-    asked = asked.join(F.broadcast(layout), ["t", "g"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("qid", "v", "code", "t", "g", "salt", "block")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
-        if left.num_rows and right.num_rows:
-            bits = lambda side: np.frombuffer(b"".join(side.column("code").to_pylist()), np.uint8).reshape(-1, TABLES)
-            t = right.column("t")[0].as_py()
-            out = probe(t, radius, k, left.column("id").to_numpy(), bits(left), matrix(left.column("v")), right.column("qid").to_numpy(), bits(right), matrix(right.column("v")))
-        return pa.table([pa.array(c, kind) for c, kind in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["qid", "id", "score"])
-
-    by = ["t", "g", "salt", "block"]
-    found = rows.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(run, "qid bigint, id bigint, score double")
-    order = Window.partitionBy("qid").orderBy("score", "id")
-    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
+def best_of(k: int, q: np.ndarray, ids: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of each query, smaller ids first; an id at one distance counts once."""
+    by = np.lexsort((ids, d, q))
+    q, ids, d = q[by], ids[by], d[by]
+    new = np.r_[True, (q[1:] != q[:-1]) | (ids[1:] != ids[:-1]) | (d[1:] != d[:-1])] if len(q) else np.zeros(0, bool)
+    q, ids, d = q[new], ids[new], d[new]
+    place = np.arange(len(q))
+    first = np.maximum.accumulate(np.where(np.r_[True, q[1:] != q[:-1]], place, 0)) if len(q) else place
+    keep = place - first < k
+    return q[keep], ids[keep], d[keep]
+
+
+def once(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without rows that repeat an id and a vector."""
+    if len(np.unique(ids)) == len(ids):
+        return ids, x
+    _, at = np.unique(np.c_[ids.view(np.float64), x].view(np.dtype((np.void, 8 * (x.shape[1] + 1)))).ravel(), return_index=True)
+    return ids[at], x[at]
+
+
+def within(base: DataFrame, coder: Coder, q_ids: np.ndarray, q: np.ndarray, radius: int, k: int) -> DataFrame:
+    """(qid, id, score): of what each task reads, the k nearest within the radius of each query of a block."""
+    sent = base.sparkSession.sparkContext.broadcast((coder, q_ids, coder.codes(q), q))
+    group_rows = GROUP_ROWS
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, q_ids, q_codes, q = sent.value
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+        def searched(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            rows = pa.Table.from_batches(held)
+            ids, x = once(rows.column("id").to_numpy(), matrix(rows.column("v")))
+            out = best
+            codes = coder.codes(x)
+            for t in range(TABLES):
+                found = probe(t, radius, k, ids, codes, x, q_ids, q_codes, q)
+                out = best_of(k, *[np.r_[a, np.array(b, a.dtype)] for a, b in zip(out, found, strict=True)])
+            return out
+
+        held, n = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, group_rows):
+                part = batch.slice(at, group_rows)
+                if n and n + part.num_rows > group_rows:
+                    best, held, n = searched(held), [], 0
+                held.append(part)
+                n += part.num_rows
+        if n:
+            best = searched(held)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], names=["qid", "id", "score"])
+
+    return base.select("id", "v").mapInArrow(run, "qid bigint, id bigint, score double")
 
 
 def search(rows: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """For every row with ``is_query`` its k nearest other rows: query_id, rank, vec_id, score."""
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    all_rows = usable(rows, id_column, vector)
-    asking = usable(rows.where(is_query), id_column, vector).distinct()
-    n = all_rows.count()
+    base = usable(rows, is_query, id_column, vector)
+    n = base.count()
     if not n:
-        return rows.sparkSession.createDataFrame([], schema)
+        return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     parts = 1 << 30
     drawn = F.pmod(F.xxhash64("id", "v"), F.lit(parts))
-    taken = all_rows.where(drawn <= min(parts, 2 * FIT_ROWS * parts // n)).orderBy(drawn, "id").limit(FIT_ROWS).select("v").toArrow()
+    taken = base.where(drawn <= min(parts, 2 * FIT_ROWS * parts // n)).orderBy(drawn, "id").limit(FIT_ROWS).select("v").toArrow()
     x = matrix(taken.column("v"))
     coder = fit(x)
     radius = radius_of(coder, x, k)
-    equal = Window.partitionBy("v").orderBy("id")
-    base = cut(coded(all_rows.distinct().withColumn("n", F.row_number().over(equal)).where(F.col("n") <= k + 1).drop("n"), coder))
-    values = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), byte_at(t).alias("v")) for t in range(TABLES)]))
-    counts = {(r["t"], r["v"]): r["n"] for r in base.select(values.alias("s")).groupBy("s.t", "s.v").agg(F.count("*").alias("n")).collect()}
-    queries = cut(coded(asking.groupBy("v").agg(F.min("id").alias("id")), coder).withColumnRenamed("id", "qid"))
-    n_queries = queries.count()
-    found = cut(within(base, queries, counts, n_queries, radius, k + 1))
-    short = queries.join(found.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= min(k + 1, n)), "qid", "left_anti")
-    if radius < BITS and has(short):
-        short = cut(short)
-        more = within(base, short, counts, short.count(), BITS, k + 1)
-        found = found.join(short.select("qid"), "qid", "left_anti").unionByName(more)
-    answered = asking.select(F.col("id").alias("query_id"), "v").join(queries.select("qid", "v"), "v").select("query_id", "qid").join(found, "qid").where("id <> query_id")
+    # Equal query vectors are searched once; one more than k, since a query may find itself.
+    asking = cut(base.where("asks").select("id", "v").distinct())
+    queries = cut(asking.groupBy("v").agg(F.min("id").alias("qid")).select("qid", "v", F.xxhash64("v").alias("deal")))
+    blocks = -(-queries.count() // BLOCK_QUERIES)
+    none = rows.sparkSession.createDataFrame([], "qid bigint, id bigint, score double")
+    found = [none]
+    for b in range(blocks):
+        block = queries.where(F.pmod("deal", F.lit(blocks)) == b).select("qid", "v").toArrow()
+        ids, q, reach = block.column("qid").to_numpy(), matrix(block.column("v")), radius
+        while len(ids):
+            order = Window.partitionBy("qid").orderBy("score", "id")
+            near = within(base, coder, ids, q, reach, k + 1).distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+            near = cut(near.drop("n"))
+            if reach >= BITS:
+                found.append(near)
+                break
+            short = near.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= min(k + 1, n)).select("qid").toArrow()
+            enough = np.isin(ids, short.column("qid").to_numpy())
+            if enough.all():
+                found.append(near)
+                break
+            answered = rows.sparkSession.createDataFrame(pd.DataFrame({"qid": ids[enough]}), "qid bigint")
+            found.append(near.join(F.broadcast(answered), "qid", "left_semi"))
+            ids, q, reach = ids[~enough], q[~enough], min(BITS, 2 * max(1, reach))
+    every = functools.reduce(DataFrame.unionByName, found)
+    answers = asking.select(F.col("id").alias("query_id"), "v").join(queries.select("qid", "v"), "v").select("query_id", "qid").join(every, "qid").where("id <> query_id")
     order = Window.partitionBy("query_id").orderBy("score", "id")
-    ranked = answered.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = answers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias("vec_id"), "score")

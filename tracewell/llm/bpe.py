@@ -6,7 +6,8 @@ words that have nothing left to merge. Encoded words are kept in a bounded cache
 a word about once per worker and not once per occurrence.
 
 Defined results: a null or empty text has no tokens, and both digests are those of the empty string. A text of
-any length is encoded whole; one word of any length is merged with a heap in O(n log n). Repeated rows give
+any length is encoded whole; a long word goes through the same rounds, one at a time, on arrays of neighbours that a
+round changes only at the places of its pair. Repeated rows give
 repeated results. Columns other than the id and the text are not read, so their names cannot clash.
 """
 
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame
 
 from tracewell.llm.common import WordCache, bounded, text_slices
 
-#: Words of more bytes than this are merged one by one with a heap.
-HEAP_BYTES = 256
+#: Words of more bytes than this take their rounds alone.
+LONG_BYTES = 256
 #: Symbols that one batch of merge rounds holds at most.
 BATCH_SYMBOLS = 1 << 16
 #: Pre-tokens that a vocabulary remembers at most.
@@ -87,33 +88,48 @@ class Bpe:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, at, -1)
 
-    def merge_long(self, symbols: list[int]) -> list[int]:
-        """One word's merges, lowest rank and leftmost first, with a heap over a linked list."""
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        at = self.find(np.array(symbols[:-1], np.int64), np.array(symbols[1:], np.int64))
-        heap = [(int(self.ranks[a]), i, symbols[i], symbols[i + 1], int(self.made[a])) for i, a in enumerate(at) if a >= 0]
-        heapq.heapify(heap)
-        known: dict[tuple[int, int], tuple[int, int] | None] = {}
-        while heap:
-            _, i, a, b, made = heapq.heappop(heap)
-            j = after[i]
-            if symbols[i] != a or j >= n or symbols[j] != b:
+    def long_rounds(self, raw: np.ndarray) -> np.ndarray:
+        """Ids of one long word: each round merges the pair of lowest rank wherever it stands, and looks up the pairs this makes."""
+        n = len(raw)
+        ids = np.append(self.inner[raw[:-1]], self.last[raw[-1]])
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        alive = np.ones(n, bool)
+        at = np.full(n, -1)  # the merge of each symbol with the next one
+        waiting: dict[int, list[np.ndarray]] = {}  # rank -> places
+        ranks: list[int] = []
+
+        def look(places: np.ndarray) -> None:
+            at[places] = -1
+            places = places[after[places] < n]
+            at[places] = found = self.find(ids[places], ids[after[places]])
+            places, rank = places[found >= 0], self.ranks[found[found >= 0]]
+            by = np.argsort(rank, kind="stable")
+            for part in np.split(by, np.flatnonzero(np.diff(rank[by])) + 1) if len(by) else []:
+                r = int(rank[part[0]])
+                if r not in waiting:
+                    heapq.heappush(ranks, r)
+                waiting.setdefault(r, []).append(places[part])
+
+        look(np.arange(n))
+        while ranks:
+            rank = heapq.heappop(ranks)
+            places = np.unique(np.concatenate(waiting.pop(rank)))
+            places = places[(at[places] >= 0) & (self.ranks[at[places]] == rank)]
+            if not len(places):
                 continue
-            symbols[i], symbols[j] = made, -1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for left, right in ((before[i], i), (i, after[i])):
-                if left < 0 or right >= n:
-                    continue
-                pair = (symbols[left], symbols[right])
-                if pair not in known:
-                    p = int(self.find(np.array(pair[:1]), np.array(pair[1:]))[0])
-                    known[pair] = (int(self.ranks[p]), int(self.made[p])) if p >= 0 else None
-                if found := known[pair]:
-                    heapq.heappush(heap, (found[0], left, *pair, found[1]))
-        return [s for s in symbols if s >= 0]
+            # Equal pairs that overlap (aaa) stand next to each other: every second one of a run merges.
+            along = np.arange(len(places))
+            begins = np.append(True, places[1:] != after[places[:-1]])
+            places = places[(along - np.maximum.accumulate(np.where(begins, along, 0))) % 2 == 0]
+            gone = after[places]
+            ids[places] = self.made[at[places]]
+            alive[gone], at[gone] = False, -1
+            after[places] = after[gone]
+            some = after[places] < n
+            before[after[places[some]]] = places[some]
+            left = before[places]
+            look(np.unique(np.concatenate([places, left[left >= 0]])))
+        return ids[alive]
 
     def rounds(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, given as their bytes in one array and their lengths: all ids in one array, and how many each word has.
@@ -171,15 +187,13 @@ class Bpe:
         k = 0
         while k < len(words):
             begin = int(stops[k - 1]) + 1 if k else 0
-            if lengths[k] > HEAP_BYTES:
-                word = raw[begin : stops[k]]
-                got = self.merge_long([*self.inner[word[:-1]].tolist(), int(self.last[word[-1]])])
-                ids.append(np.array(got, np.int32))
-                counts.append(np.array([len(got)]))
+            if lengths[k] > LONG_BYTES:
+                ids.append(self.long_rounds(raw[begin : stops[k]]))
+                counts.append(np.array([len(ids[-1])]))
                 k += 1
                 continue
             end = max(k + 1, int(np.searchsorted(stops, begin + BATCH_SYMBOLS)))
-            over = np.flatnonzero(lengths[k:end] > HEAP_BYTES)
+            over = np.flatnonzero(lengths[k:end] > LONG_BYTES)
             end = k + int(over[0]) if len(over) else end
             part = raw[begin : stops[end - 1]]
             a, b = self.rounds(part[part != 10], lengths[k:end])

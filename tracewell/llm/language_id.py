@@ -1,14 +1,17 @@
 """Language identification by a bidirectional gated recurrent network over bytes (operator 4).
 
-The network reads the bytes of a white-space chunk in both directions (states start anew at white space, and after
-``WINDOW`` bytes of a longer chunk), and labels every position with a distribution over the languages. A document's
-probabilities are the mean over all its positions, of the whole text. It is trained in numpy by backpropagation
-through time, on the driver, from a bounded sample: ``PER_LANGUAGE`` documents of each language (chosen by a hash of
-their id, of at most ``TRAIN_CHARS`` characters). As a chunk's labels depend on the chunk alone, workers keep the sums
-of a bounded number of distinct chunks.
+The network reads the bytes of a white-space chunk in both directions and labels every position with a distribution
+over the languages. States start anew at white space. A chunk of more than ``WINDOW`` bytes, as texts without spaces
+have, is read in windows that overlap: each is entered ``CONTEXT`` bytes before its own positions and left as many
+after them, so every position is labelled once and with its context. A document's probabilities are the mean over all
+its positions, of the whole text. The network is trained in numpy by backpropagation through time, on the driver, from
+a bounded sample of labelled documents: about ``PER_LANGUAGE`` of each language, fewer where there are many languages
+(``SAMPLE_DOCS`` in all, one of each language at least), chosen by a hash of their id, and of each an excerpt of
+``EXCERPT`` characters at a place that the hash chooses. Every labelled language is learned. As a chunk's labels depend
+on the chunk alone, workers keep the sums of a bounded number of distinct chunks.
 
 Defined results: a text that is null, or has no letter, is ``und`` with score 0. Chunks without letters do not vote.
-Without labelled documents to learn from, every document is ``und``. Held out are the documents whose CRC-32 of the id
+The rows of a language without letters teach nothing, so it is never predicted. Without labelled documents to learn from, every document is ``und``. Held out are the documents whose CRC-32 of the id
 as text leaves 0 modulo 5 (a null id counts as empty text); the sample never holds them. Equal pooled probabilities go
 to the language that sorts first. Repeated rows give repeated results. An empty table gives an empty result.
 """
@@ -21,13 +24,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import bounded, text_slices
 
-PER_LANGUAGE, TRAIN_CHARS, MAX_LANGUAGES = 300, 20_000, 200
-HIDDEN, WINDOW, STEPS, BATCH, RATE, SEED = 16, 32, 400, 256, 0.02, 5
+PER_LANGUAGE, SAMPLE_DOCS, EXCERPT = 300, 12_000, 4000
+HIDDEN, WINDOW, CONTEXT, STEPS, BATCH, RATE, SEED = 16, 32, 16, 400, 256, 0.02, 5
 FOLDS = 5
 #: Chunks that a worker remembers at most, chunk windows that run through the network at once, and bytes of a slice of texts.
 CACHE_CHUNKS, RUN_WINDOWS, SLICE_BYTES = 200_000, 4096, 1 << 20
@@ -53,20 +56,23 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
-def windows(chunks: list[bytes], width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte matrix, lengths and owner of the windows of at most ``width`` bytes that make up the chunks."""
+def windows(chunks: list[bytes], width: int = WINDOW, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Byte matrix, lengths and owner of the windows that make up the chunks, and which positions are their own."""
     sizes = np.array([len(c) for c in chunks], np.int64)
     parts = -(-sizes // width)
     owner = np.repeat(np.arange(len(chunks)), parts)
     along = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    length = np.minimum(sizes[owner] - along * width, width)
+    first = along * width
+    enter = np.maximum(first - context, 0)
+    length = np.minimum(first + width + context, sizes[owner]) - enter
     flat = np.frombuffer(b"".join(chunks), np.uint8)
-    start = (np.cumsum(sizes) - sizes)[owner] + along * width
+    start = (np.cumsum(sizes) - sizes)[owner] + enter
     at = np.arange(int(length.max(initial=0)))
     inside = at < length[:, None]
     matrix = np.zeros(inside.shape, np.uint8)
     matrix[inside] = flat[(start[:, None] + at)[inside]]
-    return matrix, length, owner
+    own = (at >= (first - enter)[:, None]) & (at < (np.minimum(first + width, sizes[owner]) - enter)[:, None])
+    return matrix, length, owner, own
 
 
 def forward(model: Model, matrix: np.ndarray, length: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
@@ -144,7 +150,7 @@ def train(texts: list[str], languages: list[str], steps: int = STEPS, seed: int
     for step in range(1, steps + 1):
         label = rng.integers(0, len(names), BATCH)
         drawn = [chunks[names[k]][rng.integers(len(chunks[names[k]]))] for k in label]
-        matrix, length, owner = windows(drawn)
+        matrix, length, owner, _ = windows(drawn)
         _, grads = gradients(model, matrix, length, label[owner])
         rate = RATE * (1 - 0.9 * step / steps)
         for x, g, a, b in zip(model.parameters(), grads, first, second, strict=True):
@@ -170,14 +176,15 @@ class Labeller:
         out = np.zeros((len(chunks), self.sums.shape[1]), np.float32)
         spoken = [i for i, c in enumerate(chunks) if LETTER.search(c)] if self.model.languages else []
         spoken.sort(key=lambda i: len(chunks[i]))
+        step = max(16, RUN_WINDOWS * 8 // max(8, len(self.model.languages)))
         for at in range(0, len(spoken), RUN_WINDOWS):
             part = spoken[at : at + RUN_WINDOWS]
-            matrix, length, owner = windows([chunks[i].encode("utf-8", "replace") for i in part])
-            for k in range(0, len(owner), RUN_WINDOWS):
-                m, n, o = matrix[k : k + RUN_WINDOWS], length[k : k + RUN_WINDOWS], owner[k : k + RUN_WINDOWS]
+            matrix, length, owner, own = windows([chunks[i].encode("utf-8", "replace") for i in part])
+            for k in range(0, len(owner), step):
+                m, n, o, mine = (x[k : k + step] for x in (matrix, length, owner, own))
                 p, _ = forward(self.model, m, n)
-                p *= (np.arange(m.shape[1]) < n[:, None])[:, :, None]
-                np.add.at(out, np.array(part)[o], np.c_[p.sum(axis=1), n].astype(np.float32))
+                p *= mine[:, :, None]
+                np.add.at(out, np.array(part)[o], np.c_[p.sum(axis=1), mine.sum(axis=1)].astype(np.float32))
         return out
 
     def places(self, chunks: list[str]) -> np.ndarray:
@@ -219,23 +226,22 @@ def held_out(id_column: str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_column: str = "doc_id") -> tuple[list[str], list[str]]:
-    """Texts and languages to learn from: about ``per_language`` documents of each, by a hash of the id."""
-    usable = docs.where(~held_out(id_column) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    """Excerpts and languages to learn from: at most ``per_language`` documents of each, by a hash of the id."""
+    usable = docs.where(~held_out(id_column) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
     if not counts:
         return [], []
-    parts = 1 << 20
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(parts, -(-2 * per_language * parts // r["n"])))])
-    order = F.pmod(F.xxhash64(id_column), F.lit(parts))
-    drawn = usable.where(order < F.coalesce(share[F.col("lang")], F.lit(0))).select("text", "lang", order.alias("o"), F.xxhash64("text").alias("t"))
-    rows = drawn.orderBy("o", "t").limit(2 * per_language * len(counts) + 1000).collect()
-    texts, languages, taken = [], [], {}
-    for r in rows:
-        if taken.get(r["lang"], 0) < per_language:
-            taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-            texts.append(r["text"])
-            languages.append(r["lang"])
-    return texts, languages
+    most = max(1, min(per_language, SAMPLE_DOCS // len(counts)))
+    parts = 1 << 30
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(parts, -(-2 * most * parts // r["n"]) + parts // 64))])
+    order = F.pmod(F.xxhash64(id_column, F.lit("order")), F.lit(parts))
+    begin = F.pmod(F.xxhash64(id_column), F.greatest(F.length("text") - EXCERPT, F.lit(0)) + 1)
+    excerpt = F.expr("substring(text, 1 + begin, size)")
+    drawn = usable.where(order < share[F.col("lang")]).select("text", "lang", order.alias("o"), begin.cast("int").alias("begin"), F.lit(EXCERPT).alias("size"), F.xxhash64("text").alias("t"))
+    # The hash leaves about twice ``most`` rows of each language, however common it is.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("o", "t"))
+    rows = drawn.select(excerpt.alias("text"), "lang", "o", "t").withColumn("place", place).where(F.col("place") <= most).orderBy("lang", "place").collect()
+    return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
 def fit(docs: DataFrame, id_column: str = "doc_id") -> Model:

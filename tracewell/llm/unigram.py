@@ -7,10 +7,11 @@ vocabulary's own trie and move on together. Counts are stored at the terminal no
 
 Scores: the vocabulary file's order gives the piece of rank r the integer score -round(2^20 ln(r + 2)) (Zipf's law);
 equal scores go to fewer tokens. A character that no piece covers counts as its UTF-8 byte pieces. All arithmetic is
-in integers, so counts are exact and reproducible.
+in integers, so counts are exact and reproducible; every ``REBASE`` characters a prefix's count is put aside and its score
+starts anew, so a pre-token of any length fits.
 
 Defined results: a null, empty or blank text has no pre-tokens and no tokens. A pre-token of any length is counted
-whole (beyond a length, one at a time). Repeated rows give repeated results. Only the id and the text are read.
+whole. Repeated rows give repeated results. Only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from pyspark.sql import DataFrame
 from tracewell.llm.common import WordCache, bounded, text_slices
 
 MARK = "▁"
-#: Pre-tokens of more characters are worked out one at a time.
-TRIE_CHARS = 64
-#: Characters that one trie holds at most.
+#: Pre-tokens times the characters of the longest that one trie holds at most (a longer one has a trie of its own).
 TRIE_TOTAL = 1 << 20
+#: Characters after which counts are put aside, and the count that stays with the score then.
+REBASE, ASIDE = 1024, 1 << 12
 #: A score s and n tokens are held as (s << COUNT_BITS) - n: larger is better, and the count can be read off.
 COUNT_BITS = 16
 LOW = np.iinfo(np.int64).min // 2
@@ -75,7 +76,7 @@ class Unigram:
         return (sum(self.byte[b] for b in raw) << COUNT_BITS) - len(raw)
 
     def trie_best(self, words: list[str]) -> np.ndarray:
-        """Values of distinct pre-tokens, each prefix worked out once."""
+        """Tokens of distinct pre-tokens, each prefix worked out once."""
         order = sorted(range(len(words)), key=words.__getitem__)
         lengths = np.array([len(words[i]) for i in order])
         codes = np.zeros((len(words), int(lengths.max())), np.int32)
@@ -86,10 +87,11 @@ class Unigram:
         shared[1:] = np.argmin(np.c_[(codes[1:] == codes[:-1]) & (np.arange(codes.shape[1]) < np.minimum(lengths[1:], lengths[:-1])[:, None]), np.zeros(len(words) - 1, bool)], axis=1)
         alone = {int(c): self.fallback(chr(c)) for c in np.unique(flat)}
         seen, cost = np.array(list(alone)), np.array(list(alone.values()))
-        out = np.full(len(words), LOW)
+        out = np.zeros(len(words), np.int64)
+        mask, rebase = (1 << COUNT_BITS) - 1, REBASE
         rows = np.arange(len(words))  # words that reach this level
         node = np.zeros(len(words), np.int64)  # their node on the level above
-        value = np.zeros(1, np.int64)
+        value, aside = np.zeros(1, np.int64), np.zeros(1, np.int64)
         held_node, held_state, held_value = (np.zeros(0, np.int64) for _ in range(3))  # partial pieces at the nodes above
         for depth in range(codes.shape[1]):
             stay = lengths[rows] > depth
@@ -114,48 +116,31 @@ class Unigram:
             new = value[parent] + cost[np.searchsorted(seen, char)]
             ends = self.value[held_state] > LOW
             np.maximum.at(new, held_node[ends], held_value[ends] + self.value[held_state[ends]])
-            value, node = new, np.cumsum(begins) - 1
+            value, aside, node = new, aside[parent], np.cumsum(begins) - 1
             last = lengths[rows] == depth + 1
-            out[rows[last]] = value[node[last]]
+            out[rows[last]] = aside[node[last]] + (-value[node[last]] & mask)
+            if depth % rebase == rebase - 1:
+                aside = aside + (-value & mask) - ASIDE
+                held_value = held_value - (value + ASIDE)[held_node]
+                value = np.full(len(value), -ASIDE)
         result = np.empty(len(words), np.int64)
         result[order] = out
         return result
 
     def counts(self, words: list[str]) -> list[int]:
-        """Tokens of each pre-token."""
+        """Tokens of each pre-token; tries hold pre-tokens of like length."""
         value = np.zeros(len(words), np.int64)
-        short = [i for i, w in enumerate(words) if len(w) <= TRIE_CHARS]
-        for i, w in enumerate(words):
-            if len(w) > TRIE_CHARS:
-                value[i] = self.long_count(w)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
         at = 0
-        while at < len(short):
-            held, end = 0, at
-            while end < len(short) and held < TRIE_TOTAL:
-                held += len(words[short[end]])
+        while at < len(order):
+            end = at + 1
+            while end < len(order) and (end + 1 - at) * len(words[order[end]]) <= TRIE_TOTAL:
                 end += 1
-            part = short[at:end]
-            value[part] = -self.trie_best([words[i] for i in part]) & ((1 << COUNT_BITS) - 1)
+            part = order[at:end]
+            value[part] = self.trie_best([words[i] for i in part])
             at = end
         return value.tolist()
 
-    def long_count(self, word: str) -> int:
-        """One long pre-token, start by start, with counts that may pass COUNT_BITS."""
-        value: list[tuple[int, int] | None] = [None] * (len(word) + 1)
-        value[0] = (0, 0)
-        for i in range(len(word)):
-            here = value[i]
-            for j in range(i + 1, min(len(word), i + self.longest) + 1):
-                cost = self.score.get(word[i:j])
-                if cost is not None and (value[j] is None or (here[0] + cost, here[1] - 1) > value[j]):
-                    value[j] = (here[0] + cost, here[1] - 1)
-            if word[i] not in self.score:
-                raw = word[i].encode("utf-8", "surrogatepass")
-                new = (here[0] + sum(self.byte[b] for b in raw), here[1] - len(raw))
-                if value[i + 1] is None or new > value[i + 1]:
-                    value[i + 1] = new
-        return -value[-1][1]
-
 
 @functools.cache
 def load(path: str) -> Unigram:
