@@ -122,3 +122,31 @@ def test_values(spark):
     assert row["h"] == {"etag": "1"} and row["p"].startswith("objects/sha256/aa/") and row["q"] is None and row["m"] == {"api_key": "[redacted]", "n": "2"}
     assert row["t"] == "2023-11-14T22:13:20.123Z" and row["c"] == "a b\nc" and (row["n"], row["b"], row["s"]) == ("19", "false", '"q\\""') and row["d"] == 100 and row["r"] == 120_000 and row["u"] == 3
     assert row["f"] == "````md\n```x\n````\n" and row["k"] == "rss" and row["dm"] == "application/json"
+
+
+def test_header_names_that_differ_by_case(spark):
+    one = spark.range(1).select(
+        values.safe_headers(F.create_map(F.lit("Content-Type"), F.lit("a"), F.lit("content-type"), F.lit("b"), F.lit("X"), F.lit("c"))).alias("safe"),
+        formats.flat_headers(F.create_map(F.lit("A"), F.array(F.lit("1"), F.lit("2")), F.lit("a"), F.array(F.lit("3")))).alias("flat"),
+        values.safe_headers(F.lit(None).cast("map<string,string>")).alias("none"),
+    ).first()
+    assert one["safe"] == {"content-type": "b"} and one["flat"] == {"a": "1, 2, 3"} and one["none"] is None
+
+
+def test_ip_columns_agree_with_single_addresses(spark):
+    import ipaddress
+    import random
+
+    rnd = random.Random(5)
+    v6 = [str(ipaddress.IPv6Address(rnd.getrandbits(128) & rnd.getrandbits(128) & rnd.getrandbits(128) & rnd.getrandbits(128))) for _ in range(200)]
+    v6 += [ipaddress.IPv6Address(x).exploded.upper() for x in v6[:40]]
+    odd = ["::", "::1", "1::", "::ffff:1.2.3.4", "64:ff9b::8.8.8.8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:1.2.3.4"]
+    wrong = ["", ":", ":::", "1:2", "1::2::3", "12345::", "g::", "fe80::1%eth0", "1:2:3:4:5:6:7:8:9", "1:2:3:4::5:6:7:8", "::256.1.1.1", ":1:2:3:4:5:6:7", "01.2.3.4", "256.1.1.1", "1.2.3", "x"]
+    rows = spark.createDataFrame([(a,) for a in [*v6, *odd, *wrong, "8.8.8.8", "10.0.0.1"]], "a string")
+    rows = rows.withColumns({"k": ip.ipv6_key(F.col("a")), "n": ip.ipv4_number(F.col("a"))})
+    for r in rows.withColumns({"t": ip.ipv6_text(F.col("k")), "r": F.coalesce(ip.ipv6_reason(F.col("k")), ip.ipv4_reason(F.col("n")))}).collect():
+        known = ip.classify(r["a"])
+        assert r["r"] == (known and known[2]), r
+        if known and known[0] == 6:
+            value = ip.parse_ipv6(r["a"])
+            assert r["k"] == f"{value:032x}" and (r["t"] == ip.format_ipv6(value) or ipaddress.IPv6Address(r["t"]) == ipaddress.IPv6Address(value))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracewell.functions.values import lower_names
+
 #: White space as JavaScript's \s has it, for Java patterns.
 S = r"[\s\u000b   -     　﻿]"
 #: A name ends here (\b after an ASCII name).
@@ -37,7 +39,7 @@ def header_value(headers: Column, name: str) -> Column:
 
 def flat_headers(headers: Column) -> Column:
     """Lower-case names; repeated values of a name joined by ', '. ``headers``: map of string to array of strings."""
-    return F.map_from_entries(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), F.array_join(e["value"], ", ").alias("value"))))
+    return lower_names(headers, lambda values: F.array_join(F.flatten(values), ", "))
 
 
 def declared_kind(kind: Column) -> Column:

@@ -1,10 +1,10 @@
-"""IP special-use classification: ordered range tables, a native IPv4 path and IPv6 in Python."""
+"""IP special-use classification: ordered range tables, native for columns of both families, and in Python for single addresses."""
 
 from __future__ import annotations
 
 import ipaddress
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Special-use IPv4 ranges. The first range in this order that holds an address names it.
@@ -52,19 +52,51 @@ PUBLIC = "global"
 
 
 def ipv4_number(address: Column) -> Column:
-    """The address as a number; null unless it is a strict dotted quad."""
-    parts = F.transform(F.split(address, r"\."), lambda x: F.try_to_number(x, F.lit("999")).cast("long"))
-    ok = address.rlike(DOTTED) & F.forall(parts, lambda x: x <= 255)
-    return F.when(ok, F.aggregate(parts, F.lit(0).cast("long"), lambda s, x: s * 256 + x))
+    """The address as a number; null unless it is a strict dotted quad. Make it a column before it is tested many times."""
+    parts = F.split(address, r"\.")
+    quad = [F.get(parts, F.lit(k)).try_cast("int") for k in range(4)]
+    ok = address.rlike(DOTTED)
+    for q in quad:
+        ok = ok & (q <= 255)
+    number = F.lit(0).cast("long")
+    for q in quad:
+        number = number * 256 + q
+    return F.when(ok, number)
+
+
+def ipv6_key(address: Column) -> Column:
+    """The address as 32 hex digits; null unless it is an IPv6 address (a dotted quad may end it, a zone may not follow)."""
+    text = F.lower(address)
+    quad = F.regexp_extract(text, r":(\d+\.\d+\.\d+\.\d+)$", 1)
+    low = ipv4_number(quad)
+    words = F.concat(F.regexp_replace(text, r"\d+\.\d+\.\d+\.\d+$", ""), F.lower(F.hex(F.shiftright(low, 16))), F.lit(":"), F.lower(F.hex(low.bitwiseAND(0xFFFF))))
+    text = F.when(quad == "", text).otherwise(words)
+    sides = F.split(text, "::", -1)
+    groups = lambda k: F.when(F.coalesce(F.get(sides, F.lit(k)), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.get(sides, F.lit(k)), ":", -1))
+    left, right = groups(0), groups(1)
+    absent = 8 - F.size(left) - F.size(right)
+    whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(absent, F.lit(0))), right)
+    ok = text.contains(":") & F.when(F.size(sides) == 1, absent == 0).otherwise((F.size(sides) == 2) & (absent >= 1)) & F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    return F.when(ok, F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
+
+
+def ipv6_reason(key: Column) -> Column:
+    """The first range that holds the address of a key, as one CASE over the fixed table."""
+    out = F
+    for start, bits, reason in IPV6_RANGES:
+        low = int(ipaddress.IPv6Address(start))
+        out = out.when(key.between(f"{low:032x}", f"{low + (1 << (128 - bits)) - 1:032x}"), reason)
+    return F.when(key.isNotNull(), out.otherwise(PUBLIC))
 
 
-def ranges(spark: SparkSession) -> DataFrame:
-    """The IPv4 table as rows (ord, low, high, reason)."""
-    rows = []
-    for k, (start, bits, reason) in enumerate(IPV4_RANGES):
-        low = int(ipaddress.IPv4Address(start))
-        rows.append((k, low, low + (1 << (32 - bits)) - 1, reason))
-    return spark.createDataFrame(rows, "ord int, low long, high long, reason string")
+def ipv6_text(key: Column) -> Column:
+    """The shortest form of the address of a key: the longest run of two or more zero groups, the first of equals, is left out."""
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.regexp_replace(F.substring(key, k * 4 + 1, F.lit(4)), "^0{1,3}", "")), ":")
+    out = F
+    for n in range(8, 1, -1):
+        run = rf"(?:^|:)0(?::0){{{n - 1}}}(?::|$)"
+        out = out.when(text.rlike(run), F.regexp_replace(text, rf"^(.*?){run}(.*)$", "$1::$2"))
+    return out.otherwise(text)
 
 
 def ipv4_reason(number: Column) -> Column:

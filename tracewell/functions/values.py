@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,10 +18,18 @@ NUMBER = r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$"
 REDACTED = "[redacted]"
 
 
+def lower_names(headers: Column, joined: Callable[[Column], Column]) -> Column:
+    """A map by lower-case names; ``joined`` makes one value of those whose names differ by case only, in their order."""
+    entries = F.map_entries(headers)
+    names = F.array_distinct(F.transform(F.map_keys(headers), lambda k: F.lower(k)))
+    values = lambda name: F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == name), lambda e: e["value"])
+    return F.map_from_arrays(names, F.transform(names, lambda name: joined(values(name))))
+
+
 def safe_headers(headers: Column) -> Column:
-    """Lower-case response headers that may be kept: named ones, of at most 4096 characters in one line."""
-    lower = F.map_from_entries(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
-    return F.map_filter(lower, lambda k, v: k.isin(SAFE_RESPONSE_HEADERS) & (F.length(v) <= 4096) & ~v.rlike(r"[\r\n\x00]"))
+    """Lower-case response headers that may be kept: named ones, of at most 4096 characters in one line; the last of equal names."""
+    named = lower_names(headers, lambda values: F.element_at(values, -1))
+    return F.map_filter(named, lambda k, v: k.isin(SAFE_RESPONSE_HEADERS) & (F.length(v) <= 4096) & ~v.rlike(r"[\r\n\x00]"))
 
 
 def request_headers(headers: Column, each: int = 8192, total: int = 16384) -> Column:

@@ -33,9 +33,16 @@ def follow(starts: DataFrame, hops: DataFrame, most: int) -> DataFrame:
 
 
 def dns_gate(answers: DataFrame) -> DataFrame:
-    """Per host of IPv4 answers (host, address): whether all are public, the distinct answers, and the selected one."""
-    number = ip.ipv4_number(F.col("address"))
-    rows = answers.withColumn("n", number).withColumn("reason", ip.ipv4_reason(F.col("n")))
-    fine = F.coalesce(F.bool_and(F.col("reason").eqNullSafe(ip.PUBLIC)), F.lit(False))
-    out = rows.groupBy("host").agg(fine.alias("public"), F.count_distinct("address").alias("answers"), F.min_by("address", "n").alias("first"), F.min_by("reason", F.when(~F.col("reason").eqNullSafe(ip.PUBLIC), F.col("n"))).alias("deny_reason"))
-    return out.select("host", "public", "answers", F.when(F.col("public"), F.col("first")).alias("selected"), "deny_reason")
+    """Per host of answers (host, address) of both families: whether all are public, the distinct answers, and the selected one.
+
+    Answers are ordered by family and number; the first public one is selected, in its shortest form. An answer that
+    is no address denies the host, without a reason of its own.
+    """
+    rows = answers.withColumns({"v4": ip.ipv4_number(F.col("address")), "v6": ip.ipv6_key(F.col("address"))})
+    # One key that sorts by family and number; what is no address has none.
+    key = F.when(F.col("v4").isNotNull(), F.concat(F.lit("4"), F.lpad(F.hex("v4"), 8, "0"))).otherwise(F.concat(F.lit("6"), "v6"))
+    rows = rows.withColumns({"key": key, "reason": F.coalesce(ip.ipv4_reason(F.col("v4")), ip.ipv6_reason(F.col("v6")))})
+    public = F.col("reason").eqNullSafe(ip.PUBLIC)
+    out = rows.groupBy("host").agg(F.coalesce(F.bool_and(public), F.lit(False)).alias("public"), F.count_distinct(F.coalesce("key", "address")).alias("answers"), F.min(F.struct("key", "address")).alias("first"), F.min_by("reason", F.when(~public, F.col("key"))).alias("deny_reason"))
+    first = F.when(F.col("first.key").startswith("6"), ip.ipv6_text(F.substring("first.key", 2, 32))).otherwise(F.col("first.address"))
+    return out.select("host", "public", "answers", F.when(F.col("public"), first).alias("selected"), "deny_reason")
