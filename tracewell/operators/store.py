@@ -14,14 +14,17 @@ STATUSES = ["ok", "partial", "exhausted", "blocked", "internal_error", "output_f
 def objects(rows: DataFrame, body: str, order: str, keep: list[str] | None = None) -> DataFrame:
     """One object for each distinct content: hash, path, bytes, copies and the first of ``order``.
 
-    Bodies never move: they are hashed where they are read, and only narrow rows are grouped.
+    Bodies never move: they are hashed where they are read, and only narrow rows are grouped. ``outcome`` is ``ok``, or
+    ``object_too_large`` for contents that the store does not take.
     """
     narrow = rows.select(digest(F.col(body)).alias("hash"), F.octet_length(body).cast("long").alias("bytes"), F.col(order), *(keep or []))
-    return narrow.where(F.col("bytes") <= MAX_OBJECT).groupBy("hash").agg(F.first("bytes").alias("bytes"), F.count("*").alias("copies"), F.min(order).alias(f"first_{order}")).withColumn("path", object_path(F.col("hash")))
+    out = narrow.groupBy("hash").agg(F.first("bytes").alias("bytes"), F.count("*").alias("copies"), F.min(order).alias(f"first_{order}"))
+    return out.withColumns({"path": object_path(F.col("hash")), "outcome": F.when(F.col("bytes") > MAX_OBJECT, "object_too_large").otherwise("ok")})
 
 
 def put(new: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Objects to append, and those whose stored size differs from what has the same hash (corrupt)."""
+    new = new.where("outcome = 'ok'") if "outcome" in new.columns else new
     fresh = new.dropDuplicates(["hash"]).join(existing.select("hash"), "hash", "left_anti")
     corrupt = new.join(existing.select("hash", F.col("bytes").alias("stored")), "hash").where("bytes <> stored")
     return fresh, corrupt

@@ -112,20 +112,31 @@ def ip_classify_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.pmod(F.col("o_orderkey") * 2654435761, F.lit(4294967296))
     address = F.concat_ws(".", *[F.shiftright(n, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)])
     rows = col(spark, sf_dir, "orders", "o_orderkey", address.alias("address"))
-    return rows.withColumn("reason", ip.ipv4_reason(ip.ipv4_number(F.col("address"))))
+    return rows.withColumn("n", ip.ipv4_number(F.col("address"))).select("o_orderkey", "address", ip.ipv4_reason(F.col("n")).alias("reason"))
+
+
+#: IPv6 answers by s_suppkey % 7: as given, in shortest form, and their reason.
+V6 = [("2606:4700::1111", "2606:4700::1111", "global"), ("2001:DB8:0:0::1", "2001:db8::1", "documentation"), ("::ffff:8.8.8.8", "::ffff:808:808", "ipv4-mapped"), ("2a00:1450:4001:0:0:0:0:65", "2a00:1450:4001::65", "global")]
 
 
 @query(f"""
-WITH a AS (SELECT 'host' || s_nationkey AS host, CASE WHEN s_suppkey % 9 = 0 THEN 167772160 + s_suppkey ELSE 134744072 + s_suppkey * 7 END AS n FROM supplier),
-c AS (SELECT host, n, (n // 16777216) || '.' || (n // 65536 % 256) || '.' || (n // 256 % 256) || '.' || (n % 256) AS address, CASE {V4_CASE} ELSE 'global' END AS reason FROM a)
-SELECT host, bool_and(reason = 'global') AS public, count(DISTINCT address) AS answers, CASE WHEN bool_and(reason = 'global') THEN min_by(address, n) END AS selected,
-  min_by(reason, n) FILTER (reason <> 'global') AS deny_reason FROM c GROUP BY host
+WITH s AS (SELECT *, CASE WHEN s_suppkey % 9 = 0 THEN 167772160 + s_suppkey ELSE 134744072 + s_suppkey * 7 END AS n FROM supplier),
+v4 AS (SELECT 'host' || (s_suppkey % 40) AS host, '4' || lpad(printf('%X', n), 8, '0') AS k, (n // 16777216) || '.' || (n // 65536 % 256) || '.' || (n // 256 % 256) || '.' || (n % 256) AS address, CASE {V4_CASE} ELSE 'global' END AS reason FROM s),
+t(k, given, address, reason) AS (VALUES {", ".join(f"('6{int(ip.ipaddress.IPv6Address(b)):032x}', '{a}', '{b}', '{r}')" for a, b, r in V6)}),
+v6 AS (SELECT 'host' || (s_suppkey % 40) AS host, t.k, t.address, t.reason FROM supplier JOIN t ON t.given = {[a for a, _, _ in V6]}[s_suppkey % 7 + 1]),
+c AS (SELECT * FROM v4 UNION ALL SELECT * FROM v6)
+SELECT host, bool_and(reason = 'global') AS public, count(DISTINCT k) AS answers, CASE WHEN bool_and(reason = 'global') THEN min_by(address, k) END AS selected,
+  min_by(reason, k) FILTER (reason <> 'global') AS deny_reason FROM c GROUP BY host
 """)
 def dns_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of both families."""
     k = F.col("s_suppkey")
     n = F.when(k % 9 == 0, 167772160 + k).otherwise(134744072 + k * 7)
-    address = F.concat_ws(".", *[F.shiftright(n, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)])
-    return redirects.dns_gate(col(spark, sf_dir, "supplier", F.concat(F.lit("host"), F.col("s_nationkey").cast("string")).alias("host"), address.alias("address")))
+    v4 = F.concat_ws(".", *[F.shiftright(n, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)])
+    v6 = F.get(F.array(*[F.lit(a) for a, _, _ in V6]), (k % 7).cast("int"))
+    host = F.concat(F.lit("host"), (k % 40).cast("string"))
+    rows = col(spark, sf_dir, "supplier", host.alias("host"), F.explode(F.array_compact(F.array(v4, v6))).alias("address"))
+    return redirects.dns_gate(rows)
 
 
 KIND_SQL = rf"""CASE WHEN regexp_matches(lower(b), '^(?:<!doctype{WS}+html(?:{WS}|>)|<html(?:{WS}|>))') THEN 'html' WHEN left(b, 1) IN ('{{', '[') THEN 'json' END"""
@@ -212,9 +223,9 @@ def json_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", markup.stable("props").alias("canonical"))
 
 
-@query("""SELECT event_id, '/user/' || user_id || ' https://e.example.org/' || event_type AS links FROM events WHERE event_type IN ('click', 'error')""")
+@query("""SELECT event_id, '/user/' || user_id || ' https://e.example.org/' || event_type AS links FROM events""")
 def json_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = col(spark, sf_dir, "events", "event_id", "event_type", "user_id").where(F.col("event_type").isin("click", "error"))
+    rows = col(spark, sf_dir, "events", "event_id", "event_type", "user_id")
     body = F.to_json(F.struct(F.concat(F.lit("/user/"), "user_id").alias("path"), F.array(F.lit("plain"), F.concat(F.lit("https://e.example.org/"), "event_type")).alias("more"), F.col("user_id").alias("n")))
     return rows.select("event_id", F.array_join(markup.links_in_json(body), " ").alias("links"))
 
@@ -265,7 +276,7 @@ def coerce_primitives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT 'sha256:' || sha256(text) AS hash, octet_length(encode(any_value(text))) AS bytes, count(*) AS copies, min(doc_id) AS first_doc_id, 'objects/sha256/' || left(sha256(text), 2) || '/' || sha256(text) AS path FROM documents GROUP BY sha256(text)
+SELECT 'sha256:' || sha256(text) AS hash, octet_length(encode(any_value(text))) AS bytes, count(*) AS copies, min(doc_id) AS first_doc_id, 'objects/sha256/' || left(sha256(text), 2) || '/' || sha256(text) AS path, CASE WHEN octet_length(encode(any_value(text))) > 52428800 THEN 'object_too_large' ELSE 'ok' END AS outcome FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)
 """)
 def object_store_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.objects(capture.table(spark, sf_dir, "documents").where("text is not null"), "text", "doc_id")
@@ -441,10 +452,11 @@ def crawl_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     edges = link_graph(spark, sf_dir).distinct()
     seen = crawl.bfs(edges, spark.createDataFrame([(0,)], "url long"), 4)
-    # A crawl's own frontier is bounded by max_frontier, so its order is one small window.
-    rows = seen.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("depth", "url")))
+    # The pages that the crawl takes are a top-k; what comes after them needs no order.
+    taken = seen.orderBy("depth", "url").limit(40).select("url", F.lit(True).alias("taken"))
+    rows = seen.join(F.broadcast(taken), "url", "left")
     u = F.col("url")
-    rows = rows.withColumn("state", F.when(F.col("k") > 40, "unvisited").when(u % 11 == 0, "blocked").when(u % 13 == 0, "failed").otherwise("accepted"))
+    rows = rows.withColumn("state", F.when(F.col("taken").isNull(), "unvisited").when(u % 11 == 0, "blocked").when(u % 13 == 0, "failed").otherwise("accepted"))
     part = lambda state, reason: rows.where(F.col("state") == state).select("url", "depth", F.lit(reason).cast("string").alias("reason"))
     again = seen.where("depth < 4").join(edges, F.col("url") == F.col("src")).select("dst", F.col("depth").alias("at")).join(seen.select(F.col("url").alias("dst"), "depth"), "dst").where("depth <= at")
     skipped = again.select(F.col("dst").alias("url"), (F.col("at") + 1).alias("depth"), F.lit("duplicate").alias("reason"))
@@ -495,7 +507,7 @@ def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.latest(rows, "fingerprint", [F.desc("fetched_at"), F.desc("run_id")]).select("fingerprint", "run_id", "expires_at")
 
 
-LEDGER = "SELECT user_id AS run_id, event_id AS seq, CASE event_type WHEN 'click' THEN CASE WHEN user_id % 3 = 0 THEN 'skipped' ELSE 'accepted' END WHEN 'error' THEN 'blocked' WHEN 'view' THEN 'skipped' WHEN 'signup' THEN 'failed' ELSE 'unvisited' END AS state, CASE event_type WHEN 'error' THEN 'reason_' || (event_id % 3) END AS reason FROM events WHERE event_id % 3 <> 1"
+LEDGER = "SELECT user_id AS run_id, event_id AS seq, CASE event_type WHEN 'click' THEN CASE WHEN user_id % 3 = 0 THEN 'skipped' ELSE 'accepted' END WHEN 'error' THEN 'blocked' WHEN 'view' THEN 'skipped' WHEN 'signup' THEN 'failed' ELSE 'unvisited' END AS state, CASE event_type WHEN 'error' THEN 'reason_' || (event_id % 3) END AS reason FROM events"
 
 
 @query(f"""
@@ -504,7 +516,7 @@ WITH l AS ({LEDGER}), c AS (SELECT run_id, count(*) FILTER (state = 'accepted')
 SELECT *, CASE WHEN accepted > 0 THEN CASE WHEN blocked + failed + unvisited > 0 THEN 'partial' ELSE 'ok' END WHEN blocked > 0 THEN 'blocked' ELSE 'exhausted' END AS status FROM c
 """)
 def crawl_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, t = capture.table(spark, sf_dir, "events").where("event_id % 3 <> 1"), F.col("event_type")
+    e, t = capture.table(spark, sf_dir, "events"), F.col("event_type")
     state = F.when((t == "click") & (F.col("user_id") % 3 == 0), "skipped").when(t == "click", "accepted").when(t == "error", "blocked").when(t == "view", "skipped").when(t == "signup", "failed").otherwise("unvisited")
     rows = e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), state.alias("state"), F.when(t == "error", F.concat(F.lit("reason_"), (F.col("event_id") % 3).cast("string"))).alias("reason"))
     return crawl.crawl_status(rows, ["run_id"], "seq")
