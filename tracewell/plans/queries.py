@@ -95,7 +95,11 @@ def url_policy_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", url.alias("url")).withColumn("reject", urls.policy_reject(F.col("url")))
 
 
-@query()
+@query(r"""
+WITH p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS canonical_url FROM pages)
+SELECT page_id, CAST(NULL AS VARCHAR) AS reject, canonical_url, regexp_extract(canonical_url, '^[a-z]+:') AS protocol, regexp_extract(canonical_url, '^[a-z]+://([^/?]+)', 1) AS hostname,
+  CASE WHEN canonical_url LIKE 'https:%' THEN 443 ELSE 80 END AS port, false AS is_ip_literal FROM p
+""")
 def url_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full admission by the parser, for all pages."""
     return col(spark, sf_dir, "pages", "page_id", urls.admit_url("url").alias("a")).select("page_id", "a.*")
@@ -190,9 +194,15 @@ def html_links_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return col(spark, sf_dir, "pages", "page_id", F.array_join(F.array_sort(F.array_distinct(formats.markup_hrefs(F.col("html")))), " ").alias("hrefs"))
 
 
-@query()
+@query(rf"""
+WITH h AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS hrefs FROM pages),
+r AS (SELECT page_id, array_to_string(list_sort(list_distinct(list_transform(hrefs, lambda x: origin || array_to_string(list_transform(string_split(x, ''), lambda c: CASE WHEN unicode(c) < 128 THEN c ELSE url_encode(c) END), '')))), ' ') AS links FROM h)
+SELECT page_id, links, links AS anchors FROM r
+""")
 def html_links_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return col(spark, sf_dir, "pages", "page_id", markup.links_of("html", "url").alias("links"), urls.resolve_all(formats.anchor_hrefs(F.col("html")), F.col("url")).alias("anchors"))
+    """Links by the parser and by the native anchor pattern, both resolved and sorted."""
+    rows = col(spark, sf_dir, "pages", "page_id", markup.links_of("html", "url").alias("links"), urls.resolve_all(formats.anchor_hrefs(F.col("html")), F.col("url")).alias("anchors"))
+    return rows.select("page_id", F.array_join("links", " ").alias("links"), F.array_join("anchors", " ").alias("anchors"))
 
 
 @query(f"SELECT page_id, {TITLE} AS title, sha256({TEXT}) AS text_sha256, CAST(length({TEXT}) AS BIGINT) AS text_length FROM pages")
@@ -394,7 +404,25 @@ def retry_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retry.native_timelines(attempt_events(spark, sf_dir), ["user_id"])
 
 
-@query()
+def sql_timeline(order: str, columns: str) -> str:
+    """The retry state machine by recursion over a job's attempts, four of them at most: two retries end it before."""
+    step = """SELECT e.user_id, e.n, p.clock AS started, e.code, p.retries, p.limited, e.ra,
+      p.clock + greatest(0, least(e.d, 15000, 60000 - p.clock)) AS finish,
+      e.kind = 'retryable' AND p.retries < 2 AND CASE WHEN e.code = 'rate_limited' THEN p.limited < 1 ELSE e.code IN ('network', 'timeout', 'http_5xx') END AS again
+    FROM p JOIN e ON e.user_id = p.user_id AND e.n = p.n + 1 WHERE p.outcome IS NULL"""
+    return f"""
+WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY {order}) AS n, {EVENT_KIND} AS kind, {EVENT_CODE} AS code, CAST(floor(abs(value)) AS BIGINT) AS d, event_id % 7 * 10000 AS ra FROM events),
+p(user_id, n, started, duration, code, delay, capped, clock, retries, limited, outcome) AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST('' AS VARCHAR), CAST(0 AS BIGINT), false, CAST(0 AS BIGINT), 0, 0, CAST(NULL AS VARCHAR) FROM e
+  UNION ALL
+  SELECT user_id, n, started, finish - started, code, CASE WHEN goes_on THEN asked ELSE 0 END, goes_on AND asked < ra AND code = 'rate_limited', finish + CASE WHEN goes_on THEN asked ELSE 0 END, retries + CASE WHEN goes_on THEN 1 ELSE 0 END,
+    limited + CASE WHEN goes_on AND code = 'rate_limited' THEN 1 ELSE 0 END, CASE WHEN NOT again THEN code WHEN NOT goes_on THEN 'hard_limit' END
+  FROM (SELECT *, again AND finish + asked < 60000 AS goes_on FROM (SELECT *, CASE WHEN code = 'rate_limited' THEN least(ra, 30000) ELSE 0 END AS asked FROM ({step}))))
+SELECT user_id, CAST(n AS INTEGER) AS attempt, started AS started_ms, duration AS duration_ms, code, delay AS delay_ms, capped{columns} FROM p WHERE n > 0
+"""
+
+
+@query(sql_timeline("event_id", ", coalesce(max_by(outcome, n) OVER (PARTITION BY user_id), 'interrupted') AS outcome"))
 def retry_timeline_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the clock: wall deadline and per-attempt limits cut jobs short."""
     return retry.timelines(attempt_events(spark, sf_dir), ["user_id"])
@@ -553,7 +581,17 @@ def politeness_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.schedule(pages, ["origin"], "page_id", "delay_ms", 2000)
 
 
-@query()
+@query("""
+WITH RECURSIVE q AS (SELECT regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, page_id AS seq, row_number() OVER (PARTITION BY regexp_extract(url, '^(https?://[^/?#]+)', 1) ORDER BY page_id) - 1 AS k, page_id % 3 * 100 AS ready, page_id % 5 * 200 AS gap, page_id % 2 AS want FROM pages),
+s(origin, seq, k, start_ms, offered, used, gap, budget, late) AS (
+  SELECT origin, seq, k, ready, CAST(3 AS BIGINT), CASE WHEN ready >= 5000 THEN 0 ELSE want END, gap, 3 - want, ready >= 5000 FROM q WHERE k = 0
+  UNION ALL
+  SELECT origin, seq, k, start_ms, offered, used, gap, budget - used, start_ms >= 5000 FROM (
+    SELECT *, CASE WHEN late OR start_ms >= 5000 THEN 0 ELSE least(offered, want) END AS used FROM (
+      SELECT q.origin, q.seq, q.k, CASE WHEN s.late THEN s.start_ms ELSE greatest(q.ready, s.start_ms + greatest(250, s.gap)) END AS start_ms, CASE WHEN s.late OR q.k % 2 = 1 THEN 0 ELSE s.budget END AS offered, q.want, q.gap, s.budget, s.late
+      FROM s JOIN q ON q.origin = s.origin AND q.k = s.k + 1)))
+SELECT origin, seq, start_ms, offered, used AS retries_used, CASE WHEN late THEN 'max_time' END AS reason FROM s
+""")
 def politeness_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("page_id")
     pages = col(spark, sf_dir, "pages", urls.plain_parts(F.col("url"))["origin"].alias("origin"), n.alias("seq"), (n % 3 * 100).alias("ready_ms"), (n % 5 * 200).alias("delay_ms"), (n % 2).alias("want_retries"))
@@ -689,14 +727,24 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drained(spark, rows.select("user_id", "event_type")).groupBy("event_type").agg(F.count("*").alias("first_events"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+c(user_id, n, fetched, hits, misses) AS (
+  SELECT user_id, n, t, 0, 1 FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.user_id, e.n, CASE WHEN e.t < c.fetched + 86400000 THEN c.fetched ELSE e.t END, c.hits + CASE WHEN e.t < c.fetched + 86400000 THEN 1 ELSE 0 END, c.misses + CASE WHEN e.t < c.fetched + 86400000 THEN 0 ELSE 1 END
+  FROM c JOIN e ON e.user_id = c.user_id AND e.n = c.n + 1)
+SELECT user_id, max(hits) AS hits, max(misses) AS misses FROM c GROUP BY user_id
+""")
 def robots_ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetches of a cache by user whose entries live a day, as a stream."""
     rows = streams.ttl_cache(streams.events(spark, f"{sf_dir}/events.parquet"), "user_id", 86_400_000)
     return streams.drained(spark, rows, "update", lambda df: df.groupBy("user_id").agg(F.max_by("hits", "batch").alias("hits"), F.max_by("misses", "batch").alias("misses")))
 
 
-@query()
+@query(sql_timeline("ts, event_id", ""))
 def retry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same machine on a stream of attempts, in order of time."""
     rows = streams.events(spark, f"{sf_dir}/events.parquet")
     rows = rows.select("user_id", "ts", F.expr(EVENT_KIND).alias("kind"), F.expr(EVENT_CODE).alias("code"), F.floor(F.abs("value")).cast("long").alias("duration_ms"), (F.col("event_id") % 7 * 10_000).alias("retry_after_ms"))
     return streams.drained(spark, streams.retries(rows, "user_id"))

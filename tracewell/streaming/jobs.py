@@ -58,24 +58,33 @@ def ttl_cache(stream: DataFrame, key: str, ttl_ms: int, delay: str = "1 hour") -
     return timed.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, hits long, misses long", "fetched long, hits long, misses long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def retries(stream: DataFrame, key: str, limits: Limits = Limits()) -> DataFrame:
-    """Retry timelines of jobs whose attempts arrive as a stream (key, ts, kind, code, duration_ms, retry_after_ms)."""
+def retries(stream: DataFrame, key: str, limits: Limits = Limits(), delay: str = "1 hour", idle_ms: int = 86_400_000) -> DataFrame:
+    """Retry timelines of jobs whose attempts arrive as a stream (key, ts, kind, code, duration_ms, retry_after_ms).
+
+    A job's state goes once the watermark has passed its last attempt by ``idle_ms``, so it stays bounded; attempts
+    that come later begin a new timeline.
+    """
     kind = stream.schema[key].dataType.simpleString()
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         now = State(*state.get) if state.exists else State()
-        rows = pd.concat(list(batches)).sort_values("ts")
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
         out = []
         for r in rows.itertuples():
             now, row = advance(now, r.kind, r.code, int(r.duration_ms), int(r.retry_after_ms), limits)
             if row:
                 out.append({key: k[0], **row})
         state.update(tuple(now))
+        state.setTimeoutTimestamp(max(int(rows["ts"].iloc[-1].value // 1_000_000) + idle_ms, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out)[[key, "attempt", "started_ms", "duration_ms", "code", "delay_ms", "capped"]]
 
     schema = f"`{key}` {kind}, attempt int, started_ms long, duration_ms long, code string, delay_ms long, capped boolean"
-    return stream.groupBy(key).applyInPandasWithState(step, schema, "clock_ms long, attempt long, retries long, limited long, outcome string", "append", GroupStateTimeout.NoTimeout)
+    timed = stream.withWatermark("ts", delay)
+    return timed.groupBy(key).applyInPandasWithState(step, schema, "clock_ms long, attempt long, retries long, limited long, outcome string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drained(spark: SparkSession, stream: DataFrame, mode: str = "append", latest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
