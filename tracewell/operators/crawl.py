@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -53,7 +54,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
 
 
 def discovery_order(edges: DataFrame, visited: DataFrame) -> DataFrame:
-    """First-in-first-out order: by depth, then by the parent's order, then by link; as (url, depth, parent)."""
+    """The first parent of every URL, by depth and name: (url, depth, parent). crawl_on_demand() gives the exact order."""
     child = visited.select(F.col("url").alias("dst"), F.col("depth").alias("child_depth"))
     parent = visited.select(F.col("url").alias("src"), "depth")
     pairs = edges.join(parent, "src").join(child, "dst").where("child_depth = depth + 1")
@@ -128,13 +129,14 @@ def exact_schedule(pages: DataFrame, by: list[str], retries: int, wall_ms: int,
     return pages.groupBy(*by).applyInPandas(fold, schema)
 
 
-def simulate(seed: str, pages: dict[str, dict], limits: dict[str, int], scope=None) -> tuple[list[dict], dict]:  # noqa: ANN001
+def simulate(seed: str, pages: dict[str, dict], limits: dict[str, int], scope=None, wanted: list[str] | None = None) -> tuple[list[dict], dict]:  # noqa: ANN001
     """One crawl in exact order over captured pages: its ledger and its summary.
 
     A page holds ``links``, ``robots`` (allowed), ``kind`` and ``code`` of its outcome, ``bytes``, ``delay_ms``,
     ``retries`` and ``redirects``. Limits: pages, depth, frontier, bytes, wall_ms, delay_ms, concurrency, retries,
     redirects. ``scope(url, is_seed)`` gives a reason against a URL, or None. Batches are barriers: discoveries of a
-    batch are queued in the order of its dispatch.
+    batch are queued in the order of its dispatch. With a list ``wanted``, a URL that ``pages`` does not hold ends the
+    replay, and the list gets what the queue lacks; without one it is not found.
     """
     queue: list[tuple[str, int]] = []
     seen: set[str] = set()
@@ -166,6 +168,9 @@ def simulate(seed: str, pages: dict[str, dict], limits: dict[str, int], scope=No
         while queue and len(batch) < limits["concurrency"] and stop is None:
             url, depth = queue[0]
             page = pages.get(url)
+            if page is None and wanted is not None:
+                wanted += [u for u, _ in queue if u not in pages]
+                return rows, {}
             if clock >= limits["wall_ms"]:
                 stop = "max_time"
             elif page is not None and not page["robots"]:
@@ -210,19 +215,65 @@ def simulate(seed: str, pages: dict[str, dict], limits: dict[str, int], scope=No
     return rows, {"status": status, "limit": limit, "bytes": total, "pages": dispatched, "retries_left": retries, "redirects_left": redirects, **n}
 
 
+def ledger_of(rows: pd.DataFrame, limits: dict[str, int], scope=None, wanted: list[str] | None = None) -> pd.DataFrame:  # noqa: ANN001
+    """simulate() on the rows of one crawl, as a frame."""
+    site = {u: {**dict(zip(PAGE_COLUMNS, v, strict=True)), "links": list(v[0])} for u, *v in rows[["url", *PAGE_COLUMNS]].itertuples(index=False, name=None)}
+    ledger_rows, summary = simulate(rows["seed"].iloc[0], site, limits, scope, wanted)
+    return pd.DataFrame(ledger_rows, columns=["state", "url", "depth", "reason"]).assign(seq=range(len(ledger_rows)), status=summary.get("status"))
+
+
+PAGE_COLUMNS = ["links", "robots", "kind", "code", "bytes", "delay_ms", "retries", "redirects"]
+
+
 def crawl_exact(pages: DataFrame, by: list[str], limits: dict[str, int]) -> DataFrame:
-    """simulate() for every crawl: ``pages`` holds by, seed, url, links and the page columns. What a crawl can reach is
-    bounded by its page limit and frontier; pages beyond its depth are dropped before by bfs() where sites are large."""
+    """simulate() for every crawl whose pages are all at hand: ``pages`` holds by, seed, url, links and the page columns.
+    Where sites may be larger than the limits, crawl_on_demand() fetches what a crawl asks for."""
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
-    columns = ["links", "robots", "kind", "code", "bytes", "delay_ms", "retries", "redirects"]
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        site = {u: {**dict(zip(columns, v, strict=True)), "links": list(v[0])} for u, *v in rows[["url", *columns]].itertuples(index=False, name=None)}
-        ledger_rows, summary = simulate(rows["seed"].iloc[0], site, limits)
-        out = pd.DataFrame(ledger_rows, columns=["state", "url", "depth", "reason"]).assign(seq=range(len(ledger_rows)), status=summary["status"])
+        out = ledger_of(rows, limits)
         for c in by:
             out[c] = rows[c].iloc[0]
         return out
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + f", state string, url {kinds['url']}, depth int, reason string, seq long, status string"
     return pages.groupBy(*by).applyInPandas(fold, schema)
+
+
+def crawl_on_demand(crawls: DataFrame, site: DataFrame, decide: Callable[[DataFrame], DataFrame], limits: dict[str, int], include: list[str] = ("/**",), exclude: list[str] = ()) -> DataFrame:
+    """Exact ledgers of ``crawls`` (crawl, seed) over ``site`` (url, links, kind, code, bytes), of any size.
+
+    A crawl replays until its queue comes to a URL that it has not asked for; what its queue lacks is then joined to
+    the site, all crawls at once, and the replay starts again. A task thus holds one crawl's own pages, which its limits
+    bound, never a whole site; there is about one round for each level of depth. ``decide`` gives (url, robots,
+    delay_ms) for a table of URLs. A URL that the site lacks is ``not_found``. The rows of a crawl are in order of ``seq``.
+    """
+    include, exclude = list(include), list(exclude)
+    takes, drops = ([re.compile(glob_regex(g)) for g in globs] for globs in (include, exclude))
+    kind = crawls.schema["crawl"].dataType.simpleString()
+
+    def scope(url: str, is_seed: bool) -> str | None:
+        path = re.sub(r"^[a-z]+://[^/?#]*([^?#]*).*$", r"\1", url, flags=re.S) or "/"
+        if any(r.match(path) for r in drops):
+            return "excluded"
+        return None if is_seed or any(r.match(path) for r in takes) else "not_included"
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        wanted: list[str] = []
+        out = ledger_of(rows[rows["url"].notna()] if rows["url"].notna().any() else rows, limits, scope, wanted)
+        if wanted:
+            out = pd.DataFrame({"state": "wanted", "url": wanted, "depth": 0, "reason": None, "seq": range(len(wanted)), "status": None})
+        return out.assign(crawl=rows["crawl"].iloc[0], seed=rows["seed"].iloc[0])
+
+    schema = f"crawl {kind}, seed string, state string, url string, depth int, reason string, seq long, status string"
+    narrow = cut(site.select("url", "links", "kind", "code", "bytes"))
+    wanted = crawls.select("crawl", "seed", F.col("seed").alias("url"))
+    known = None
+    while True:
+        found = wanted.join(narrow, "url", "left").join(decide(wanted.select("url").distinct()), "url", "left")
+        found = found.select("crawl", "seed", "url", F.coalesce("links", F.array().cast("array<string>")).alias("links"), F.coalesce("robots", F.lit(True)).alias("robots"), F.coalesce("kind", F.lit("terminal")).alias("kind"), F.coalesce("code", F.lit("not_found")).alias("code"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), F.coalesce("delay_ms", F.lit(0)).cast("long").alias("delay_ms"), F.lit(0).alias("retries"), F.lit(0).alias("redirects"))
+        known = cut(found if known is None else known.unionByName(found))
+        out = cut(known.groupBy("crawl").applyInPandas(fold, schema))
+        wanted = out.where("state = 'wanted'").select("crawl", "seed", "url")
+        if not wanted.take(1):
+            return out

@@ -122,15 +122,31 @@ def decide(paths: DataFrame, rules: DataFrame, key: str, on: list[str] | None =
     """The winning rule of every path: the most specific match, allow before deny, the first of equals; none allows.
 
     ``paths`` holds ``key``, ``path`` and the columns ``on``; ``rules`` regex, specificity, allow, rule_no and ``on``.
-    A rule table without ``on`` is one file's, of MAX_RULES at most, and so is broadcast.
+    The rules of a file (MAX_RULES at most) become one array with the winner first, so every path meets one row and
+    nothing is multiplied or grouped; a rule's literal start is looked at before its expression. A rule table without
+    ``on`` is one file's and so is broadcast.
     """
-    joined = paths.join(rules, on, "left") if on else paths.join(F.broadcast(rules), how="cross")
-    match = F.expr("regexp_like(path, regex)")
-    order = F.struct("specificity", F.col("allow").cast("int"), -F.col("rule_no"))
-    best = joined.groupBy(key, *(on or [])).agg(F.max_by(F.struct("allow", "pattern", "specificity"), F.when(match, order)).alias("rule"), F.max(F.when(match, 1)).alias("hit"))
-    return best.select(key, *(on or []), F.coalesce(F.when(F.col("hit") == 1, F.col("rule.allow")), F.lit(True)).alias("allowed"), F.when(F.col("hit") == 1, F.col("rule.pattern")).alias("pattern"), F.when(F.col("hit") == 1, F.col("rule.specificity")).alias("specificity"))
+    rule = F.struct("specificity", F.col("allow").cast("int").alias("allow"), (-F.col("rule_no")).alias("place"), anchored_prefix(F.col("pattern")).alias("start"), "regex", "pattern")
+    ordered = F.sort_array(F.collect_list(rule), asc=False).alias("rules")
+    files = rules.groupBy(*on).agg(ordered) if on else rules.agg(ordered)
+    joined = paths.join(files, on, "left") if on else paths.join(F.broadcast(files), how="cross")
+    hit = F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["start"]) & F.regexp_like(F.col("path"), r["regex"])), 0)
+    best = joined.withColumn("rule", hit)
+    return best.select(key, *(on or []), F.coalesce(F.col("rule.allow") == 1, F.lit(True)).alias("allowed"), F.col("rule.pattern").alias("pattern"), F.col("rule.specificity").alias("specificity"))
 
 
 def anchored_prefix(pattern: Column) -> Column:
-    """The literal part before a pattern's first star: what an index could use."""
-    return F.substring_index(pattern, "*", 1)
+    """The literal part before a pattern's first star or end anchor, or nothing where it is not plain: what a path must start with."""
+    start = F.regexp_extract(pattern, r"^[^*$%]*", 0)
+    return F.when(start.rlike(r"^[\x21-\x7e]*$"), start).otherwise("")
+
+
+def gate(urls: DataFrame, robots: DataFrame) -> DataFrame:
+    """(url, robots, delay_ms) for URLs: what each one's origin says in ``robots`` (of parsed()); an origin without a
+    file allows everything, as one whose file is not found."""
+    rows = urls.select("url", F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1).alias("origin"), path_of("url").alias("path"))
+    policies = robots.select("origin", "policy", "delay_ms")
+    decided = decide(rows, rules_table(robots.where("policy = 'rules'")), "url", ["origin"])
+    out = decided.join(policies, "origin", "left")
+    allowed = F.when(F.col("policy") == "deny_all", False).when(F.col("policy") == "rules", F.col("allowed")).otherwise(True)
+    return out.select("url", allowed.alias("robots"), F.coalesce("delay_ms", F.lit(0)).alias("delay_ms"))

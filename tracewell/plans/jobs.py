@@ -168,6 +168,28 @@ def capture_audit(pages: DataFrame) -> DataFrame:
     )
 
 
+def crawl_site(pages: DataFrame, order: str = "page_id") -> DataFrame:
+    """Captured pages (url, html) as what a crawl sees: url (canonical), links of its own origin, kind, code, bytes.
+
+    Pages whose URL is not admitted go. Of several captures of one URL the last one by ``order`` stands.
+    """
+    from tracewell.functions import markup
+
+    html, text = F.col("html"), formats.html_text(F.col("html"))
+    kind, code = contracts.accept(F.lit("markdown"), text, formats.script_count(html), formats.detected_kind(F.lit(None).cast("string"), formats.sniffed_kind(html)), F.lit(True), F.lit(True), F.octet_length(html))
+    plain = F.when(urls.is_plain(F.col("url")) & urls.policy_reject(F.col("url")).isNull(), F.regexp_replace("url", "#.*$", ""))
+    rows = pages.select(F.coalesce(plain, urls.admit_url("url")["canonical_url"]).alias("url"), markup.links_of("html", "url").alias("links"), kind.alias("kind"), code.alias("code"), F.octet_length(html).cast("long").alias("bytes"), F.col(order).alias("at"))
+    rows = rows.where("url is not null")
+    origin = F.concat(F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1), F.lit("/"))
+    rows = rows.withColumn("own", origin).withColumn("links", F.expr("filter(links, l -> startswith(l, own))"))
+    return rows.groupBy("url").agg(F.max_by(F.struct("links", "kind", "code", "bytes"), "at").alias("page")).select("url", "page.*")
+
+
+def crawl_limits(limits: Limits) -> dict[str, int]:
+    """The limits of a job under the names that a crawl knows."""
+    return {"pages": limits.max_pages, "depth": limits.max_depth, "frontier": limits.max_frontier, "bytes": limits.total_bytes, "wall_ms": limits.wall_ms, "delay_ms": limits.delay_ms, "concurrency": limits.concurrency, "retries": limits.retries, "redirects": limits.max_redirects}
+
+
 def extract_job(pages: DataFrame, schema: dict, html: str = "html") -> DataFrame:
     """Fields of a schema from every page, with the run's status: ok, or exhausted with what is missing."""
     from tracewell.functions.markup import extract_schema

@@ -505,6 +505,35 @@ def crawl_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.crawl_exact(rows, ["origin"], {"pages": 5, "depth": 3, "frontier": 6, "bytes": 60_000, "wall_ms": 60_000, "delay_ms": 250, "concurrency": 2, "retries": 3, "redirects": 3})
 
 
+SITE_ROBOTS = b"User-agent: *\nDisallow: /t\nDisallow: /*s$\nAllow: /the\nCrawl-delay: 0.1\n"
+
+
+@query(r"""
+WITH p AS (SELECT regexp_replace(url, '#.*$', '') AS url, max_by(html, page_id) AS html, any_value(regexp_extract(url, '^(https?://[^/?#]+)', 1)) AS origin FROM pages GROUP BY 1),
+s AS (SELECT origin, min(url) AS seed FROM p GROUP BY origin),
+r AS (SELECT s.origin, seed, CASE WHEN length(s.origin) % 5 = 0 THEN 'deny' WHEN length(s.origin) % 2 = 0 THEN 'rules' ELSE 'allow' END AS policy, html FROM s JOIN p ON p.url = s.seed),
+l AS (SELECT origin, seed, policy, list_sort(list_distinct(list_transform(regexp_extract_all(html, '<a href="([^"]*)">', 1), lambda x: origin || array_to_string(list_transform(string_split(x, ''), lambda c: CASE WHEN unicode(c) < 128 THEN c ELSE url_encode(c) END), '')))) AS links FROM r WHERE policy <> 'deny'),
+q AS (SELECT origin, policy, unnest(links) AS url, generate_subscripts(links, 1) AS pos FROM l),
+d AS (SELECT *, policy = 'rules' AND NOT starts_with(url, origin || '/the') AND (starts_with(url, origin || '/t') OR suffix(url, 's')) AS denied FROM q),
+a AS (SELECT *, coalesce(sum(CASE WHEN denied THEN 0 ELSE 1 END) OVER (PARTITION BY origin ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d WHERE pos <= 4)
+SELECT origin, seed AS url, 0 AS depth, CASE WHEN policy = 'deny' THEN 'blocked' ELSE 'accepted' END AS state, CASE WHEN policy = 'deny' THEN 'robots_denied' END AS reason FROM r
+UNION ALL SELECT origin, url, 1, CASE WHEN before > 2 OR before = 2 AND NOT denied THEN 'unvisited' ELSE 'blocked' END, CASE WHEN before > 2 OR before = 2 AND NOT denied THEN 'max_pages' WHEN denied THEN 'robots_denied' ELSE 'not_found' END FROM a
+UNION ALL SELECT origin, url, 1, 'unvisited', 'max_frontier' FROM d WHERE pos > 4
+""")
+def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawls from the first page of every origin along the links of captured pages, with robots files and limits."""
+    pages = capture.table(spark, sf_dir, "pages")
+    site = jobs.crawl_site(pages)
+    origin = F.regexp_extract("url", "^(https?://[^/?#]+)", 1)
+    seeds = site.groupBy(origin.alias("crawl")).agg(F.min("url").alias("seed"))
+    n = F.length("crawl")
+    files = seeds.select(F.col("crawl").alias("origin"), F.when(n % 5 == 0, 503).when(n % 2 == 0, 200).otherwise(404).alias("status"), F.lit(bytearray(SITE_ROBOTS)).alias("body"))
+    limits = {"pages": 3, "depth": 3, "frontier": 4, "bytes": 50 << 20, "wall_ms": 60_000, "delay_ms": 250, "concurrency": 2, "retries": 1, "redirects": 5}
+    rules = robots.parsed(files, "tracewell/1.0")
+    rows = crawl.crawl_on_demand(seeds, site, lambda u: robots.gate(u, rules), limits)
+    return rows.select(F.col("crawl").alias("origin"), "url", "depth", "state", "reason")
+
+
 @query("""
 WITH a AS (SELECT s_suppkey, CAST(s_suppkey % 200 AS VARCHAR) AS d FROM supplier)
 SELECT s_suppkey, s_suppkey % 3 <> 1 AS matches, CASE s_suppkey % 5 WHEN 0 THEN 'method' WHEN 1 THEN 'bytes' WHEN 2 THEN 'redirects' END AS fault, CASE WHEN s_suppkey % 4 = 0 THEN 'secret_query' WHEN s_suppkey % 4 = 1 THEN 'unsafe_header' END AS fingerprint FROM a
