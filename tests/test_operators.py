@@ -1,6 +1,7 @@
 """Contracts, robots, crawls, retries, stores, searches and the command line."""
 
 import gzip
+import random
 import zlib
 
 import pytest
@@ -176,3 +177,53 @@ def test_command_line(spark, capsys):
             jobs.parse_argv(bad)
     assert cli.execute(spark, jobs.parse_argv(["health"]))[1].count() == 8
     assert cli.execute(spark, jobs.parse_argv(["url", "https://a.com", "--explain"]))[1].count() == 5
+
+
+def test_crawl_on_demand_equals_replay(spark):
+    """Fetching what the queue asks for gives the ledger of a replay that holds the whole site."""
+    rng = random.Random(5)
+    for _ in range(3):
+        site = {f"https://a.com/{i}": {"links": [f"https://a.com/{rng.randrange(45)}" for _ in range(4)], "robots": i % 7 != 3, "kind": "terminal" if i % 11 == 5 else "success", "code": "gone" if i % 11 == 5 else "ok", "bytes": 10 + i, "delay_ms": 0, "retries": 0, "redirects": 0} for i in range(40)}
+        limits = {"pages": 9, "depth": 3, "frontier": 6, "bytes": 10_000, "wall_ms": 60_000, "delay_ms": 250, "concurrency": 2, "retries": 1, "redirects": 5}
+        missing = {f"https://a.com/{i}": {"links": [], "robots": True, "kind": "terminal", "code": "not_found", "bytes": 0, "delay_ms": 0, "retries": 0, "redirects": 0} for i in range(40, 45)}
+        want, summary = crawl.simulate("https://a.com/0", site | missing, limits)
+        rows = spark.createDataFrame([(u, p["links"], p["kind"], p["code"], p["bytes"]) for u, p in site.items()], "url string, links array<string>, kind string, code string, bytes long")
+        decide = lambda urls: urls.withColumns({"robots": (F.regexp_extract("url", r"(\d+)$", 1).cast("int") % 7 != 3) | (F.regexp_extract("url", r"(\d+)$", 1).cast("int") >= 40), "delay_ms": F.lit(0)})
+        crawls = spark.createDataFrame([("c", "https://a.com/0")], "crawl string, seed string")
+        got = crawl.crawl_on_demand(crawls, rows, decide, limits).orderBy("seq").collect()
+        assert [(r["state"], r["url"], r["depth"], r["reason"]) for r in got] == [(w["state"], w["url"], w["depth"], w["reason"]) for w in want]
+        assert {r["status"] for r in got} == {summary["status"]}
+
+
+def test_cli_crawl_and_output(spark, tmp_path):
+    """A crawl follows links under robots and limits; output stays below the data root and out of the store."""
+    page = lambda *links: "<html><body>text " + "".join(f'<a href="{x}">x</a>' for x in links) + "</body></html>"
+    rows = [(1, "https://a.com/", page("/b", "/private/c", "https://other.com/")), (2, "https://a.com/b", page("/", "/d")), (3, "https://a.com/private/c", page())]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([("https://a.com", 200, bytearray(b"User-agent: *\nDisallow: /private\n"))], "origin string, status int, body binary").write.parquet(f"{tmp_path}/robots.parquet")
+    status, got = cli.execute(spark, jobs.parse_argv(["crawl", "https://a.com/", "--data-root", str(tmp_path)]))
+    assert status == "partial"
+    assert [tuple(r) for r in got.collect()] == [
+        ("accepted", "https://a.com/", 0, None), ("blocked", "https://a.com/private/c", 1, "robots_denied"),  # while the batch of /b fills
+        ("accepted", "https://a.com/b", 1, None), ("skipped", "https://a.com/", 2, "duplicate"), ("blocked", "https://a.com/d", 2, "not_found"),
+    ]
+    assert cli.output_path("/r", "out/x") == "/r/out/x"
+    for bad in ("objects/x", "../x", "/x", "a//b", "", "runs"):
+        with pytest.raises(cli.OutputError):
+            cli.output_path("/r", bad)
+
+
+def test_retry_stream_state_ends(spark, tmp_path):
+    """A job's state goes after its idle time, and a later attempt begins anew; within it, it continues."""
+    from tracewell.streaming import jobs as streams
+
+    at = lambda day, hour: f"2024-01-{day:02d} {hour:02d}:00:00"
+    batches = [[(1, at(1, 0)), (2, at(1, 0))], [(3, at(9, 0))], [(3, at(9, 1))], [(1, at(9, 2))]]
+    schema = "k long, ts string, kind string, code string, duration_ms long, retry_after_ms long"
+    for i, b in enumerate(batches):
+        spark.createDataFrame([(k, t, "retryable", "network", 5, 0) for k, t in b], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).json(str(tmp_path / "in")).withColumn("ts", F.to_timestamp("ts"))
+        q = streams.retries(stream, "k").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("k", "attempt").collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (3, 2)]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import ip
+from tracewell.functions.formats import utf16_length
+from tracewell.functions.values import safe_headers
 from tracewell.operators.crawl import cut
 
 REDIRECTS = [301, 302, 303, 307, 308]
@@ -32,6 +34,20 @@ def follow(starts: DataFrame, hops: DataFrame, most: int) -> DataFrame:
     return done
 
 
+def location(headers: Column) -> Column:
+    """The Location of a redirect (headers: map of name to array of values): the only value of the only such header, of 1 to
+    8192 UTF-16 units without control characters; else null."""
+    named = F.map_values(F.map_filter(headers, lambda k, _: F.lower(k) == "location"))
+    value = F.when((F.size(named) == 1) & (F.size(F.get(named, F.lit(0))) == 1), F.get(F.get(named, F.lit(0)), F.lit(0)))
+    return F.when((value != "") & ~value.rlike(r"[\x00-\x1f\x7f]") & (utf16_length(value) <= 8192), value)
+
+
+def evidence(status: Column, final_url: Column, chain: Column, address: Column, headers: Column, wire: Column, decoded: Column) -> Column:
+    """What a response leaves in the record; null where there was none."""
+    row = F.struct(status.alias("status_code"), final_url.alias("final_url"), F.coalesce(chain, F.array().cast("array<string>")).alias("redirect_chain"), address.alias("selected_address"), safe_headers(headers).alias("headers"), wire.alias("wire_bytes"), decoded.alias("decoded_bytes"))
+    return F.when(status.isNotNull(), row)
+
+
 def dns_gate(answers: DataFrame) -> DataFrame:
     """Per host of answers (host, address) of both families: whether all are public, the distinct answers, and the selected one.
 

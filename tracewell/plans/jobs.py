@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import formats, urls, values
-from tracewell.operators import contracts
+from tracewell.operators import contracts, store
 from tracewell.operators.crawl import glob_regex
 
 COMMANDS = {"url": 1, "crawl": 1, "extract": 1, "search": 1, "health": 0}
@@ -190,6 +190,52 @@ def crawl_limits(limits: Limits) -> dict[str, int]:
     return {"pages": limits.max_pages, "depth": limits.max_depth, "frontier": limits.max_frontier, "bytes": limits.total_bytes, "wall_ms": limits.wall_ms, "delay_ms": limits.delay_ms, "concurrency": limits.concurrency, "retries": limits.retries, "redirects": limits.max_redirects}
 
 
+def cache_hits(requests: DataFrame, cache: DataFrame, manifests: DataFrame, artifacts: DataFrame, now: Column) -> DataFrame:
+    """Requests (request_id, fingerprint, mode) that a whole, fresh record answers, with the record's columns."""
+    rows = store.cache_lookup(requests, store.valid_cache(cache, manifests, artifacts), now)
+    return rows.where("cache_status = 'hit'")
+
+
+def finish_hits(hits: DataFrame, run: Column, served_at: Column) -> tuple[DataFrame, DataFrame]:
+    """What hits leave: a manifest of a new run each, which only looked, and the cache record bound to that run. Source,
+    artifact and expiry are the record's own: a hit does not make it live longer."""
+    attempt = F.struct(F.lit("cache_hit").alias("type"), served_at.alias("at"), "source_hash")
+    manifest = hits.select(run.alias("run_id"), "fingerprint", F.lit("ok").alias("status"), F.lit("hit").alias("cache_status"), "source_hash", "artifact_hash", "fetched_at", served_at.alias("served_at"), F.array(attempt).alias("attempts"))
+    record = hits.select("fingerprint", run.alias("run_id"), "source_hash", "artifact_hash", "fetched_at", "expires_at")
+    return manifest, record
+
+
+def child_jobs(plan: DataFrame, run: Column, url: Column) -> DataFrame:
+    """Scrape jobs of a search's plan: the search's limits, nothing of its scope, discovery or engine; markdown from a fresh cache."""
+    cache = F.struct(F.lit("use").alias("mode"), F.lit(3_600_000).alias("ttl_ms"))
+    scope = F.struct(F.array(F.lit("/**")).alias("include"), F.array().cast("array<string>").alias("exclude"))
+    return plan.withColumns({"run_id": run, "job": F.struct(F.lit(1).alias("schema_version"), F.lit("url").alias("kind"), url.alias("url"), F.lit("markdown").alias("goal"), scope.alias("scope"), cache.alias("cache"))})
+
+
+def discovered(canonical: Column, alternates: Column) -> Column:
+    """Candidates (type, url) of a page: its canonical URL before its alternates, each once. Ones without type or URL go."""
+    own = F.when(canonical.isNotNull() & (canonical != ""), F.array(F.struct(F.lit("canonical").alias("type"), canonical.alias("url"))))
+    listed = F.transform(F.filter(alternates, lambda a: a["type"].isNotNull() & a["url"].isNotNull()), lambda a: F.struct(a["type"].alias("type"), a["url"].alias("url")))
+    empty = F.array().cast("array<struct<type:string,url:string>>")
+    return F.array_distinct(F.concat(F.coalesce(own, empty), F.coalesce(listed, empty)))
+
+
+def candidates_of(*lists: Column) -> Column:
+    """Candidate lists one after another; lists that are not there count as empty."""
+    return F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in lists])
+
+
+def warnings_of(*lists: Column) -> Column:
+    """Warnings of several steps, each once, in order."""
+    return F.array_distinct(candidates_of(*lists))
+
+
+def same_keys(value: Column, keys: list[str]) -> Column:
+    """Whether a map has exactly these keys."""
+    wanted = F.array(*map(F.lit, keys))
+    return (F.size(F.array_except(F.map_keys(value), wanted)) == 0) & (F.size(F.array_except(wanted, F.map_keys(value))) == 0)
+
+
 def extract_job(pages: DataFrame, schema: dict, html: str = "html") -> DataFrame:
     """Fields of a schema from every page, with the run's status: ok, or exhausted with what is missing."""
     from tracewell.functions.markup import extract_schema

@@ -777,3 +777,64 @@ def retry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = streams.events(spark, f"{sf_dir}/events.parquet")
     rows = rows.select("user_id", "ts", F.expr(EVENT_KIND).alias("kind"), F.expr(EVENT_CODE).alias("code"), F.floor(F.abs("value")).cast("long").alias("duration_ms"), (F.col("event_id") % 7 * 10_000).alias("retry_after_ms"))
     return streams.drained(spark, streams.retries(rows, "user_id"))
+
+
+@query(r"""
+WITH h AS (SELECT event_id, event_id % 6 AS k, 'https://e.example.org/' || event_type || '/' || event_id AS url FROM events)
+SELECT event_id, CASE WHEN k IN (0, 1) THEN url WHEN k = 5 AND event_id % 4 = 1 THEN repeat('a', 8192) END AS location FROM h
+""")
+def redirect_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redirect targets: one header of either case, a repeated one, one with two values, one with a line feed, a long one."""
+    k = F.col("event_id") % 6
+    rows = col(spark, sf_dir, "events", "event_id", F.concat(F.lit("https://e.example.org/"), "event_type", F.lit("/"), "event_id").alias("url"))
+    long = F.repeat(F.lit("a"), F.when(F.col("event_id") % 4 == 1, 8192).otherwise(8193))
+    one = lambda name, *v: F.create_map(F.lit(name), F.array(*v), F.lit("accept"), F.array(F.lit("x")))
+    twice = F.create_map(F.lit("Location"), F.array("url"), F.lit("location"), F.array("url"))
+    headers = F.when(k == 0, one("Location", "url")).when(k == 1, one("location", "url")).when(k == 2, twice).when(k == 3, one("location", "url", "url")).when(k == 4, one("location", F.concat("url", F.lit("\n")))).otherwise(one("LOCATION", long))
+    return rows.select("event_id", redirects.location(headers).alias("location"))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE '{"status_code":' || (200 + event_id % 3) || ',"final_url":"https://e.example.org/' || event_type || '","redirect_chain":[' || CASE WHEN event_id % 2 = 0 THEN '"a"' ELSE '' END || '],"headers":{"etag":"' || event_id || '"},"wire_bytes":' || event_id || '}' END AS evidence FROM events
+""")
+def response_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of responses as JSON: unset fields are left out, headers beyond the allowlist too."""
+    k = F.col("event_id")
+    headers = F.create_map(F.lit("ETag"), k.cast("string"), F.lit("Set-Cookie"), F.lit("s"))
+    found = redirects.evidence(F.when(k % 5 != 0, 200 + k % 3), F.concat(F.lit("https://e.example.org/"), "event_type"), F.when(k % 2 == 0, F.array(F.lit("a"))), F.lit(None).cast("string"), headers, k, F.lit(None).cast("long"))
+    return col(spark, sf_dir, "events", "event_id", F.to_json(found).alias("evidence"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, ['use', 'refresh', 'off'][o_orderkey % 3 + 1] AS mode, o_orderkey % 4 <> 0 AS fresh, o_orderkey % 5 <> 0 AS ok, o_orderkey % 7 <> 0 AS sourced FROM orders)
+SELECT 'f' || o_orderkey AS fingerprint, 'new' || o_orderkey AS run_id, CASE WHEN fresh THEN TIMESTAMP '2024-02-02 00:00:00' ELSE TIMESTAMP '2024-01-31 00:00:00' END AS expires_at, 'cache_hit' AS attempt FROM o WHERE mode = 'use' AND fresh AND ok AND sourced
+""")
+def cache_hit_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits on whole records give runs of their own; the record keeps its expiry."""
+    k = F.col("o_orderkey")
+    orders = col(spark, sf_dir, "orders", k, F.concat(F.lit("run"), k).alias("run_id"), F.concat(F.lit("f"), k).alias("fingerprint"))
+    cache = orders.select("fingerprint", "run_id", F.lit("s").alias("source_hash"), F.lit("a").alias("artifact_hash"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("fetched_at"), F.when(k % 4 != 0, "2024-02-02 00:00:00").otherwise("2024-01-31 00:00:00").cast("timestamp_ntz").alias("expires_at"))
+    manifests = orders.select("run_id", F.when(k % 5 != 0, "ok").otherwise("partial").alias("status"))
+    artifacts = orders.select("run_id", F.explode(F.array(F.struct(F.lit("raw").alias("role"), F.lit("a").alias("hash")), F.struct(F.when(k % 7 != 0, "source").otherwise("other").alias("role"), F.lit("s").alias("hash")))).alias("a")).select("run_id", "a.*")
+    requests = orders.select(k.alias("request_id"), "fingerprint", F.element_at(F.array(*map(F.lit, ["use", "refresh", "off"])), (k % 3 + 1).cast("int")).alias("mode"))
+    hits = jobs.cache_hits(requests, cache, manifests, artifacts, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+    manifest, record = jobs.finish_hits(hits, F.concat(F.lit("new"), "request_id"), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+    attempts = manifest.select("run_id", F.col("attempts")[0]["type"].alias("attempt"))
+    return record.join(attempts, "run_id").select("fingerprint", "run_id", "expires_at", "attempt")
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k FROM customer)
+SELECT k, CASE WHEN k % 3 = 0 THEN '' ELSE 'canonical u' || k || ',' END || CASE WHEN k % 2 = 0 THEN 'rss r,atom r' ELSE 'rss r' END AS candidates,
+  'a,b' || CASE WHEN k % 4 = 0 THEN '' ELSE ',c' END AS warnings, k % 5 = 0 AS exact FROM c
+""")
+def candidate_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical and alternate candidates, warnings of steps, and exact key sets."""
+    k = F.col("c_custkey")
+    alternate = lambda t, u: F.struct(F.lit(t).cast("string").alias("type"), F.lit(u).alias("url"))
+    alternates = F.array(alternate("rss", "r"), F.when(k % 2 == 0, alternate("atom", "r")).otherwise(alternate(None, "r")), alternate("rss", "r"))
+    found = jobs.discovered(F.when(k % 3 != 0, F.concat(F.lit("u"), k)), alternates)
+    warned = jobs.warnings_of(F.array(F.lit("a"), F.lit("b")), F.when(k % 4 != 0, F.array(F.lit("b"), F.lit("c"))))
+    keys = F.when(k % 5 == 0, F.create_map(F.lit("y"), k, F.lit("x"), k)).when(k % 5 == 1, F.create_map(F.lit("x"), k)).otherwise(F.create_map(F.lit("x"), k, F.lit("y"), k, F.lit("z"), k))
+    rows = col(spark, sf_dir, "customer", k.alias("k"), found.alias("found"), warned.alias("warned"), jobs.same_keys(keys, ["x", "y"]).alias("exact"))
+    return rows.select("k", F.array_join(F.transform("found", lambda c: F.concat_ws(" ", c["type"], c["url"])), ",").alias("candidates"), F.array_join("warned", ",").alias("warnings"), "exact")
