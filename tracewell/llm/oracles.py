@@ -56,3 +56,27 @@ found AS (SELECT r, label, true AS base, start, 1.0 AS score FROM ph UNION ALL S
 a AS (SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(score) AS score FROM found GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM t LEFT JOIN a USING (r)
 """
+
+
+def merkle_sql() -> str:
+    """Operator 12: trees and folds as recursions over levels; CRC-32 bit by bit."""
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    leaf = lambda n_chars: f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+    level = lambda tree: f"SELECT g, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM {tree} WHERE n > 1 GROUP BY g, level, i // 2, n"
+    beside = lambda tree, at: f"SELECT r, level, string_agg(d, '' ORDER BY i) AS d FROM (SELECT s.r, t.level, t.i, t.d FROM {at} s JOIN {tree} t ON s.g = t.g AND t.i // 2 = (s.i >> t.level) // 2 AND t.i <> (s.i >> t.level) AND t.n > 1) GROUP BY r, level"
+    step = "sha256(CASE WHEN (f.i >> f.level) % 2 = 1 THEN coalesce(b.d, '') || f.d ELSE f.d || coalesce(b.d, '') END)"
+    return rf"""
+WITH RECURSIVE c AS (SELECT *, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) AS crc FROM documents),
+h AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {leaf("n_chars")} AS leaf, CASE WHEN crc % 7 = 0 THEN {leaf("(n_chars + 1)")} ELSE {leaf("n_chars")} END AS shown FROM c),
+l AS (SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM h),
+t(g, level, i, n, d) AS (SELECT g, 0, i, n, leaf FROM l UNION ALL {level("t")}),
+subs AS (SELECT g, d FROM t WHERE n = 1),
+u0 AS (SELECT '' AS g, g AS name, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, d, row_number() OVER () AS r FROM subs),
+u(g, level, i, n, d) AS (SELECT g, 0, i, n, d FROM u0 UNION ALL {level("u")}),
+b AS ({beside("t", "l")}), ub AS ({beside("u", "u0")}),
+f(r, i, n, level, d) AS (SELECT r, i, n, 0, shown FROM l UNION ALL SELECT f.r, f.i, (f.n + 1) // 2, f.level + 1, {step} FROM f LEFT JOIN b ON f.r = b.r AND f.level = b.level WHERE f.n > 1),
+uf(r, ur, i, n, level, d) AS (SELECT f.r, u0.r, u0.i, u0.n, 0, f.d FROM f JOIN l ON f.r = l.r JOIN u0 ON l.g = u0.name WHERE f.n = 1 UNION ALL SELECT f.r, f.ur, f.i, (f.n + 1) // 2, f.level + 1, {step} FROM uf f LEFT JOIN ub b ON f.ur = b.r AND f.level = b.level WHERE f.n > 1),
+p AS (SELECT r, string_agg(d, '' ORDER BY level) AS d FROM b GROUP BY r), up AS (SELECT r, string_agg(d, '' ORDER BY level) AS d FROM ub GROUP BY r)
+SELECT l.doc_id, l.leaf, u0.d AS subroot, u.d AS root, sha256(coalesce(p.d, '') || coalesce(up.d, '')) AS proof_sha256, uf.d AS folded_root, uf.d = u.d AS verified
+FROM l JOIN u0 ON l.g = u0.name JOIN u ON u.n = 1 LEFT JOIN p ON l.r = p.r LEFT JOIN up ON u0.r = up.r JOIN uf ON l.r = uf.r AND uf.n = 1
+"""

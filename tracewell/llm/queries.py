@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import ann, bpe, language_id, license_scan, oracles, packing, quality, sharding, simhash, suffix_dedup, unigram
+from tracewell.llm import ann, bpe, language_id, license_scan, merkle, oracles, packing, quality, sharding, simhash, suffix_dedup, unigram
 from tracewell.llm.common import table
 
 
@@ -63,10 +63,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    out = merkle.prove(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", (tampered, {"n_chars": F.col("n_chars") + 1}))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_quality_rules, op2_sharding, op3_bpe, op4_language_id, op5_ann, op6_suffix_dedup, op7_packing, op8_license_scan, op9_simhash, op10_token_counts)
+    named = (op1_quality_rules, op2_sharding, op3_bpe, op4_language_id, op5_ann, op6_suffix_dedup, op7_packing, op8_license_scan, op9_simhash, op10_token_counts, op12_merkle)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": oracles.quality_sql(), "op8_license_scan": oracles.license_sql()}
+    return {"op1_quality_rules": oracles.quality_sql(), "op8_license_scan": oracles.license_sql(), "op12_merkle": oracles.merkle_sql()}
