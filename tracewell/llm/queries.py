@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import ann, bpe, language_id, license_scan, merkle, oracles, packing, quality, sharding, simhash, suffix_dedup, unigram
+from tracewell.llm import ann, bpe, imatch, language_id, license_scan, merkle, oracles, packing, quality, sharding, simhash, suffix_dedup, unigram
 from tracewell.llm.common import table
 
 
@@ -70,8 +70,12 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprinted(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_quality_rules, op2_sharding, op3_bpe, op4_language_id, op5_ann, op6_suffix_dedup, op7_packing, op8_license_scan, op9_simhash, op10_token_counts, op12_merkle)
+    named = (op1_quality_rules, op2_sharding, op3_bpe, op4_language_id, op5_ann, op6_suffix_dedup, op7_packing, op8_license_scan, op9_simhash, op10_token_counts, op12_merkle, op13_imatch)
     return {f.__name__: f for f in named}
 
 
