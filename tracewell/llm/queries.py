@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import ann, bpe, imatch, language_id, license_scan, merkle, oracles, packing, quality, sharding, simhash, suffix_dedup, unigram
+from tracewell.llm import ann, bpe, hard_negatives, imatch, language_id, license_scan, merkle, oracles, packing, quality, sharding, simhash, suffix_dedup, unigram
 from tracewell.llm.common import table
 
 
@@ -63,6 +63,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
@@ -75,9 +80,9 @@ def op13_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_quality_rules, op2_sharding, op3_bpe, op4_language_id, op5_ann, op6_suffix_dedup, op7_packing, op8_license_scan, op9_simhash, op10_token_counts, op12_merkle, op13_imatch)
+    named = (op1_quality_rules, op2_sharding, op3_bpe, op4_language_id, op5_ann, op6_suffix_dedup, op7_packing, op8_license_scan, op9_simhash, op10_token_counts, op11_hard_negatives, op12_merkle, op13_imatch)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": oracles.quality_sql(), "op8_license_scan": oracles.license_sql(), "op12_merkle": oracles.merkle_sql()}
+    return {"op1_quality_rules": oracles.quality_sql(), "op8_license_scan": oracles.license_sql(), "op11_hard_negatives": oracles.hard_negatives_sql(), "op12_merkle": oracles.merkle_sql()}
