@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.shared import cut
+
 GLOB_MOST = 1024
 
 
@@ -27,14 +28,6 @@ def scope_reason(path: Column, include: list[str], exclude: list[str], seed: Col
     return F.when(any_of(exclude), "excluded").when(outside if seed is None else outside & ~seed, "not_included")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder of spark.checkpoint.dir; one is made here only where none is set."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """(url, depth) of everything that links (src, dst) reach from the seeds (url) within max_depth.
 
@@ -107,26 +100,24 @@ def schedule(pages: DataFrame, by: list[str], order: str, delay: str, wall_ms: i
 
 def exact_schedule(pages: DataFrame, by: list[str], retries: int, wall_ms: int, delay_ms: int, concurrency: int) -> DataFrame:
     """Sequential budgets of one crawl: starts with waits for readiness, and a retry budget that a batch's first page
-    may use whole. ``pages``: by, seq, ready_ms, delay_ms, want_retries. A crawl's frontier is bounded by its page limit."""
-    kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
+    may use whole. ``pages``: by, seq, ready_ms, delay_ms, want_retries.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        clock, gap, left, out = None, 0, retries, []
-        for k, r in enumerate(rows.itertuples()):
-            start = int(r.ready_ms) if clock is None else max(int(r.ready_ms), clock + max(delay_ms, gap))
-            offered = left if k % concurrency == 0 else 0
-            used = min(offered, int(r.want_retries))
-            late = start >= wall_ms
-            out.append((start, offered, 0 if late else used, "max_time" if late else None))
-            if late:
-                out += [(start, 0, 0, "max_time")] * (len(rows) - k - 1)
-                break
-            clock, gap, left = start, int(r.delay_ms), left - used
-        return rows[[*by, "seq"]].assign(start_ms=[o[0] for o in out], offered=[o[1] for o in out], retries_used=[o[2] for o in out], reason=[o[3] for o in out])
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*by, "seq"]) + ", start_ms long, offered long, retries_used long, reason string"
-    return pages.groupBy(*by).applyInPandas(fold, schema)
+    A start is max(ready, start before + gap before). With the gaps summed up (g) that is g + running max(ready - g), so two
+    windows give every start; likewise what the first pages of batches want, summed up, is what is gone of the budget.
+    The first page that is late ends its crawl: those after it are late with it.
+    """
+    order = Window.partitionBy(*by).orderBy("seq")
+    before, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = pages.select(*by, "seq", F.col("ready_ms").cast("long").alias("ready"), F.greatest(F.lit(delay_ms), F.col("delay_ms")).cast("long").alias("gap"), F.col("want_retries").cast("long").alias("want"), (F.row_number().over(order) - 1).alias("k"))
+    rows = rows.withColumn("opens", F.col("k") % concurrency == 0).withColumn("gaps", F.coalesce(F.sum("gap").over(before), F.lit(0)))
+    rows = rows.withColumn("start", F.col("gaps") + F.max(F.col("ready") - F.col("gaps")).over(so_far))
+    rows = rows.withColumn("late", F.col("start") >= wall_ms).withColumn("spent", F.coalesce(F.sum(F.when(F.col("opens"), F.col("want"))).over(before), F.lit(0)))
+    # Starts never fall, so what is late stays late; the least late start is the one that ended the crawl.
+    ended = F.min(F.when(F.col("late"), F.struct("k", "start"))).over(so_far)
+    rows = rows.withColumn("end", ended)
+    after = F.col("k") > F.coalesce(F.col("end.k"), F.col("k"))
+    offered = F.when(F.col("opens") & ~after, F.greatest(F.lit(0), F.lit(retries) - F.col("spent"))).otherwise(0).cast("long")
+    return rows.select(*by, "seq", F.coalesce("end.start", "start").alias("start_ms"), offered.alias("offered"), F.when(F.col("late"), 0).otherwise(F.least(offered, F.col("want"))).cast("long").alias("retries_used"), F.when(F.col("late"), "max_time").alias("reason"))
 
 
 def simulate(seed: str, pages: dict[str, dict], limits: dict[str, int], scope=None, wanted: list[str] | None = None) -> tuple[list[dict], dict]:  # noqa: ANN001

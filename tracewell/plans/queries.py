@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import formats, ip, markup, urls, values
-from tracewell.operators import admission, contracts, cost, crawl, redirects, retry, robots, search, store
+from tracewell.operators import admission, contracts, cost, crawl, recency, redirects, retry, robots, search, store
 from tracewell.plans import jobs
 from tracewell.sources import capture
 from tracewell.streaming import jobs as streams
@@ -771,6 +771,24 @@ def robots_ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drained(spark, rows, "update", lambda df: df.groupBy("user_id").agg(F.max_by("hits", "batch").alias("hits"), F.max_by("misses", "batch").alias("misses")))
 
 
+@query("""
+WITH RECURSIVE a AS (SELECT event_id, event_type AS cache, CAST(user_id AS VARCHAR) AS key, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS pos FROM events),
+s(cache, pos, event_id, outcome, seen, held) AS (
+  SELECT cache, CAST(-1 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST([] AS VARCHAR[]), CAST([] AS STRUCT(key VARCHAR, until BIGINT)[]) FROM (SELECT DISTINCT cache FROM a)
+  UNION ALL
+  SELECT cache, pos, event_id, CASE WHEN NOT list_contains(seen, key) THEN 'cold' WHEN own IS NULL THEN 'evicted' WHEN t >= own.until THEN 'expired' ELSE 'hit' END,
+    CASE WHEN list_contains(seen, key) THEN seen ELSE list_append(seen, key) END,
+    list_concat([{'key': key, 'until': CASE WHEN own IS NULL OR t >= own.until THEN t + 86400000 ELSE own.until END}], list_filter(held, lambda x: x.key <> key))[1:24]
+  FROM (SELECT a.*, s.seen, s.held, list_filter(s.held, lambda x: x.key = a.key)[1] AS own FROM s JOIN a ON a.cache = s.cache AND a.pos = s.pos + 1))
+SELECT event_id, cache, pos, outcome FROM s WHERE pos >= 0
+""")
+def robots_lru_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What accesses find in caches of 24 users each, whose entries live a day, least recently used out first."""
+    e = capture.table(spark, sf_dir, "events")
+    rows = recency.outcomes(e.select("event_id", "event_type", "user_id", "ts"), F.col("event_type"), F.col("user_id"), F.unix_millis(F.col("ts").cast("timestamp")), ["event_id"], capacity=24)
+    return rows.select("event_id", F.col("event_type").alias("cache"), "pos", "outcome")
+
+
 @query(sql_timeline("ts, event_id", ""))
 def retry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same machine on a stream of attempts, in order of time."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewell.operators.retry import Limits, State, advance
+from tracewell.operators.shared import shared_folder
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
@@ -89,8 +89,7 @@ def retries(stream: DataFrame, key: str, limits: Limits = Limits(), delay: str =
 
 def drained(spark: SparkSession, stream: DataFrame, mode: str = "append", latest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Everything a stream gives for what is there now, through a Parquet sink in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     else:
