@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import formats, ip, markup, urls, values
-from tracewell.operators import admission, contracts, cost, crawl, recency, redirects, retry, robots, search, store
+from tracewell.operators import admission, contracts, cost, crawl, recency, redirects, retry, robots, search, shared, store
 from tracewell.plans import jobs
-from tracewell.sources import capture
+from tracewell.sources import capture, packs
 from tracewell.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -534,6 +535,21 @@ def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("crawl").alias("origin"), "url", "depth", "state", "reason")
 
 
+@query(rf"""
+WITH p AS (SELECT *, CASE WHEN page_id % 5 = 3 THEN 404 ELSE 200 END AS status, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin FROM pages)
+SELECT origin, count(*) AS responses, CAST(sum(octet_length(encode(html))) AS BIGINT) AS bytes, min(sha256(html)) AS first_sha256, CAST(count(*) FILTER (page_id % 2 = 0) AS BIGINT) AS tagged FROM p WHERE status = 200 AND starts_with(url, 'https://') GROUP BY origin
+""")
+def response_pack_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as captured responses, packed and read again under pushed filters, with their digests checked."""
+    packs.register(spark)
+    folder = f"{shared.shared_folder(spark)}/packs-{uuid.uuid4().hex}"
+    k = F.col("page_id")
+    tag = F.when(k % 2 == 0, F.create_map(F.lit("etag"), k.cast("string"))).otherwise(F.create_map(F.lit("server"), F.lit("s")))
+    col(spark, sf_dir, "pages", "url", F.when(k % 5 == 3, 404).otherwise(200).alias("status"), tag.alias("headers"), F.encode("html", "utf-8").alias("body"), F.lit(None).cast("string").alias("sha256"), F.lit(True).alias("intact")).write.format("response_pack").mode("append").save(folder)
+    rows = spark.read.format("response_pack").option("splitBytes", 1 << 20).load(folder).where("status = 200 AND url LIKE 'https://%'")
+    return rows.where("intact").groupBy(F.regexp_extract("url", "^(https?://[^/?#]+)", 1).alias("origin")).agg(F.count("*").alias("responses"), F.sum(F.octet_length("body")).alias("bytes"), F.min(F.sha2("body", 256)).alias("first_sha256"), F.count_if(F.col("headers")["etag"].isNotNull()).alias("tagged"))
+
+
 @query("""
 WITH a AS (SELECT s_suppkey, CAST(s_suppkey % 200 AS VARCHAR) AS d FROM supplier)
 SELECT s_suppkey, s_suppkey % 3 <> 1 AS matches, CASE s_suppkey % 5 WHEN 0 THEN 'method' WHEN 1 THEN 'bytes' WHEN 2 THEN 'redirects' END AS fault, CASE WHEN s_suppkey % 4 = 0 THEN 'secret_query' WHEN s_suppkey % 4 = 1 THEN 'unsafe_header' END AS fingerprint FROM a
