@@ -202,7 +202,7 @@ def test_bin_completion_against_exhaustive_search():
         assert used == collections.Counter(sizes) and sum(t for _, t in patterns) == least_bins(sizes, 20)
 
 
-def brute_repeats(raws, m, passage, words):
+def brute_repeats(raws, m):
     def gone(raws, m):
         seen = collections.Counter(r[i : i + m] for r in raws for i in range(len(r) - m + 1))
         for r in raws:
@@ -213,10 +213,9 @@ def brute_repeats(raws, m, passage, words):
             yield out
 
     out = []
-    for r, g, p in zip(raws, gone(raws, m), gone(raws, passage), strict=True):
+    for r, g in zip(raws, gone(raws, m), strict=True):
         sha = hashlib.sha256(bytes(b for b, x in zip(r, g, strict=True) if not x)).hexdigest()
-        runs = [len(r[x.start() : x.end()].split()) for x in re.finditer(b"\1+", p)]
-        out.append((len(r), sum(g), len(re.findall(b"\1+", g)), sha, sum(n for n in runs if n >= words)))
+        out.append((len(r), sum(g), len(re.findall(b"\1+", g)), sha))
     return out
 
 
@@ -235,9 +234,9 @@ def test_suffix_array_and_intervals():
 def test_suffix_dedup(spark, docs, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", hot)
     rows = docs.collect()
-    want = collections.Counter((r["doc_id"], *w) for r, w in zip(rows, brute_repeats([(r["text"] or "").encode() for r in rows], 80, 50, 8), strict=True))
-    assert collections.Counter(map(tuple, suffix_dedup.kept_digests(docs, 80, 16, passage=50, passage_anchor=16, passage_words=8).collect())) == want
-    assert {bool(k[-1]) for k in want} == {True, False}
+    want = collections.Counter((r["doc_id"], *w) for r, w in zip(rows, brute_repeats([(r["text"] or "").encode() for r in rows], 80), strict=True))
+    assert collections.Counter(map(tuple, suffix_dedup.kept_digests(docs, 80, 16).collect())) == want
+    assert {bool(k[2]) for k in want} == {True, False}
     assert suffix_dedup.kept_digests(empty(spark)).count() == 0
 
 
@@ -258,7 +257,7 @@ def test_suffix_dedup_with_production_parameters(spark):
     passages = [" ".join(rnd.choice(words) for _ in range(n)) for n in (51, 55, 90, 200)]
     rows = long + [a[:300] + p + a[300:] for p in passages for a in rnd.sample(long, 3)] + long[:3] + [passages[3] * 3]
     df = frame(spark, enumerate(rows))
-    want = collections.Counter((i, *w) for i, w in enumerate(brute_repeats([r.encode() for r in rows], 400, 240, 50)))
+    want = collections.Counter((i, *w) for i, w in enumerate(brute_repeats([r.encode() for r in rows], 400)))
     assert collections.Counter(map(tuple, suffix_dedup.kept_digests(df).collect())) == want
 
 

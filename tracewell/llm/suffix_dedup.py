@@ -15,9 +15,6 @@ boundaries that are not settled by then are those of suffixes which share MINIMU
 An anchor with more contexts than a batch holds is split by the windows themselves: their 128-bit digests are counted
 by partial aggregation. Nothing is collected on the driver.
 
-Beside the bytes that go, ``kept_digests`` counts the words of passages: runs of strings of ``PASSAGE`` bytes that stand
-elsewhere too, of ``PASSAGE_WORDS`` words or more. They are found in the same way, by a search of their own.
-
 Defined results: a null text is empty; texts under MINIMUM bytes lose nothing. Rows are told apart by 128 bits of their
 id and text, so rows that repeat a whole row count as copies of each other, and null or repeated ids are no exception.
 An empty table gives an empty result. Columns other than the id and the text pass through ``remove_repeats`` as one
@@ -42,8 +39,6 @@ from tracewell.llm.common import bounded, cut, written
 MINIMUM = 400
 #: Bytes of an anchor (a power of two).
 ANCHOR = 64
-#: Strings that make up passages, the anchors within them, and the words from which a run of them is a passage.
-PASSAGE, PASSAGE_ANCHOR, PASSAGE_WORDS = 240, 32, 50
 #: Bytes that a batch of suffixes, and a slice of texts, hold at most (a longer text makes a slice of its own).
 BATCH_BYTES, SLICE_BYTES = 1 << 19, 1 << 20
 #: An anchor with more contexts (of 500 bytes about) is split by windows.
@@ -438,33 +433,31 @@ def with_spans(rows: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]
     return of_keys(rows, spans, KEY, "left_semi").join(spans, KEY), of_keys(rows, spans, KEY, "left_anti")
 
 
-def kept_digests(docs: DataFrame, minimum: int = MINIMUM, anchor: int = ANCHOR, id_column: str = "doc_id", passage: int = PASSAGE, passage_anchor: int = PASSAGE_ANCHOR, passage_words: int = PASSAGE_WORDS) -> DataFrame:
-    """Per document: id, n_bytes, n_removed, n_spans, kept_sha256, and n_passage_words, the words in long repeated passages."""
+def kept_digests(docs: DataFrame, minimum: int = MINIMUM, anchor: int = ANCHOR, id_column: str = "doc_id") -> DataFrame:
+    """Per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = keyed(docs, id_column, F.col(id_column).alias("id"))
-    spans = spans_of(rows, minimum, anchor, "spans").join(spans_of(rows, passage, passage_anchor, "passages"), KEY, "full")
-    touched, rest = with_spans(rows, cut(spans))
-    numbers = ["n_bytes", "n_removed", "n_spans", "n_passage_words"]
+    touched, rest = with_spans(rows, spans_of(rows, minimum, anchor, "spans"))
+    numbers = ["n_bytes", "n_removed", "n_spans"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in byte_slices(batches):
             out, sha = [], []
-            for text, spans, passages in zip(texts, batch.column("spans").to_pylist(), batch.column("passages").to_pylist(), strict=True):
+            for text, spans in zip(texts, batch.column("spans").to_pylist(), strict=True):
                 cuts, at, kept = removed(spans, minimum), 0, hashlib.sha256()
                 for a, b in cuts:
                     kept.update(text[at:a])
                     at = b
                 kept.update(text[at:])
-                words = [len(text[a:b].split()) for a, b in removed(passages, passage)]
-                out.append((len(text), sum(b - a for a, b in cuts), len(cuts), sum(n for n in words if n >= passage_words)))
+                out.append((len(text), sum(b - a for a, b in cuts), len(cuts)))
                 sha.append(kept.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array([x[k] for x in out], pa.int64()) for k in range(len(numbers))], pa.array(sha, pa.string())], names=["id", *numbers, "kept_sha256"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    changed = touched.select("id", "text", "spans", "passages").mapInArrow(bounded(run), f"id {kind}, {', '.join(f'{n} bigint' for n in numbers)}, kept_sha256 string")
+    changed = touched.select("id", "text", "spans").mapInArrow(bounded(run), f"id {kind}, {', '.join(f'{n} bigint' for n in numbers)}, kept_sha256 string")
     text = F.coalesce("text", F.lit(""))
     none = F.lit(0).cast("long")
-    same = rest.select("id", F.octet_length(text).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), none.alias("n_passage_words"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
-    return changed.unionByName(same).select(F.col("id").alias(id_column), "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words")
+    same = rest.select("id", F.octet_length(text).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
+    return changed.unionByName(same).select(F.col("id").alias(id_column), *numbers, "kept_sha256")
 
 
 def remove_repeats(docs: DataFrame, minimum: int = MINIMUM, anchor: int = ANCHOR, id_column: str = "doc_id") -> DataFrame:
