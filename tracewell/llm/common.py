@@ -74,6 +74,23 @@ def written(df: DataFrame) -> Iterator[DataFrame]:
         remove(df.sparkSession, folder)
 
 
+def boxed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """``text``, every other column of the documents as one struct ``rest``, whatever their names, and ``columns``."""
+    other = [F.col("`" + c.replace("`", "``") + "`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != "text"]
+    return docs.select("text", F.struct(F.lit(0).alias("c"), *other).alias("rest"), *columns)
+
+
+def unboxed(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The documents of ``boxed``, with their columns as they were."""
+    return rows.select(*[(F.col("text") if c == "text" else F.col("rest")[f"c{k}"]).alias(c) for k, c in enumerate(names)])
+
+
+def row_key(id_column: str) -> Column:
+    """128 bits of a row's id and text, as 16 bytes: rows that share them are copies of each other."""
+    half = lambda *seed: F.lpad(F.hex(F.xxhash64(*seed, F.isnull(id_column), id_column, F.isnull("text"), "text")), 16, "0")
+    return F.unhex(F.concat(half(), half(F.lit(1))))
+
+
 def has(df: DataFrame) -> bool:
     """Whether any row exists."""
     return bool(df.take(1))

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounded, text_slices
+from tracewell.llm.common import bounded, boxed, text_slices, unboxed
 
 PER_LANGUAGE, SAMPLE_DOCS, EXCERPT = 300, 12_000, 4000
 HIDDEN, WINDOW, CONTEXT, STEPS, BATCH, RATE, SEED = 16, 32, 16, 400, 256, 0.02, 5
@@ -263,7 +263,8 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id") -> DataFra
 
 
 def identified(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
-    """The documents, with all their columns, that have a language and at least ``least_score`` for it."""
+    """The documents, with all their columns of any name, that have a language and at least ``least_score`` for it."""
+    rows = boxed(docs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
@@ -271,4 +272,4 @@ def identified(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
             names, score = labeller.label(texts)
             yield batch.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, score.tolist(), strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(bounded(run), docs.schema)
+    return unboxed(rows.mapInArrow(bounded(run), rows.schema), docs.columns)

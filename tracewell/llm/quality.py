@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut, stored
+from tracewell.llm.common import boxed, cut, stored, unboxed
 
 #: White space that separates words, as characters and as a regular expression class.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -167,11 +167,10 @@ def judged(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their own columns only.
+    """The documents that the rules keep, with their own columns only, whatever their names.
 
     Every text is measured once: documents and measures are written to the shared folder, where the table stays as
     checkpoints do; the sketches then read the narrow columns alone.
     """
-    if taken := [c for c in docs.columns if c.startswith(("__q_", "__t_"))]:
-        raise ValueError(f"columns {taken} bear this operator's own prefix")
-    return verdicts(stored(with_rates(measured(docs)))).where("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = boxed(docs, "lang", "source")
+    return unboxed(verdicts(stored(with_rates(measured(rows)))).where("__q_kept"), docs.columns)

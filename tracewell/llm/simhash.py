@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounded, cut, has, text_slices
+from tracewell.llm.common import bounded, boxed, cut, has, row_key, text_slices, unboxed
 
 SHINGLE_WORDS, RADIUS, HASH_SEED = 3, 3, 42
 SEGMENTS, SEGMENT_BITS = 4, 16
@@ -181,18 +181,24 @@ def near_duplicates(docs: DataFrame, words_in: int = SHINGLE_WORDS, radius: int
 
 
 def keyed(docs: DataFrame, id_column: str) -> DataFrame:
-    """The documents with a key of each row's own; rows that share it are equal in id and text."""
-    return docs.withColumn("__key", F.xxhash64(F.col(id_column).isNull(), id_column, F.col("text").isNull(), "text"))
+    """``key`` (128 bits, shared by rows of equal id and text only), ``id``, ``text``, and the other columns as ``rest``."""
+    return boxed(docs, row_key(id_column).alias("key"), F.col(id_column).alias("id"))
+
+
+def firsts(rows: DataFrame, groups: DataFrame, by: str) -> DataFrame:
+    """Of ``rows`` one row of each group (key, ``by``): that of the smallest id, rows without an id last."""
+    named = groups.join(rows.select("key", "id").distinct(), "key")
+    kept = named.groupBy(by).agg(F.min(F.struct(F.isnull("id"), "id", "key")).alias("best")).select(F.col("best.key").alias("key"))
+    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"])
 
 
 def deduplicate(docs: DataFrame, words_in: int = SHINGLE_WORDS, radius: int = RADIUS, id_column: str = "doc_id") -> DataFrame:
     """One row of each group: that of its smallest id, rows without an id last, with all its columns.
 
-    Each row has a key of its own, which only rows with equal id and text share; ids may repeat or be null. Texts are
-    shuffled once, by key: the semi-join and the removal of repeated keys share that exchange.
+    Each row has a key of its own, which only rows with equal id and text share; ids may repeat or be null. Columns of
+    any name are carried as one struct. Texts are shuffled once, by key: the semi-join and the removal of repeated keys
+    share that exchange.
     """
     rows = keyed(docs, id_column)
-    groups = near_duplicates(rows, words_in, radius, "__key").distinct()
-    named = groups.join(rows.select("__key", F.col(id_column).alias("__id")), "__key")
-    kept = named.groupBy("component_id").agg(F.min(F.struct(F.isnull("__id"), "__id", "__key")).alias("best")).select(F.col("best.__key").alias("__key"))
-    return rows.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    groups = near_duplicates(rows, words_in, radius, "key").distinct()
+    return unboxed(firsts(rows, groups.select("key", "component_id"), "component_id"), docs.columns)
