@@ -5,7 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tracewell.functions import formats, ip, markup, urls, values
+from tracewell.functions import formats, ip, markdown, markup, urls, values
+from tracewell.operators import variants
 
 ALLOW = [("https://a.com/x#top", "https://a.com/x"), ("http://93.184.216.34/", "http://93.184.216.34/"), ("https://bücher.de/", "https://xn--bcher-kva.de/"), ("https://a.com:443/", "https://a.com/"), ("HTTP://A.com./b/../c", "http://a.com/c"), ("http://a.com:443/", "http://a.com:443/")]
 DENY = [
@@ -85,11 +86,49 @@ HTML = """<html><head><title>T &amp; x</title><meta name=Author content=" A  B "
 
 
 def test_markup():
-    assert markup.html_markdown(HTML, "https://a.com/") == "# Hi x\n\na\nb [l\\[i\\]nk](https://a.com/q%281%29)\n\n- one\n- two\n\n19.50\n\npic\n"
     dom = markup.dom_parse(HTML, "https://a.com/")
     assert dom["title"] == "T & x" and dom["metadata"] == {"author": "A B"} and dom["alternates"] == [{"type": "application/rss+xml", "url": "https://a.com/feed"}]
     assert dom["markdown"].startswith("# Hi **x**\n\na\nb".replace("\n\na\nb", "\n\na")) and "- one\n\n- two" in dom["markdown"]
-    assert markup.decode_entities("&lt;&#65;&#x41;&copy;&#0;&nbsp;") == "<AA&copy;� "
+
+
+#: What pages become, by the rules of blocks, lines, links and white space.
+MARKDOWN = {
+    HTML: "# Hi x\n\na\nb [l\\[i\\]nk](https://a.com/q%281%29)\n\n- one\n- two\n\n19.50\n\npic\n",
+    "<a href=/x> lab </a>tail &amp;lt; &#65;&#x1F600;&#0; &copy;": "[lab](https://a.com/x)tail &lt; A\U0001f600\ufffd &copy;\n",
+    'x<script>no</script> y<!-- c --> z <a href="javascript:1">q </a> r': "x y z q r\n",
+    'foo<a href="/a"> bar</a>baz<a href="/b"></a>': "foo[bar](https://a.com/a)baz[https://a.com/b](https://a.com/b)\n",
+    "a  <i> b</i>  <p> <br> c </p> 5 < 6 and 7 > 3": "a b\n\nc\n\n5 3\n",
+    "<head><title>t</title></head><h2></h2><li></li>x": "##\n\n-\nx\n",
+    "<pre>a\n  b</pre><H3 class=x>Up</H3>t": "a b\n\n### Up\n\nt\n",
+    "a&#10;b<br/><br/>c<br><p>d": "a b\nc\n\nd\n",
+    "<p>one<a href='/u'>open": "oneopen\n",
+    "</a>x</p>": "x\n",
+    "<article><h1>T</h1><p>a &lt;b&gt; [c]</p></article>": "# T\n\na <b> [c]\n",
+    "<IMG ALT='two  words'> and <img src=x>": "two words and\n",
+    "\ue003odd\ue000 marks": "odd marks\n",
+    "": "",
+    " \n ": "",
+    None: None,
+}
+LINKS = {
+    "<urlset><url><loc> https://a.com/1?x=1&amp;y=2 </loc></url><url><loc>ftp://a.com/2</loc></url></urlset>": ["https://a.com/1?x=1&y=2"],
+    '<rss><channel><link>/home</link><item><link>https://b.org/i</link></item></channel></rss>': ["https://a.com/home", "https://b.org/i"],
+    '<feed><link href="/e1"/><entry><link rel="alternate" href=\'/e2\'/></entry></feed>': ["https://a.com/e1", "https://a.com/e2"],
+    "<p>none</p>": [],
+}
+
+
+def test_markdown_and_links(spark):
+    rows = spark.createDataFrame([(h, "https://a.com/d/") for h in [*MARKDOWN, *LINKS]], "html string, url string")
+    got = rows.select("html", markdown.markdown(F.col("html"), F.col("url")).alias("text"), markdown.markup_links(F.col("html"), F.col("url")).alias("links")).collect()
+    assert {r["html"]: r["text"] for r in got if r["html"] in MARKDOWN} == MARKDOWN
+    assert {r["html"]: r["links"] for r in got if r["html"] in LINKS} == LINKS and next(r for r in got if r["html"] is None)["links"] is None
+
+
+def test_members_of_json(spark):
+    rows = spark.createDataFrame([(1, '{"a": "/x", "b": ["//y", "z", {"c": "HTTPS://w", "d": [[["./deep"]]]}]}'), (2, "no"), (3, None), (4, '"/top"'), (5, "[]")], "id int, j string")
+    got = variants.json_links(rows, ["id"], F.col("j")).collect()
+    assert {(r["id"], r["link"]) for r in got} == {(1, "/x"), (1, "//y"), (1, "HTTPS://w"), (1, "./deep"), (4, "/top")}
 
 
 def test_extraction():
@@ -108,7 +147,6 @@ def test_extraction():
 def test_json_forms():
     assert [markup.js_number(x) for x in (1.5, 1e21, 1e-7, 0.1, -2.5, 100.0, 1e20, 0.000001)] == ["1.5", "1e+21", "1e-7", "0.1", "-2.5", "100", "100000000000000000000", "0.000001"]
     assert markup.stable_json({"b": [True, None, 2.50], "a": "é"}) == '{"a":"é","b":[true,null,2.5]}'
-    assert list(markup.json_links({"a": "/x", "b": ["//y", "z", {"c": "HTTPS://w"}]})) == ["/x", "//y", "HTTPS://w"]
 
 
 def test_values(spark):

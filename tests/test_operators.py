@@ -127,7 +127,10 @@ def test_store(spark):
     runs = spark.createDataFrame([("r1", True, False), ("r2", True, False), ("r3", True, True), ("r4", True, False)], "run_id string, has_job boolean, has_manifest boolean")
     got = {r["run_id"]: (r["state"], r["last_event"]) for r in store.recovery(runs, lines).collect()}
     assert got == {"r1": ("incomplete", "b"), "r2": ("corrupt", None), "r4": ("incomplete", None)}
-    assert store.missing_objects(spark.createDataFrame([("r", f'{{"h":"{h}"}}')], "run_id string, raw string"), objects).count() == 1
+    other = "sha256:" + "e" * 64
+    journal = [f'{{"a":[{{"hash":"{h}"}}]}}', f'{{"note":"{other}","hash":"not {other}","hashes":["{other}"]}}', f'{{"ref":{{"hash":"{other[:-1]}d","path":"p","bytes":7}}}}', f"{{bad {other}"]
+    held = spark.createDataFrame([(other[:-1] + "d", 8)], "hash string, bytes long")
+    assert sorted(map(tuple, store.missing_objects(spark.createDataFrame([("r", x) for x in journal], "run_id string, raw string"), held).collect())) == [("r", h, "missing"), ("r", other[:-1] + "d", "size")]
 
 
 def test_redirects_and_dns(spark):

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.values import digest, object_path
+from tracewell.operators import variants
 
+HASH = "^sha256:[0-9a-f]{64}$"
 MAX_OBJECT, MAX_JOURNAL = 50 << 20, 16 << 20
 STATUSES = ["ok", "partial", "exhausted", "blocked", "internal_error", "output_failure", "interrupted"]
 
@@ -84,17 +86,33 @@ def journal(lines: DataFrame) -> DataFrame:
 
 def recovery(runs: DataFrame, lines: DataFrame) -> DataFrame:
     """Runs without a manifest: corrupt if any journal line is bad or the journal is too long, else incomplete; with
-    the last event's type."""
+    the last event's type, in the order of their ids."""
     per_run = journal(lines).groupBy("run_id").agg(F.bool_or("bad").alias("bad"), F.sum(F.octet_length("raw") + 1).alias("bytes"), F.max_by(F.try_variant_get("event", "$.type", "string"), "line_no").alias("last_event"), F.count("*").alias("events"))
     open_runs = runs.where("has_job and not has_manifest").select("run_id")
     out = open_runs.join(per_run, "run_id", "left")
-    return out.select("run_id", F.when(F.coalesce("bad", F.lit(False)) | (F.coalesce("bytes", F.lit(0)) > MAX_JOURNAL), "corrupt").otherwise("incomplete").alias("state"), "last_event", F.coalesce("events", F.lit(0)).cast("long").alias("events"))
+    return out.orderBy("run_id").select("run_id", F.when(F.coalesce("bad", F.lit(False)) | (F.coalesce("bytes", F.lit(0)) > MAX_JOURNAL), "corrupt").otherwise("incomplete").alias("state"), "last_event", F.coalesce("events", F.lit(0)).cast("long").alias("events"))
+
+
+def references(lines: DataFrame) -> DataFrame:
+    """(run_id, hash, bytes): what journals refer to, wherever it lies in an event.
+
+    A whole reference is an object with a hash, a path and a whole number of bytes; besides, any member counts whose
+    name is hash or ends in _hash. Strings that merely contain a hash do not. ``bytes`` is null where only a hash is
+    given; of several whole references to one hash the largest size stands.
+    """
+    found = variants.members(journal(lines).where("not bad"), ["run_id"], F.col("event"))
+    hashed = found.where(F.col("name").rlike(r"(?i)(?:^|_)hash$")).withColumn("hash", variants.text(F.col("value"))).where(F.col("hash").rlike(HASH))
+    size = F.try_variant_get("parent", "$.bytes", "bigint")
+    exact = F.schema_of_variant(F.try_variant_get("parent", "$.bytes", "variant")) == "BIGINT"
+    whole = (F.col("name") == "hash") & exact & variants.text(F.try_variant_get("parent", "$.path", "variant")).isNotNull()
+    return hashed.select("run_id", "hash", F.when(whole, size).alias("bytes")).groupBy("run_id", "hash").agg(F.max("bytes").alias("bytes"))
 
 
 def missing_objects(lines: DataFrame, stored: DataFrame) -> DataFrame:
-    """Hashes that journals name and the store does not hold."""
-    named = lines.select("run_id", F.explode(F.regexp_extract_all("raw", F.lit("sha256:[0-9a-f]{64}"), F.lit(0))).alias("hash")).distinct()
-    return named.join(stored.select("hash"), "hash", "left_anti")
+    """(run_id, hash, fault): objects that journals refer to and the store (hash, bytes) lacks, or holds with another size."""
+    met = references(lines).join(stored.select("hash", F.col("bytes").alias("stored")), "hash", "left")
+    fault = F.when(F.col("stored").isNull(), "missing").when(F.col("bytes") != F.col("stored"), "size")
+    return met.select("run_id", "hash", fault.alias("fault")).where("fault is not null")
 
 
 def drift(expected: DataFrame, found: DataFrame) -> DataFrame:

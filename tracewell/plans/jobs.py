@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions import formats, urls, values
+from tracewell.functions import formats, markdown, urls, values
 from tracewell.operators import contracts, store
 from tracewell.operators.crawl import glob_regex
 
@@ -173,12 +173,10 @@ def crawl_site(pages: DataFrame, order: str = "page_id") -> DataFrame:
 
     Pages whose URL is not admitted go. Of several captures of one URL the last one by ``order`` stands.
     """
-    from tracewell.functions import markup
-
     html, text = F.col("html"), formats.html_text(F.col("html"))
     kind, code = contracts.accept(F.lit("markdown"), text, formats.script_count(html), formats.detected_kind(F.lit(None).cast("string"), formats.sniffed_kind(html)), F.lit(True), F.lit(True), F.octet_length(html))
     plain = F.when(urls.is_plain(F.col("url")) & urls.policy_reject(F.col("url")).isNull(), F.regexp_replace("url", "#.*$", ""))
-    rows = pages.select(F.coalesce(plain, urls.admit_url("url")["canonical_url"]).alias("url"), markup.links_of("html", "url").alias("links"), kind.alias("kind"), code.alias("code"), F.octet_length(html).cast("long").alias("bytes"), F.col(order).alias("at"))
+    rows = pages.select(F.coalesce(plain, urls.admit_url("url")["canonical_url"]).alias("url"), markdown.markup_links(html, F.col("url")).alias("links"), kind.alias("kind"), code.alias("code"), F.octet_length(html).cast("long").alias("bytes"), F.col(order).alias("at"))
     rows = rows.where("url is not null")
     origin = F.concat(F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1), F.lit("/"))
     rows = rows.withColumn("own", origin).withColumn("links", F.expr("filter(links, l -> startswith(l, own))"))
@@ -254,10 +252,10 @@ def derive(pages: DataFrame, goal: str) -> DataFrame:
     elif goal == "metadata":
         out = F.to_json(F.struct(F.octet_length(html).alias("bytes"), url.alias("final_url"), F.lit("text/html").alias("media_type")))
     elif goal == "links":
-        out = F.to_json(markup.links_of(html, url))
+        out = F.to_json(markdown.markup_links(html, url))
     elif goal == "json":
         out = markup.stable(html)
     else:
         fence = F.when(kind == "json", formats.fenced(html, "json")).when(kind.isin("xml", "rss", "atom", "sitemap"), formats.fenced(html, "xml"))
-        out = F.when(kind == "html", markup.markdown_of(html, url)).otherwise(F.coalesce(fence, html))
+        out = F.when(kind == "html", markdown.markdown(html, url)).otherwise(F.coalesce(fence, html))
     return pages.withColumn("artifact", out).withColumn("artifact_hash", values.digest(F.col("artifact")))

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.functions import formats, ip, markup, urls, values
-from tracewell.operators import admission, contracts, cost, crawl, recency, redirects, retry, robots, search, shared, store
+from tracewell.functions import formats, ip, markdown, markup, urls, values
+from tracewell.operators import admission, contracts, cost, crawl, recency, redirects, retry, robots, search, shared, store, variants
 from tracewell.plans import jobs
 from tracewell.sources import capture, packs
 from tracewell.streaming import jobs as streams
@@ -202,7 +202,7 @@ SELECT page_id, links, links AS anchors FROM r
 """)
 def html_links_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links by the parser and by the native anchor pattern, both resolved and sorted."""
-    rows = col(spark, sf_dir, "pages", "page_id", markup.links_of("html", "url").alias("links"), urls.resolve_all(formats.anchor_hrefs(F.col("html")), F.col("url")).alias("anchors"))
+    rows = col(spark, sf_dir, "pages", "page_id", markdown.markup_links(F.col("html"), F.col("url")).alias("links"), urls.resolve_all(formats.anchor_hrefs(F.col("html")), F.col("url")).alias("anchors"))
     return rows.select("page_id", F.array_join("links", " ").alias("links"), F.array_join("anchors", " ").alias("anchors"))
 
 
@@ -217,9 +217,27 @@ def html_script_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return col(spark, sf_dir, "pages", "page_id", formats.script_count(F.col("html")).alias("scripts"))
 
 
-@query()
+def sql_markdown() -> str:
+    """Markdown of the pages by rewriting their tags as text: links first, then breaks, then entities."""
+    b, n = "chr(2)", "chr(1)"
+    target = "origin || array_to_string(list_transform(string_split(regexp_extract(s, '^([^\"]*)\"', 1), ''), lambda c: CASE WHEN unicode(c) < 128 THEN c ELSE url_encode(c) END), '')"
+    link = f"'[' || trim(regexp_extract(s, '^[^\"]*\">([^<]*)</a>', 1)) || '](' || {target} || ')' || regexp_replace(s, '^[^\"]*\">[^<]*</a>', '')"
+    body = "regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<head>.*?</head>', '')"
+    steps = [(r"'\s+'", "' '"), ("'<h1>'", f"{b} || '# '"), ("'</?(p|div|article|nav|ul|footer|h1)\\b[^>]*>'", b), ("'<br>|</li>'", n), ("'<li>'", f"{n} || '- '"), ("'<[^>]*>'", "''"), ("'&quot;'", "'\"'"), ("'&amp;'", "'&'"),
+             (f"'[ ' || {n} || ']*' || {b} || '[ ' || {n} || {b} || ']*'", "chr(10) || chr(10)"), (f"' *' || {n} || '[ ' || {n} || ']*'", "chr(10)"), ("' +'", "' '")]
+    text = "t"
+    for pattern, put in steps:
+        text = f"regexp_replace({text}, {pattern}, {put}, 'g')"
+    return f"""
+WITH h AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, string_split({body}, '<a href="') AS parts FROM pages),
+l AS (SELECT page_id, parts[1] || array_to_string(list_transform(parts[2:], lambda s: {link}), '') AS t FROM h)
+SELECT page_id, trim({text}, ' ' || chr(10)) || chr(10) AS markdown, 'sha256:' || sha256(trim({text}, ' ' || chr(10)) || chr(10)) AS sha256 FROM l
+"""
+
+
+@query(sql_markdown())
 def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = col(spark, sf_dir, "pages", "page_id", markup.markdown_of("html", "url").alias("markdown"))
+    rows = col(spark, sf_dir, "pages", "page_id", markdown.markdown(F.col("html"), F.col("url")).alias("markdown"))
     return rows.withColumn("sha256", values.digest(F.col("markdown")))
 
 
@@ -236,9 +254,30 @@ def json_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, '/user/' || user_id || ' https://e.example.org/' || event_type AS links FROM events""")
 def json_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings that look like links, wherever they lie in a JSON text."""
     rows = col(spark, sf_dir, "events", "event_id", "event_type", "user_id")
-    body = F.to_json(F.struct(F.concat(F.lit("/user/"), "user_id").alias("path"), F.array(F.lit("plain"), F.concat(F.lit("https://e.example.org/"), "event_type")).alias("more"), F.col("user_id").alias("n")))
-    return rows.select("event_id", F.array_join(markup.links_in_json(body), " ").alias("links"))
+    deep = F.struct(F.array(F.struct(F.concat(F.lit("https://e.example.org/"), "event_type").alias("u")), F.struct(F.lit("see /not/this").alias("u"))).alias("more"))
+    body = F.to_json(F.struct(F.concat(F.lit("/user/"), "user_id").alias("path"), F.array(F.lit("plain"), F.concat(F.lit("/user/"), "user_id")).alias("again"), deep.alias("deep"), F.col("user_id").alias("n")))
+    return variants.json_links(rows, ["event_id"], body).groupBy("event_id").agg(F.array_join(F.sort_array(F.collect_list("link")), " ").alias("links"))
+
+
+@query("""
+WITH e AS (SELECT event_id AS k, user_id, 'sha256:' || sha256('o' || (event_id % 97)) AS h FROM events),
+r AS (SELECT DISTINCT 'run' || user_id AS run_id, h AS hash, k % 97 AS o, k % 4 = 0 AND k % 3 = 0 AS wrong FROM e WHERE k % 4 IN (0, 1)),
+f AS (SELECT run_id, hash, any_value(o) AS o, bool_or(wrong) AS wrong FROM r GROUP BY ALL)
+SELECT run_id, hash, CASE WHEN o % 5 = 0 THEN 'missing' ELSE 'size' END AS fault FROM f WHERE o % 5 = 0 OR wrong
+""")
+def journal_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects that journals name deep in their events: whole references, bare hashes, and hashes in other strings that do not count."""
+    k = F.col("event_id")
+    h = F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit("o"), (k % 97).cast("string")).cast("binary"), 256))
+    whole = F.to_json(F.struct(F.array(F.struct(F.struct(h.alias("hash"), F.lit("p").alias("path"), F.when(k % 3 == 0, 200).otherwise(100).alias("bytes")).alias("ref"))).alias("refs")))
+    bare = F.to_json(F.struct(F.struct(h.alias("source_hash")).alias("a")))
+    decoy = F.to_json(F.struct(F.concat(F.lit("it was "), h).alias("hash"), h.alias("note"), F.array(h).alias("hashes")))
+    raw = F.when(k % 4 == 0, whole).when(k % 4 == 1, bare).when(k % 4 == 2, decoy).otherwise(F.concat(F.lit("{bad "), h))
+    lines = col(spark, sf_dir, "events", F.concat(F.lit("run"), "user_id").alias("run_id"), k.alias("line_no"), raw.alias("raw"))
+    stored = col(spark, sf_dir, "events", h.alias("hash"), F.lit(100).cast("long").alias("bytes"), (k % 97 % 5).alias("o")).where("o > 0").select("hash", "bytes").distinct()
+    return store.missing_objects(lines, stored)
 
 
 @query(r"""
