@@ -7,6 +7,8 @@ import ipaddress
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracewell.functions.binding import let
+
 #: Special-use IPv4 ranges. The first range in this order that holds an address names it.
 IPV4_RANGES = [
     ("0.0.0.0", 8, "current-network"),
@@ -52,32 +54,33 @@ PUBLIC = "global"
 
 
 def ipv4_number(address: Column) -> Column:
-    """The address as a number; null unless it is a strict dotted quad. Make it a column before it is tested many times."""
-    parts = F.split(address, r"\.")
-    quad = [F.get(parts, F.lit(k)).try_cast("int") for k in range(4)]
-    ok = address.rlike(DOTTED)
-    for q in quad:
-        ok = ok & (q <= 255)
-    number = F.lit(0).cast("long")
-    for q in quad:
-        number = number * 256 + q
-    return F.when(ok, number)
+    """The address as a number; null unless it is a strict dotted quad."""
+
+    def number(quad: Column) -> Column:
+        value = F.aggregate(quad, F.lit(0).cast("long"), lambda n, q: n * 256 + q)
+        return F.when(F.forall(quad, lambda q: q <= 255), value)
+
+    return F.when(address.rlike(DOTTED), let(F.transform(F.split(address, r"\."), lambda q: q.try_cast("int")), number))
 
 
 def ipv6_key(address: Column) -> Column:
     """The address as 32 hex digits; null unless it is an IPv6 address (a dotted quad may end it, a zone may not follow)."""
-    text = F.lower(address)
-    quad = F.regexp_extract(text, r":(\d+\.\d+\.\d+\.\d+)$", 1)
-    low = ipv4_number(quad)
-    words = F.concat(F.regexp_replace(text, r"\d+\.\d+\.\d+\.\d+$", ""), F.lower(F.hex(F.shiftright(low, 16))), F.lit(":"), F.lower(F.hex(low.bitwiseAND(0xFFFF))))
-    text = F.when(quad == "", text).otherwise(words)
-    sides = F.split(text, "::", -1)
-    groups = lambda k: F.when(F.coalesce(F.get(sides, F.lit(k)), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.get(sides, F.lit(k)), ":", -1))
-    left, right = groups(0), groups(1)
-    absent = 8 - F.size(left) - F.size(right)
-    whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(absent, F.lit(0))), right)
-    ok = text.contains(":") & F.when(F.size(sides) == 1, absent == 0).otherwise((F.size(sides) == 2) & (absent >= 1)) & F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    return F.when(ok, F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
+    empty = F.array().cast("array<string>")
+    groups = lambda sides, k: F.when(F.coalesce(F.get(sides, F.lit(k)), F.lit("")) == "", empty).otherwise(F.split(F.get(sides, F.lit(k)), ":", -1))
+
+    def spelled_out(text: Column) -> Column:
+        """The dotted quad at the end as two groups."""
+        low = ipv4_number(F.regexp_extract(text, r":(\d+\.\d+\.\d+\.\d+)$", 1))
+        words = let(low, lambda n: F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(0xFFFF)))))
+        return F.when(text.rlike(r":\d+\.\d+\.\d+\.\d+$"), F.concat(F.regexp_replace(text, r"\d+\.\d+\.\d+\.\d+$", ""), words)).otherwise(text)
+
+    def whole(sides: Column) -> Column:
+        absent = 8 - F.size(groups(sides, 0)) - F.size(groups(sides, 1))
+        fits = F.when(F.size(sides) == 1, absent == 0).otherwise((F.size(sides) == 2) & (absent >= 1))
+        return F.when(fits, F.concat(groups(sides, 0), F.array_repeat(F.lit("0"), F.greatest(absent, F.lit(0))), groups(sides, 1)))
+
+    valid = lambda found: F.when(F.forall(found, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.array_join(F.transform(found, lambda g: F.lpad(g, 4, "0")), ""))
+    return F.when(address.contains(":"), let(let(F.split(spelled_out(F.lower(address)), "::", -1), whole), valid))
 
 
 def ipv6_reason(key: Column) -> Column:
@@ -91,12 +94,15 @@ def ipv6_reason(key: Column) -> Column:
 
 def ipv6_text(key: Column) -> Column:
     """The shortest form of the address of a key: the longest run of two or more zero groups, the first of equals, is left out."""
-    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.regexp_replace(F.substring(key, k * 4 + 1, F.lit(4)), "^0{1,3}", "")), ":")
-    out = F
-    for n in range(8, 1, -1):
-        run = rf"(?:^|:)0(?::0){{{n - 1}}}(?::|$)"
-        out = out.when(text.rlike(run), F.regexp_replace(text, rf"^(.*?){run}(.*)$", "$1::$2"))
-    return out.otherwise(text)
+
+    def shortest(text: Column) -> Column:
+        out = F
+        for n in range(8, 1, -1):
+            run = rf"(?:^|:)0(?::0){{{n - 1}}}(?::|$)"
+            out = out.when(text.rlike(run), F.regexp_replace(text, rf"^(.*?){run}(.*)$", "$1::$2"))
+        return out.otherwise(text)
+
+    return let(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.regexp_replace(F.substring(key, k * 4 + 1, F.lit(4)), "^0{1,3}", "")), ":"), shortest)
 
 
 def ipv4_reason(number: Column) -> Column:

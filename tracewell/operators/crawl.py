@@ -237,7 +237,7 @@ def crawl_on_demand(crawls: DataFrame, site: DataFrame, decide: Callable[[DataFr
     A crawl replays until its queue comes to a URL that it has not asked for; what its queue lacks is then joined to
     the site, all crawls at once, and the replay starts again. A task thus holds one crawl's own pages, which its limits
     bound, never a whole site; there is about one round for each level of depth. ``decide`` gives (url, robots,
-    delay_ms) for a table of URLs. A URL that the site lacks is ``not_found``. The rows of a crawl are in order of ``seq``.
+    delay_ms) for a table of URLs. ``site``, and what ``decide`` reads, should be cut: each round joins them. A URL that the site lacks is ``not_found``. The rows of a crawl are in order of ``seq``.
     """
     include, exclude = list(include), list(exclude)
     takes, drops = ([re.compile(glob_regex(g)) for g in globs] for globs in (include, exclude))
@@ -257,7 +257,7 @@ def crawl_on_demand(crawls: DataFrame, site: DataFrame, decide: Callable[[DataFr
         return out.assign(crawl=rows["crawl"].iloc[0], seed=rows["seed"].iloc[0])
 
     schema = f"crawl {kind}, seed string, state string, url string, depth int, reason string, seq long, status string"
-    narrow = cut(site.select("url", "links", "kind", "code", "bytes"))
+    narrow = site.select("url", "links", "kind", "code", "bytes")
     wanted = crawls.select("crawl", "seed", F.col("seed").alias("url"))
     known = None
     while True:

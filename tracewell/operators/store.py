@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.values import digest, object_path
-from tracewell.operators import variants
+from tracewell.operators import bloom, variants
+from tracewell.operators.shared import cut
 
 HASH = "^sha256:[0-9a-f]{64}$"
 MAX_OBJECT, MAX_JOURNAL = 50 << 20, 16 << 20
@@ -24,12 +25,30 @@ def objects(rows: DataFrame, body: str, order: str, keep: list[str] | None = Non
     return out.withColumns({"path": object_path(F.col("hash")), "outcome": F.when(F.col("bytes") > MAX_OBJECT, "object_too_large").otherwise("ok")})
 
 
-def put(new: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Objects to append, and those whose stored size differs from what has the same hash (corrupt)."""
+#: Objects that may be held already, up to which they are broadcast to the store (some 100 bytes each).
+BROADCAST_OBJECTS = 200_000
+
+
+def put(new: DataFrame, existing: DataFrame, held: DataFrame | None = None, blocks: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Objects to append, and those whose stored size differs from what has the same hash (corrupt).
+
+    ``held`` is the Bloom filter (see bloom) of the store's hashes, in ``blocks``. Objects that it rules out are new; only
+    the others meet the store, and where they are few enough to be broadcast, the store is read but not shuffled.
+    """
     new = new.where("outcome = 'ok'") if "outcome" in new.columns else new
-    fresh = new.dropDuplicates(["hash"]).join(existing.select("hash"), "hash", "left_anti")
-    corrupt = new.join(existing.select("hash", F.col("bytes").alias("stored")), "hash").where("bytes <> stored")
-    return fresh, corrupt
+    new = new.dropDuplicates(["hash"])
+    if held is None:
+        sure, maybe = None, new
+    else:
+        told = cut(bloom.asked(new, "hash", held, blocks))
+        sure, maybe = told.where("not maybe").drop("maybe"), told.where("maybe").drop("maybe")
+    few = maybe.limit(BROADCAST_OBJECTS + 1).count() <= BROADCAST_OBJECTS
+    keys = maybe.select("hash")
+    met = existing.join(F.broadcast(keys) if few else keys, "hash", "left_semi").select("hash", F.col("bytes").alias("stored"))
+    met = met.groupBy("hash").agg(F.min("stored").alias("stored"))
+    rows = maybe.join(met, "hash", "left")
+    fresh = rows.where("stored is null").select(*new.columns)
+    return fresh if sure is None else sure.unionByName(fresh), rows.where("bytes <> stored")
 
 
 def orphans(artifacts: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tracewell.functions import formats, urls, values
-from tracewell.operators import contracts, cost, crawl, robots, search
+from tracewell.operators import contracts, cost, crawl, robots, search, shared
 from tracewell.plans import jobs
 from tracewell.sources.capture import result_lines, table
 
@@ -62,8 +62,8 @@ def execute(spark: SparkSession, spec: jobs.JobSpec) -> tuple[str, DataFrame]:
         raise jobs.InputError(admitted.reject)
     kind = formats.detected_kind(F.lit(None).cast("string"), formats.sniffed_kind(F.col("html")))
     if spec.kind == "crawl":
-        site = jobs.crawl_site(pages)
-        rules = robots.parsed(optional(spark, spec.data_root, "robots", "origin string, status int, body binary"), AGENT)
+        site = shared.cut(jobs.crawl_site(pages))
+        rules = shared.cut(robots.parsed(optional(spark, spec.data_root, "robots", "origin string, status int, body binary"), AGENT))
         crawls = spark.createDataFrame([("crawl", admitted.canonical_url)], "crawl string, seed string")
         rows = crawl.crawl_on_demand(crawls, site, lambda u: robots.gate(u, rules), jobs.crawl_limits(spec.limits), list(spec.include), list(spec.exclude))
         return rows.select("status").first()["status"], rows.orderBy("seq").select("state", "url", "depth", "reason")

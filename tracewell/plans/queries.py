@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import formats, ip, markdown, markup, urls, values
-from tracewell.operators import admission, contracts, cost, crawl, recency, redirects, retry, robots, search, shared, store, variants
+from tracewell.operators import admission, bloom, cidr, contracts, cost, crawl, recency, redirects, retry, robots, search, shared, store, variants
 from tracewell.plans import jobs
 from tracewell.sources import capture, packs
 from tracewell.streaming import jobs as streams
@@ -120,6 +120,21 @@ def ip_classify_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("n", ip.ipv4_number(F.col("address"))).select("o_orderkey", "address", ip.ipv4_reason(F.col("n")).alias("reason"))
 
 
+@query(f"""
+WITH a AS (SELECT o_orderkey, (o_orderkey * 2654435761) % 4294967296 AS n FROM orders),
+r AS (SELECT s_suppkey AS ord, (s_suppkey * 2246822519) % 4294967296 AS start, 2 + s_suppkey % 22 AS size, 'block' || s_suppkey AS owner FROM supplier),
+m AS (SELECT o_orderkey, min_by(owner, ord) AS owner FROM a JOIN r ON (a.n >> (32 - size)) = (r.start >> (32 - size)) GROUP BY o_orderkey)
+SELECT o_orderkey, (n // 16777216) || '.' || (n // 65536 % 256) || '.' || (n // 256 % 256) || '.' || (n % 256) AS address, owner FROM a LEFT JOIN m USING (o_orderkey)
+""")
+def cidr_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first block of a table of ranges that holds each address."""
+    quad = lambda n: F.concat_ws(".", *[F.shiftright(n, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)])
+    k = F.col("s_suppkey")
+    blocks = col(spark, sf_dir, "supplier", k.alias("ord"), F.concat(quad(F.pmod(k * 2246822519, F.lit(4294967296))), F.lit("/"), (2 + k % 22).cast("string")).alias("cidr"), F.concat(F.lit("block"), k).alias("owner"))
+    rows = col(spark, sf_dir, "orders", "o_orderkey", quad(F.pmod(F.col("o_orderkey") * 2654435761, F.lit(4294967296))).alias("address"))
+    return cidr.first_match(rows, "address", cidr.ranges_of(blocks), keep=["owner"])
+
+
 #: IPv6 answers by s_suppkey % 7: as given, in shortest form, and their reason.
 V6 = [("2606:4700::1111", "2606:4700::1111", "global"), ("2001:DB8:0:0::1", "2001:db8::1", "documentation"), ("::ffff:8.8.8.8", "::ffff:808:808", "ipv4-mapped"), ("2a00:1450:4001:0:0:0:0:65", "2a00:1450:4001::65", "global")]
 
@@ -562,14 +577,13 @@ UNION ALL SELECT origin, url, 1, 'unvisited', 'max_frontier' FROM d WHERE pos >
 """)
 def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crawls from the first page of every origin along the links of captured pages, with robots files and limits."""
-    pages = capture.table(spark, sf_dir, "pages")
-    site = jobs.crawl_site(pages)
+    site = shared.cut(jobs.crawl_site(capture.table(spark, sf_dir, "pages")))
     origin = F.regexp_extract("url", "^(https?://[^/?#]+)", 1)
-    seeds = site.groupBy(origin.alias("crawl")).agg(F.min("url").alias("seed"))
+    seeds = shared.cut(site.groupBy(origin.alias("crawl")).agg(F.min("url").alias("seed")))
     n = F.length("crawl")
     files = seeds.select(F.col("crawl").alias("origin"), F.when(n % 5 == 0, 503).when(n % 2 == 0, 200).otherwise(404).alias("status"), F.lit(bytearray(SITE_ROBOTS)).alias("body"))
     limits = {"pages": 3, "depth": 3, "frontier": 4, "bytes": 50 << 20, "wall_ms": 60_000, "delay_ms": 250, "concurrency": 2, "retries": 1, "redirects": 5}
-    rules = robots.parsed(files, "tracewell/1.0")
+    rules = shared.cut(robots.parsed(files, "tracewell/1.0"))
     rows = crawl.crawl_on_demand(seeds, site, lambda u: robots.gate(u, rules), limits)
     return rows.select(F.col("crawl").alias("origin"), "url", "depth", "state", "reason")
 
@@ -589,6 +603,21 @@ def response_pack_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("intact").groupBy(F.regexp_extract("url", "^(https?://[^/?#]+)", 1).alias("origin")).agg(F.count("*").alias("responses"), F.sum(F.octet_length("body")).alias("bytes"), F.min(F.sha2("body", 256)).alias("first_sha256"), F.count_if(F.col("headers")["etag"].isNotNull()).alias("tagged"))
 
 
+@query("""
+WITH n AS (SELECT 'sha256:' || sha256(coalesce(text, '')) AS hash, any_value(octet_length(encode(coalesce(text, '')))) AS bytes, min(doc_id) AS first FROM documents GROUP BY 1),
+s AS (SELECT 'sha256:' || sha256(coalesce(text, '')) AS hash, any_value(octet_length(encode(coalesce(text, '')))) AS bytes, bool_or(doc_id % 9 = 0) AS odd FROM documents WHERE doc_id % 3 = 0 GROUP BY 1)
+SELECT hash, CASE WHEN s.hash IS NULL THEN 'fresh' ELSE 'corrupt' END AS state FROM n LEFT JOIN s USING (hash) WHERE s.hash IS NULL OR odd
+""")
+def object_store_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents put into a store that holds a third of them, some of another size: what is new, and what is corrupt."""
+    docs = col(spark, sf_dir, "documents", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    stored = docs.select(values.digest(F.col("text")).alias("hash"), F.octet_length("text").cast("long").alias("bytes"), (F.col("doc_id") % 3 == 0).alias("in_store"), (F.col("doc_id") % 9 == 0).alias("odd")).where("in_store")
+    stored = stored.groupBy("hash").agg(F.max(F.col("bytes") + F.col("odd").cast("long")).alias("bytes"))
+    blocks = bloom.blocks_for(docs.count())
+    fresh, corrupt = store.put(store.objects(docs, "text", "doc_id"), stored, bloom.filter_of(stored, "hash", blocks), blocks)
+    return fresh.select("hash", F.lit("fresh").alias("state")).unionByName(corrupt.select("hash", F.lit("corrupt").alias("state")))
+
+
 @query("""
 WITH a AS (SELECT s_suppkey, CAST(s_suppkey % 200 AS VARCHAR) AS d FROM supplier)
 SELECT s_suppkey, s_suppkey % 3 <> 1 AS matches, CASE s_suppkey % 5 WHEN 0 THEN 'method' WHEN 1 THEN 'bytes' WHEN 2 THEN 'redirects' END AS fault, CASE WHEN s_suppkey % 4 = 0 THEN 'secret_query' WHEN s_suppkey % 4 = 1 THEN 'unsafe_header' END AS fingerprint FROM a
