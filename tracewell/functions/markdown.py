@@ -122,7 +122,7 @@ def markup_candidates(source: Column) -> Column:
     text = without_data_markup(source)
     hrefs = F.transform(F.regexp_extract_all(text, F.lit("<[^>]+>"), F.lit(0)), lambda t: attribute(t, "href"))
     texts = F.regexp_extract_all(text, F.lit(rf"(?i)<(?:loc|link){END}[^>]*>([^<]*)</(?:loc|link){S}*>"), F.lit(1))
-    return F.transform(F.array_compact(F.concat(hrefs, F.transform(texts, F.trim))), decoded)
+    return F.transform(F.array_compact(F.concat(hrefs, F.transform(texts, lambda t: F.trim(t)))), decoded)
 
 
 def markup_links(source: Column, base: Column) -> Column:

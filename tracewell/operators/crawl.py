@@ -124,13 +124,15 @@ def simulate(seed: str, pages: dict[str, dict], limits: dict[str, int], scope=No
     """One crawl in exact order over captured pages: its ledger and its summary.
 
     A page holds ``links``, ``robots`` (allowed), ``kind`` and ``code`` of its outcome, ``bytes``, ``delay_ms``,
-    ``retries`` and ``redirects``. Limits: pages, depth, frontier, bytes, wall_ms, delay_ms, concurrency, retries,
+    ``retries`` and ``redirects``, and maybe ``sitemaps``, which its robots file names: they are offered once the page is
+    allowed, whatever becomes of it. Limits: pages, depth, frontier, bytes, wall_ms, delay_ms, concurrency, retries,
     redirects. ``scope(url, is_seed)`` gives a reason against a URL, or None. Batches are barriers: discoveries of a
     batch are queued in the order of its dispatch. With a list ``wanted``, a URL that ``pages`` does not hold ends the
     replay, and the list gets what the queue lacks; without one it is not found.
     """
     queue: list[tuple[str, int]] = []
     seen: set[str] = set()
+    named: set[str] = set()  # sitemaps that were offered
     rows: list[dict] = []
     limit: str | None = None
     retries, redirects, total, dispatched = limits["retries"], limits["redirects"], 0, 0
@@ -139,10 +141,10 @@ def simulate(seed: str, pages: dict[str, dict], limits: dict[str, int], scope=No
     def note(state: str, url: str, depth: int, reason: str | None) -> None:
         rows.append({"state": state, "url": url, "depth": depth, "reason": reason})
 
-    def offer(url: str, depth: int, is_seed: bool = False) -> None:
+    def offer(url: str, depth: int, is_seed: bool = False, ahead: int = 0) -> None:
         nonlocal limit
         reason = "max_depth" if depth > limits["depth"] else scope(url, is_seed) if scope else None
-        reason = reason or ("duplicate" if url in seen else "max_frontier" if len(queue) >= limits["frontier"] else None)
+        reason = reason or ("duplicate" if url in seen else "max_frontier" if len(queue) - ahead >= limits["frontier"] else None)
         if reason is None:
             seen.add(url)
             queue.append((url, depth))
@@ -167,6 +169,13 @@ def simulate(seed: str, pages: dict[str, dict], limits: dict[str, int], scope=No
             elif page is not None and not page["robots"]:
                 queue.pop(0)
                 note("blocked", url, depth, "robots_denied")
+                continue
+            for sitemap in page.get("sitemaps", ()) if page is not None and stop is None else ():
+                if sitemap not in named:
+                    named.add(sitemap)
+                    offer(sitemap, depth + 1, ahead=1)  # the page itself has left the queue
+            if stop:
+                pass
             elif dispatched >= limits["pages"]:
                 stop = "max_pages"
             elif total >= limits["bytes"]:
@@ -208,12 +217,13 @@ def simulate(seed: str, pages: dict[str, dict], limits: dict[str, int], scope=No
 
 def ledger_of(rows: pd.DataFrame, limits: dict[str, int], scope=None, wanted: list[str] | None = None) -> pd.DataFrame:  # noqa: ANN001
     """simulate() on the rows of one crawl, as a frame."""
-    site = {u: {**dict(zip(PAGE_COLUMNS, v, strict=True)), "links": list(v[0])} for u, *v in rows[["url", *PAGE_COLUMNS]].itertuples(index=False, name=None)}
+    columns = [c for c in PAGE_COLUMNS if c in rows]
+    site = {u: {**dict(zip(columns, v, strict=True)), "links": list(v[0])} for u, *v in rows[["url", *columns]].itertuples(index=False, name=None)}
     ledger_rows, summary = simulate(rows["seed"].iloc[0], site, limits, scope, wanted)
     return pd.DataFrame(ledger_rows, columns=["state", "url", "depth", "reason"]).assign(seq=range(len(ledger_rows)), status=summary.get("status"))
 
 
-PAGE_COLUMNS = ["links", "robots", "kind", "code", "bytes", "delay_ms", "retries", "redirects"]
+PAGE_COLUMNS = ["links", "robots", "kind", "code", "bytes", "delay_ms", "retries", "redirects", "sitemaps"]
 
 
 def crawl_exact(pages: DataFrame, by: list[str], limits: dict[str, int]) -> DataFrame:
@@ -237,7 +247,7 @@ def crawl_on_demand(crawls: DataFrame, site: DataFrame, decide: Callable[[DataFr
     A crawl replays until its queue comes to a URL that it has not asked for; what its queue lacks is then joined to
     the site, all crawls at once, and the replay starts again. A task thus holds one crawl's own pages, which its limits
     bound, never a whole site; there is about one round for each level of depth. ``decide`` gives (url, robots,
-    delay_ms) for a table of URLs. ``site``, and what ``decide`` reads, should be cut: each round joins them. A URL that the site lacks is ``not_found``. The rows of a crawl are in order of ``seq``.
+    delay_ms, and maybe sitemaps) for a table of URLs. ``site``, and what ``decide`` reads, should be cut: each round joins them. A URL that the site lacks is ``not_found``. The rows of a crawl are in order of ``seq``.
     """
     include, exclude = list(include), list(exclude)
     takes, drops = ([re.compile(glob_regex(g)) for g in globs] for globs in (include, exclude))
@@ -261,8 +271,11 @@ def crawl_on_demand(crawls: DataFrame, site: DataFrame, decide: Callable[[DataFr
     wanted = crawls.select("crawl", "seed", F.col("seed").alias("url"))
     known = None
     while True:
-        found = wanted.join(narrow, "url", "left").join(decide(wanted.select("url").distinct()), "url", "left")
-        found = found.select("crawl", "seed", "url", F.coalesce("links", F.array().cast("array<string>")).alias("links"), F.coalesce("robots", F.lit(True)).alias("robots"), F.coalesce("kind", F.lit("terminal")).alias("kind"), F.coalesce("code", F.lit("not_found")).alias("code"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), F.coalesce("delay_ms", F.lit(0)).cast("long").alias("delay_ms"), F.lit(0).alias("retries"), F.lit(0).alias("redirects"))
+        decided = decide(wanted.select("url").distinct())
+        if "sitemaps" not in decided.columns:
+            decided = decided.withColumn("sitemaps", F.lit(None).cast("array<string>"))
+        found = wanted.join(narrow, "url", "left").join(decided, "url", "left")
+        found = found.select("crawl", "seed", "url", F.coalesce("links", F.array().cast("array<string>")).alias("links"), F.coalesce("robots", F.lit(True)).alias("robots"), F.coalesce("kind", F.lit("terminal")).alias("kind"), F.coalesce("code", F.lit("not_found")).alias("code"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), F.coalesce("delay_ms", F.lit(0)).cast("long").alias("delay_ms"), F.lit(0).alias("retries"), F.lit(0).alias("redirects"), F.coalesce("sitemaps", F.array().cast("array<string>")).alias("sitemaps"))
         known = cut(found if known is None else known.unionByName(found))
         out = cut(known.groupBy("crawl").applyInPandas(fold, schema))
         wanted = out.where("state = 'wanted'").select("crawl", "seed", "url")

@@ -141,12 +141,12 @@ def anchored_prefix(pattern: Column) -> Column:
     return F.when(start.rlike(r"^[\x21-\x7e]*$"), start).otherwise("")
 
 
-def gate(urls: DataFrame, robots: DataFrame) -> DataFrame:
-    """(url, robots, delay_ms) for URLs: what each one's origin says in ``robots`` (of parsed()); an origin without a
+def gate(urls: DataFrame, robots: DataFrame, sitemaps: bool = False) -> DataFrame:
+    """(url, robots, delay_ms, and on request the file's sitemaps) for URLs: what each one's origin says in ``robots`` (of parsed()); an origin without a
     file allows everything, as one whose file is not found."""
     rows = urls.select("url", F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1).alias("origin"), path_of("url").alias("path"))
-    policies = robots.select("origin", "policy", "delay_ms")
+    policies = robots.select("origin", "policy", "delay_ms", *(["sitemaps"] if sitemaps else []))
     decided = decide(rows, rules_table(robots.where("policy = 'rules'")), "url", ["origin"])
     out = decided.join(policies, "origin", "left")
     allowed = F.when(F.col("policy") == "deny_all", False).when(F.col("policy") == "rules", F.col("allowed")).otherwise(True)
-    return out.select("url", allowed.alias("robots"), F.coalesce("delay_ms", F.lit(0)).alias("delay_ms"))
+    return out.select("url", allowed.alias("robots"), F.coalesce("delay_ms", F.lit(0)).alias("delay_ms"), *(["sitemaps"] if sitemaps else []))

@@ -62,10 +62,10 @@ def execute(spark: SparkSession, spec: jobs.JobSpec) -> tuple[str, DataFrame]:
         raise jobs.InputError(admitted.reject)
     kind = formats.detected_kind(F.lit(None).cast("string"), formats.sniffed_kind(F.col("html")))
     if spec.kind == "crawl":
-        site = shared.cut(jobs.crawl_site(pages))
+        site = shared.cut(jobs.crawl_site(pages, sources=spec.discover))
         rules = shared.cut(robots.parsed(optional(spark, spec.data_root, "robots", "origin string, status int, body binary"), AGENT))
         crawls = spark.createDataFrame([("crawl", admitted.canonical_url)], "crawl string, seed string")
-        rows = crawl.crawl_on_demand(crawls, site, lambda u: robots.gate(u, rules), jobs.crawl_limits(spec.limits), list(spec.include), list(spec.exclude))
+        rows = crawl.crawl_on_demand(crawls, site, lambda u: robots.gate(u, rules, "sitemap" in spec.discover), jobs.crawl_limits(spec.limits), list(spec.include), list(spec.exclude))
         return rows.select("status").first()["status"], rows.orderBy("seq").select("state", "url", "depth", "reason")
     found = pages.where(F.col("url") == admitted.canonical_url).withColumn("kind", kind)
     if spec.kind == "extract":

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import formats, markdown, urls, values
-from tracewell.operators import contracts, store
+from tracewell.operators import contracts, discovery, store
 from tracewell.operators.crawl import glob_regex
 
 COMMANDS = {"url": 1, "crawl": 1, "extract": 1, "search": 1, "health": 0}
@@ -168,17 +168,22 @@ def capture_audit(pages: DataFrame) -> DataFrame:
     )
 
 
-def crawl_site(pages: DataFrame, order: str = "page_id") -> DataFrame:
+def crawl_site(pages: DataFrame, order: str = "page_id", sources: tuple[str, ...] = ()) -> DataFrame:
     """Captured pages (url, html) as what a crawl sees: url (canonical), links of its own origin, kind, code, bytes.
 
-    Pages whose URL is not admitted go. Of several captures of one URL the last one by ``order`` stands.
+    Links come first, then the alternates whose kind is among the ``sources`` to be discovered. Pages whose URL is not admitted go. Of several captures of one URL the last one by ``order`` stands.
     """
-    html, text = F.col("html"), formats.html_text(F.col("html"))
-    kind, code = contracts.accept(F.lit("markdown"), text, formats.script_count(html), formats.detected_kind(F.lit(None).cast("string"), formats.sniffed_kind(html)), F.lit(True), F.lit(True), F.octet_length(html))
+    html = F.col("html")
+    detected = formats.detected_kind(F.lit(None).cast("string"), formats.sniffed_kind(html))
+    # What is fenced as it stands (XML, JSON) is its own text.
+    text = F.when(detected.isin("html", "binary"), formats.html_text(html)).otherwise(html)
+    kind, code = contracts.accept(F.lit("markdown"), text, formats.script_count(html), detected, F.lit(True), F.lit(True), F.octet_length(html))
     plain = F.when(urls.is_plain(F.col("url")) & urls.policy_reject(F.col("url")).isNull(), F.regexp_replace("url", "#.*$", ""))
-    rows = pages.select(F.coalesce(plain, urls.admit_url("url")["canonical_url"]).alias("url"), markdown.markup_links(html, F.col("url")).alias("links"), kind.alias("kind"), code.alias("code"), F.octet_length(html).cast("long").alias("bytes"), F.col(order).alias("at"))
+    rows = pages.select(F.coalesce(plain, urls.admit_url("url")["canonical_url"]).alias("url"), markdown.markup_links(html, F.col("url")).alias("links"), kind.alias("kind"), code.alias("code"), F.octet_length(html).cast("long").alias("bytes"), F.col(order).alias("at"), *([discovery.alternates(html, sources).alias("alternates")] if sources else []))
     rows = rows.where("url is not null")
     origin = F.concat(F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1), F.lit("/"))
+    if sources:
+        rows = rows.withColumn("links", F.concat("links", F.array_compact(urls.resolve_each("alternates", "url"))))
     rows = rows.withColumn("own", origin).withColumn("links", F.expr("filter(links, l -> startswith(l, own))"))
     return rows.groupBy("url").agg(F.max_by(F.struct("links", "kind", "code", "bytes"), "at").alias("page")).select("url", "page.*")
 

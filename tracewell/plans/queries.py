@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import formats, ip, markdown, markup, urls, values
-from tracewell.operators import admission, bloom, cidr, contracts, cost, crawl, recency, redirects, retry, robots, search, shared, store, variants
+from tracewell.operators import adapters, admission, bloom, cidr, contracts, cost, crawl, discovery, recency, redirects, retry, robots, search, shared, store, variants
 from tracewell.plans import jobs
 from tracewell.sources import capture, packs
 from tracewell.streaming import jobs as streams
+from tracewell.streaming import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -618,6 +619,60 @@ def object_store_put(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh.select("hash", F.lit("fresh").alias("state")).unionByName(corrupt.select("hash", F.lit("corrupt").alias("state")))
 
 
+def listings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages (origin, page_id, url) and the files (origin, url, body) that list them: an index of a sitemap and another
+    index, which lists an Atom feed, an RSS feed and the first index again."""
+    url = F.regexp_replace("url", "#.*$", "")
+    pages = col(spark, sf_dir, "pages", "page_id", url.alias("url"), F.regexp_extract("url", "^(https?://[^/?#]+)", 1).alias("origin"))
+    pages = pages.groupBy("origin", "url").agg(F.min("page_id").alias("page_id"))
+    shown = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    part = lambda k, open_, shut: F.array_join(F.sort_array(F.collect_list(F.when(F.col("page_id") % 3 == k, F.concat(F.lit(open_), shown, F.lit(shut))))), "")
+    o = F.col("origin")
+    lists = pages.groupBy("origin").agg(part(0, "<url><loc>", "</loc></url>").alias("urls"), part(1, '<entry><link href="', '"/></entry>').alias("entries"), part(2, "<item><link>", "</link></item>").alias("items"))
+    maps = lambda *names: F.concat(*[F.concat(F.lit("<sitemap><loc>"), o, F.lit(f"/{n}</loc></sitemap>")) for n in names])
+    around = lambda root, inner, extra="": F.concat(F.lit(f'<?xml version="1.0"?><{root}{extra}>'), inner, F.lit(f"</{root}>"))
+    schema = ' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    files = {"sitemap.xml": around("sitemapindex", maps("map.xml", "more.xml"), schema), "more.xml": around("sitemapindex", maps("atom.xml", "rss.xml", "sitemap.xml"), schema), "map.xml": around("urlset", F.col("urls"), schema),
+             "atom.xml": around("feed", F.col("entries"), ' xmlns="http://www.w3.org/2005/Atom"'), "rss.xml": around("rss", F.concat(F.lit("<channel><title>t</title>"), "items", F.lit("</channel>")), ' version="2.0"')}
+    rows = lists.select("origin", F.explode(F.array(*[F.struct(F.concat(o, F.lit(f"/{n}")).alias("url"), b.alias("body")) for n, b in files.items()])).alias("f"))
+    return pages, rows.select("origin", "f.*")
+
+
+LISTED_PAGES = "SELECT regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, regexp_replace(url, '#.*$', '') AS url, min(page_id) % 3 AS k FROM pages GROUP BY ALL"
+
+
+@query(f"""
+WITH p AS ({LISTED_PAGES})
+SELECT origin, url, CASE WHEN k = 0 THEN 2 ELSE 3 END AS depth, origin || ['/map.xml', '/atom.xml', '/rss.xml'][k + 1] AS source FROM p
+""")
+def discover_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages found through indexes, sitemaps and feeds, level by level, past an index that lists itself."""
+    _, files = listings(spark, sf_dir)
+    starts = files.where("url LIKE '%/sitemap.xml'").select(F.col("origin").alias("crawl"), "url")
+    return discovery.follow(starts, files, 5).withColumnRenamed("crawl", "origin")
+
+
+@query(f"""
+WITH p AS ({LISTED_PAGES}), s AS (SELECT origin, min(url) AS seed FROM p GROUP BY origin),
+f(name, depth, state, reason) AS (VALUES ('/sitemap.xml', 1, 'accepted', NULL), ('/map.xml', 2, 'accepted', NULL), ('/more.xml', 2, 'accepted', NULL), ('/atom.xml', 3, 'accepted', NULL), ('/rss.xml', 3, 'accepted', NULL), ('/sitemap.xml', 3, 'skipped', 'duplicate'))
+SELECT origin, seed AS url, 0 AS depth, 'accepted' AS state, NULL AS reason FROM s
+UNION ALL SELECT s.origin, s.origin || name, depth, state, reason FROM s, f
+UNION ALL SELECT origin, url, CASE WHEN k = 0 THEN 3 ELSE 4 END, CASE WHEN url = seed THEN 'skipped' ELSE 'accepted' END, CASE WHEN url = seed THEN 'duplicate' END FROM p JOIN s USING (origin)
+""")
+def crawl_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawls that find their pages by the sitemaps of robots files only, four levels deep."""
+    pages, files = listings(spark, sf_dir)
+    body = F.concat(F.lit("<!DOCTYPE html><html><body><p>page "), F.col("page_id").cast("string"), F.lit("</p></body></html>"))
+    captured = pages.select("page_id", "url", body.alias("html")).unionByName(files.select(F.lit(0).cast("long").alias("page_id"), "url", F.col("body").alias("html")))
+    site = shared.cut(jobs.crawl_site(captured, sources=("sitemap",)))
+    seeds = shared.cut(pages.groupBy(F.col("origin").alias("crawl")).agg(F.min("url").alias("seed")))
+    text = F.concat(F.lit("User-agent: *\nDisallow:\nSitemap: "), "crawl", F.lit("/sitemap.xml\n"))
+    rules = shared.cut(robots.parsed(seeds.select(F.col("crawl").alias("origin"), F.lit(200).alias("status"), text.cast("binary").alias("body")), "tracewell/1.0"))
+    limits = {"pages": 10_000, "depth": 4, "frontier": 10_000, "bytes": 1 << 40, "wall_ms": 1 << 40, "delay_ms": 0, "concurrency": 2, "retries": 1, "redirects": 5}
+    rows = crawl.crawl_on_demand(seeds, site, lambda u: robots.gate(u, rules, sitemaps=True), limits)
+    return rows.select(F.col("crawl").alias("origin"), "url", "depth", "state", "reason")
+
+
 @query("""
 WITH a AS (SELECT s_suppkey, CAST(s_suppkey % 200 AS VARCHAR) AS d FROM supplier)
 SELECT s_suppkey, s_suppkey % 3 <> 1 AS matches, CASE s_suppkey % 5 WHEN 0 THEN 'method' WHEN 1 THEN 'bytes' WHEN 2 THEN 'redirects' END AS fault, CASE WHEN s_suppkey % 4 = 0 THEN 'secret_query' WHEN s_suppkey % 4 = 1 THEN 'unsafe_header' END AS fingerprint FROM a
@@ -873,6 +928,61 @@ def robots_lru_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.col("event_type").alias("cache"), "pos", "outcome")
 
 
+def native(request: dict) -> object:
+    """An adapter that answers, throws, or breaks the contract by the number of its job."""
+    n = int(request["job_id"]) % 7
+    if n == 0:
+        raise OSError(request["url"])
+    return {1: {"kind": "success", "code": "ok", "detail": request["url"]}, 2: {"kind": "inadequate", "code": "empty"}, 3: {"kind": "retryable", "code": "rate_limited"}, 4: {"kind": "retryable", "code": "network"}, 5: {"kind": 1, "code": "ok"}}.get(n)
+
+
+def fallback(request: dict) -> object:
+    return {"kind": "success", "code": "ok"} if int(request["job_id"]) % 2 else "no outcome"
+
+
+@query("""
+WITH a AS (SELECT event_id AS k, 'https://e.example.org/' || event_type AS url, event_id % 7 AS n FROM events),
+f AS (SELECT CAST(k AS VARCHAR) AS job_id, 1 AS attempt, 'native' AS adapter, url, CASE WHEN n IN (0, 5, 6) THEN 'broken' WHEN n = 1 THEN 'success' WHEN n = 2 THEN 'inadequate' ELSE 'retryable' END AS kind,
+  ['adapter_crash', 'ok', 'empty', 'rate_limited', 'network', 'adapter_protocol_error', 'adapter_protocol_error'][n + 1] AS code, CASE WHEN n = 0 THEN 'OSError' WHEN n = 1 THEN url END AS detail, n, k FROM a),
+g AS (SELECT job_id, 2 AS attempt, 'fallback' AS adapter, url, CASE WHEN k % 2 = 1 THEN 'success' ELSE 'broken' END AS kind, CASE WHEN k % 2 = 1 THEN 'ok' ELSE 'adapter_protocol_error' END AS code, NULL AS detail, n, k FROM f WHERE n IN (2, 4))
+SELECT job_id, attempt, adapter, url, kind, code, detail FROM f UNION ALL SELECT job_id, attempt, adapter, url, kind, code, detail FROM g
+""")
+def adapter_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts of jobs with two candidates each, whose adapters answer, throw, or answer what is no outcome."""
+    adapters.register(spark, "acquire", {"native": native, "fallback": fallback})
+    candidate = F.explode(F.array(F.struct(F.lit(1).alias("ord"), F.lit("fallback").alias("adapter")), F.struct(F.lit(0).alias("ord"), F.lit("native").alias("adapter"))))
+    rows = col(spark, sf_dir, "events", F.col("event_id").alias("job_id"), F.concat(F.lit("https://e.example.org/"), "event_type").alias("url"), candidate.alias("c"))
+    return adapters.attempts(rows.select("job_id", "url", "c.*"), "acquire")
+
+
+@query("SELECT user_id, event_type, count(*) AS attempts, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY ALL")
+def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts that a stream appends to a log, every batch of it delivered twice."""
+    folder = f"{shared.shared_folder(spark)}/attempts-{uuid.uuid4().hex}"
+    log = sinks.BatchLog(spark, f"{folder}/log", "event_id long, user_id long, event_type string")
+    put = log.sink(lambda rows: rows.select("event_id", "user_id", "event_type"))
+
+    def twice(rows: DataFrame, batch: int) -> None:
+        put(rows, batch)
+        put(rows, batch)
+
+    streams.events(spark, f"{sf_dir}/events.parquet").writeStream.foreachBatch(twice).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return log.read().groupBy("user_id", "event_type").agg(F.count("*").alias("attempts"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+
+
+@query("""
+SELECT o_custkey AS fingerprint, o_orderkey AS run_id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1
+""")
+def cache_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cache records merged in two rounds into a bucketed table, of which the last one of each fingerprint stays."""
+    rows = col(spark, sf_dir, "orders", F.col("o_custkey").alias("fingerprint"), F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("at"))
+    table = sinks.BucketTable(spark, f"{shared.shared_folder(spark)}/cache-{uuid.uuid4().hex}", "fingerprint long, run_id long, at timestamp_ntz", "fingerprint", 16)
+    last = lambda both: store.latest(both, "fingerprint", [F.desc("at"), F.desc("run_id")])
+    table.merge(rows.where("run_id % 3 > 0"), last)
+    table.merge(rows.where("run_id % 3 = 0"), last)
+    return table.read().select("fingerprint", "run_id")
+
+
 @query(sql_timeline("ts, event_id", ""))
 def retry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same machine on a stream of attempts, in order of time."""
