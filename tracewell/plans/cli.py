@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tracewell.functions import formats, urls, values
-from tracewell.operators import contracts, cost, crawl, robots, search, shared
+from tracewell.operators import contracts, cost, crawl, robots, search, search_index, shared
 from tracewell.plans import jobs
 from tracewell.sources.capture import result_lines, table
 
@@ -54,7 +54,9 @@ def execute(spark: SparkSession, spec: jobs.JobSpec) -> tuple[str, DataFrame]:
         return "ok", cost.route_plan(job, capabilities).orderBy("ord")
     pages = table(spark, spec.data_root, "pages")
     if spec.kind == "search":
-        results = pages.select(F.lit("run").alias("run_id"), F.col("page_id").alias("pos"), "url").where(F.col("url").contains(spec.target))
+        index = search_index.built(pages, formats.html_text(F.col("html")))
+        found, _ = search_index.best(spark.createDataFrame([("run", spec.target)], "query string, text string"), index, spec.search_limit)
+        results = found.join(pages.select(F.col("page_id").alias("page"), "url"), "page").select(F.col("query").alias("run_id"), F.col("rank").alias("pos"), "url")
         rows = search.candidates(results, ["run_id"], "pos", urls.admit_url("url")["canonical_url"])
         return "partial", search.ranked(rows, ["run_id"], "pos", spec.scrape_results).select("rank", "canonical")
     admitted = urls.admit(spec.target)
