@@ -48,6 +48,14 @@ def route_plan(jobs: DataFrame, capabilities: DataFrame) -> DataFrame:
     return rows.where(chosen).select("job_id", "ord", "id", "state", why.alias("reason"), state.alias("cost_state"), (why == "eligible").alias("eligible"))
 
 
+def probed(capabilities: DataFrame, probes: DataFrame, order: list[str]) -> DataFrame:
+    """Capabilities with the state and reason of their last probe (id, state, reason, ``order``); a probe without a state changes nothing."""
+    last = probes.groupBy("id").agg(F.max_by(F.struct("state", "reason"), F.struct(*order)).alias("last"))
+    rows = capabilities.join(last, "id", "left")
+    told = F.col("last.state").isNotNull()
+    return rows.withColumns({"state": F.when(told, F.col("last.state")).otherwise(F.col("state")), "reason": F.when(told, F.col("last.reason")).otherwise(F.col("reason"))}).drop("last")
+
+
 def health(capabilities: DataFrame) -> DataFrame:
     return capabilities.select("id", "state", "reason", "automatic", F.array_join("commands", ",").alias("commands"), "cost", "network_model")
 

@@ -422,22 +422,27 @@ def http_status_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("exit_code", contracts.exit_code(F.col("run_status"), F.lit(None).cast("string"))).select("status", "kind", "code", "run_status", "exit_code", "n")
 
 
+CODES = [c for codes in contracts.CODE_KINDS.values() for c in codes]
 KIND_CASE = " ".join(f"WHEN code IN ({', '.join(repr(c) for c in codes)}) THEN '{k}'" for k, codes in contracts.CODE_KINDS.items())
 
 
 @query(f"""
-WITH c AS (SELECT unnest({[c for codes in contracts.CODE_KINDS.values() for c in codes]}) AS code), k AS (SELECT unnest({list(contracts.CODE_KINDS)}) AS kind), r AS (SELECT unnest([0, 1]) AS retries_left), n AS (SELECT unnest([true, false]) AS has_next),
-x AS (SELECT *, CASE {KIND_CASE} END = kind AS fits, code IN ('not_found', 'gone') AS lost FROM c CROSS JOIN k CROSS JOIN r CROSS JOIN n),
+WITH e AS (SELECT event_id AS n, {CODES} AS codes, {list(contracts.CODE_KINDS)} AS kinds FROM events),
+c AS (SELECT n AS event_id, codes[n % len(codes) + 1] AS code, kinds[n // len(codes) % len(kinds) + 1] AS kind, CAST(n // (len(codes) * len(kinds)) % 2 AS INTEGER) AS retries_left, n // (2 * len(codes) * len(kinds)) % 2 = 0 AS has_next FROM e),
+x AS (SELECT *, CASE {KIND_CASE} END = kind AS fits, code IN ('not_found', 'gone') AS lost FROM c),
 a AS (SELECT *, CASE WHEN NOT fits THEN 'stop' WHEN kind = 'retryable' AND retries_left > 0 THEN 'retry_same' WHEN (kind IN ('skip', 'inadequate') OR kind = 'retryable' AND code <> 'rate_limited') AND has_next THEN 'next' ELSE 'stop' END AS action FROM x)
-SELECT code, kind, retries_left, has_next, action,
+SELECT event_id, code, kind, retries_left, has_next, action,
   CASE WHEN NOT fits THEN 'internal_error' WHEN action <> 'stop' THEN NULL WHEN kind = 'success' THEN 'ok' WHEN kind IN ('skip', 'inadequate') OR lost OR kind = 'retryable' AND code <> 'rate_limited' THEN 'exhausted' WHEN kind IN ('retryable', 'terminal') THEN 'blocked' ELSE 'internal_error' END AS status,
   CASE WHEN NOT fits THEN 'unknown_attempt_code' WHEN action <> 'stop' THEN code WHEN kind IN ('skip', 'inadequate') OR kind = 'retryable' AND code <> 'rate_limited' THEN 'exhausted' ELSE code END AS out_code FROM a
 """)
 def transition_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = spark.createDataFrame([(c,) for codes in contracts.CODE_KINDS.values() for c in codes], "code string")
-    rows = codes.withColumn("kind", F.explode(F.array(*map(F.lit, contracts.CODE_KINDS)))).withColumn("retries_left", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("has_next", F.explode(F.array(F.lit(True), F.lit(False))))
+    """What follows attempts whose kinds, codes and surroundings go through all combinations."""
+    n, codes, kinds = F.col("event_id"), F.array(*map(F.lit, CODES)), F.array(*map(F.lit, contracts.CODE_KINDS))
+    at = lambda options, k: F.get(options, k.cast("int"))
+    whole = len(CODES) * len(contracts.CODE_KINDS)
+    rows = col(spark, sf_dir, "events", n, at(codes, n % len(CODES)).alias("code"), at(kinds, F.floor(n / len(CODES)) % len(contracts.CODE_KINDS)).alias("kind"), (F.floor(n / whole) % 2).cast("int").alias("retries_left"), (F.floor(n / (2 * whole)) % 2 == 0).alias("has_next"))
     step = contracts.transition(F.col("kind"), F.col("code"), F.col("retries_left"), F.col("has_next"))
-    return rows.select("code", "kind", "retries_left", "has_next", *[c.alias(k) for k, c in step.items()])
+    return rows.select("event_id", "code", "kind", "retries_left", "has_next", *[c.alias(k) for k, c in step.items()])
 
 
 EVENT_KIND = "CASE event_type WHEN 'error' THEN 'retryable' WHEN 'signup' THEN 'retryable' WHEN 'view' THEN 'retryable' ELSE 'success' END"
@@ -899,9 +904,19 @@ def byte_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("run_id").agg(F.sum("bytes").alias("bytes"), F.max_by("role", "seq").alias("last_role"))
 
 
-@query("""SELECT id, state, reason, automatic, array_to_string(commands, ',') AS commands, cost, model AS network_model FROM (VALUES %s) c(ord, id, state, reason, automatic, commands, cost, price, model)""" % CAPABILITIES)
+@query("""
+WITH c(ord, id, state, reason, automatic, commands, cost, price, model) AS (VALUES %s),
+p AS (SELECT event_id %% 11 AS ord, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_id %% 11 ORDER BY ts DESC, event_id DESC) = 1)
+SELECT id, CASE WHEN event_type = 'error' THEN 'disabled' WHEN event_type IN ('click', 'view') THEN 'ready' ELSE state END AS state, CASE WHEN event_type = 'error' THEN 'probe_failed' WHEN event_type IN ('click', 'view') THEN 'runtime' ELSE reason END AS reason,
+  automatic, array_to_string(commands, ',') AS commands, cost, model AS network_model FROM c LEFT JOIN p USING (ord)
+""" % CAPABILITIES)
 def health_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cost.health(cost.registry(spark))
+    """The registry as the last probe of each capability left it; some capabilities have none, some probes are of others."""
+    registry, t = cost.registry(spark), F.col("event_type")
+    ids = registry.select((F.col("ord")).cast("long").alias("n"), "id")
+    state = F.when(t == "error", "disabled").when(t.isin("click", "view"), "ready")
+    probes = col(spark, sf_dir, "events", (F.col("event_id") % 11).alias("n"), "ts", "event_id", state.alias("state"), F.when(t == "error", "probe_failed").when(t.isin("click", "view"), "runtime").alias("reason"))
+    return cost.health(cost.probed(registry, probes.join(F.broadcast(ids), "n"), ["ts", "event_id"]))
 
 
 @query("SELECT event_type, count(*) AS first_events FROM (SELECT user_id, event_type FROM events GROUP BY ALL) GROUP BY event_type")
