@@ -98,6 +98,15 @@ def valid_cache(cache: DataFrame, manifests: DataFrame, artifacts: DataFrame) ->
     return bound.join(chosen, ["run_id", "artifact_hash"])
 
 
+def read_cache(requests: DataFrame, cache: DataFrame, manifests: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Requests (fingerprint) with ``hit``, and the warning ``cache_record_corrupt`` where a record is there but not whole."""
+    whole = valid_cache(cache, manifests, artifacts).select("fingerprint", F.lit(True).alias("whole")).distinct()
+    known = cache.select("fingerprint", F.lit(True).alias("known")).distinct()
+    rows = requests.join(known, "fingerprint", "left").join(whole, "fingerprint", "left")
+    hit = F.coalesce("whole", F.lit(False))
+    return rows.withColumns({"hit": hit, "warning": F.when(F.coalesce("known", F.lit(False)) & ~hit, "cache_record_corrupt")}).drop("known", "whole")
+
+
 def journal(lines: DataFrame) -> DataFrame:
     """(run_id, line_no, raw) with the parsed event; a line that is no JSON object is bad."""
     return lines.withColumn("event", F.try_parse_json("raw")).withColumn("bad", F.col("event").isNull() | ~F.trim("raw").startswith("{")).where(F.trim("raw") != "")

@@ -262,10 +262,12 @@ def metadata_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.derive(col(spark, sf_dir, "pages", "page_id", "url", "html", F.lit("html").alias("kind")), "metadata").select("page_id", F.col("artifact").alias("metadata"))
 
 
-@query("""SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || '}' AS canonical FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
+@query("""SELECT event_id, '{"A":' || json_extract_string(props, '$.k') || ',"a":{"z":' || user_id || ',"é":"' || event_type || '","😀":{}},"b":[true,null,1.5,' || CASE WHEN event_id % 2 = 0 THEN '1e+21' ELSE '-0.001' END || ']}' AS canonical FROM events""")
 def json_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = col(spark, sf_dir, "events", "event_id", "props").where(F.get_json_object("props", "$.k").isNotNull())
-    return rows.select("event_id", markup.stable("props").alias("canonical"))
+    """Canonical JSON: keys in order at every depth, numbers in their shortest form."""
+    number = F.when(F.col("event_id") % 2 == 0, "1000000000000000000000").otherwise("-0.0010")
+    text = F.format_string('{"b": [true, null, 1.50, %s],  "a": {"😀": {}, "é": "%s", "z": %d},"A": %s}', number, F.col("event_type"), F.col("user_id"), F.get_json_object("props", "$.k"))
+    return col(spark, sf_dir, "events", "event_id", markup.stable(text).alias("canonical"))
 
 
 @query("""SELECT event_id, '/user/' || user_id || ' https://e.example.org/' || event_type AS links FROM events""")
@@ -342,10 +344,10 @@ def coerce_primitives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT 'sha256:' || sha256(text) AS hash, octet_length(encode(any_value(text))) AS bytes, count(*) AS copies, min(doc_id) AS first_doc_id, 'objects/sha256/' || left(sha256(text), 2) || '/' || sha256(text) AS path, CASE WHEN octet_length(encode(any_value(text))) > 52428800 THEN 'object_too_large' ELSE 'ok' END AS outcome FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)
+SELECT 'sha256:' || sha256(text) AS hash, octet_length(encode(any_value(text))) AS bytes, count(*) AS copies, min(doc_id) AS first_doc_id, 'objects/sha256/' || left(sha256(text), 2) || '/' || sha256(text) AS path, CASE WHEN octet_length(encode(any_value(text))) > 52428800 THEN 'object_too_large' ELSE 'ok' END AS outcome FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) GROUP BY sha256(text)
 """)
 def object_store_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.objects(capture.table(spark, sf_dir, "documents").where("text is not null"), "text", "doc_id")
+    return store.objects(col(spark, sf_dir, "documents", "doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "doc_id")
 
 
 @query("""
@@ -365,15 +367,15 @@ def request_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT o_orderkey % 500 AS k, max(o_orderdate) AS expires_at FROM orders WHERE o_orderkey % 500 < 400 GROUP BY 1),
-r AS (SELECT event_id AS request_id, user_id % 500 AS k, ['off', 'use', 'refresh'][event_id % 3 + 1] AS mode, event_id FROM events)
+WITH c AS (SELECT o_orderkey % 400 AS k, max(o_orderdate) AS expires_at FROM orders GROUP BY 1),
+r AS (SELECT event_id AS request_id, event_id * 7 % 500 AS k, ['off', 'use', 'refresh'][event_id % 3 + 1] AS mode, event_id FROM events)
 SELECT request_id, mode, CASE WHEN mode = 'off' THEN 'off' WHEN expires_at IS NULL THEN 'miss' WHEN mode = 'use' AND expires_at > TIMESTAMP '1998-07-15' THEN 'hit' WHEN event_id % 5 = 0 THEN 'revalidated' ELSE 'miss' END AS cache_status
 FROM r LEFT JOIN c ON r.k = c.k
 """)
 def cache_lookup_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = col(spark, sf_dir, "orders", (F.col("o_orderkey") % 500).alias("fingerprint"), "o_orderdate").where("fingerprint < 400").groupBy("fingerprint").agg(F.max("o_orderdate").alias("expires_at"))
+    cache = col(spark, sf_dir, "orders", (F.col("o_orderkey") % 400).alias("fingerprint"), "o_orderdate").groupBy("fingerprint").agg(F.max("o_orderdate").alias("expires_at"))
     events = capture.table(spark, sf_dir, "events")
-    requests = events.select(F.col("event_id").alias("request_id"), (F.col("user_id") % 500).alias("fingerprint"), F.element_at(F.array(*map(F.lit, ["off", "use", "refresh"])), (F.col("event_id") % 3 + 1).cast("int")).alias("mode"))
+    requests = events.select(F.col("event_id").alias("request_id"), (F.col("event_id") * 7 % 500).alias("fingerprint"), F.element_at(F.array(*map(F.lit, ["off", "use", "refresh"])), (F.col("event_id") % 3 + 1).cast("int")).alias("mode"))
     now = F.lit("1998-07-15 00:00:00").cast("timestamp_ntz")
     asked = store.cache_lookup(requests, cache, now)
     responses = events.select(F.col("event_id").alias("request_id"), F.when(F.col("event_id") % 5 == 0, 304).otherwise(200).alias("status_code"))
@@ -1066,6 +1068,19 @@ def cache_hit_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record.join(attempts, "run_id").select("fingerprint", "run_id", "expires_at", "attempt")
 
 
+@query("""
+SELECT o_orderkey AS request_id, o_orderkey % 6 > 0 AND o_orderkey % 5 > 0 AND o_orderkey % 7 > 0 AS hit, CASE WHEN o_orderkey % 6 > 0 AND (o_orderkey % 5 = 0 OR o_orderkey % 7 = 0) THEN 'cache_record_corrupt' END AS warning FROM orders
+""")
+def cache_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reading the cache gives: a hit, nothing, or a record whose manifest or source is not whole."""
+    k = F.col("o_orderkey")
+    orders = col(spark, sf_dir, "orders", k, F.concat(F.lit("run"), k).alias("run_id"), F.concat(F.lit("f"), k).alias("fingerprint"))
+    cache = orders.where(k % 6 > 0).select("fingerprint", "run_id", F.lit("s").alias("source_hash"), F.lit("a").alias("artifact_hash"))
+    manifests = orders.select("run_id", F.when(k % 5 > 0, "ok").otherwise("partial").alias("status"))
+    artifacts = orders.select("run_id", F.explode(F.array(F.struct(F.lit("raw").alias("role"), F.lit("a").alias("hash")), F.struct(F.when(k % 7 > 0, "source").otherwise("other").alias("role"), F.lit("s").alias("hash")))).alias("a")).select("run_id", "a.*")
+    return store.read_cache(orders.select(k.alias("request_id"), "fingerprint"), cache, manifests, artifacts).select("request_id", "hit", "warning")
+
+
 @query("""
 WITH c AS (SELECT c_custkey AS k FROM customer)
 SELECT k, CASE WHEN k % 3 = 0 THEN '' ELSE 'canonical u' || k || ',' END || CASE WHEN k % 2 = 0 THEN 'rss r,atom r' ELSE 'rss r' END AS candidates,
