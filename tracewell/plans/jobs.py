@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import formats, markdown, urls, values
-from tracewell.operators import contracts, discovery, store
+from tracewell.operators import contracts, discovery, store, variants
 from tracewell.operators.crawl import glob_regex
 
 COMMANDS = {"url": 1, "crawl": 1, "extract": 1, "search": 1, "health": 0}
 FORMATS = ["raw", "markdown", "text", "metadata", "links", "json"]
 SOURCES = ["html", "sitemap", "rss", "atom", "api"]
+#: Bytes of a representation at most.
+MAX_ARTIFACT = 50 << 20
 
 
 @dataclass(frozen=True)
@@ -247,20 +249,40 @@ def extract_job(pages: DataFrame, schema: dict, html: str = "html") -> DataFrame
     return rows.select("*", "out.data", "out.missing").drop("out").withColumn("status", F.when(F.size("missing") > 0, "exhausted").otherwise("ok"))
 
 
-def derive(pages: DataFrame, goal: str) -> DataFrame:
-    """Pages (url, html, kind) in a representation: raw, markdown, metadata, links or json."""
+XML_KINDS = ["xml", "rss", "atom", "sitemap"]
+
+
+def links_by_kind(pages: DataFrame) -> DataFrame:
+    """Pages (url, html, kind) with ``links``: sorted admitted URLs of markup, markdown or JSON; other kinds have none."""
+    html, url, kind = F.col("html"), F.col("url"), F.col("kind")
+    found = F.when(kind.isin("html", *XML_KINDS), markdown.markup_candidates(html)).when(kind == "markdown", formats.markdown_links(html))
+    in_json = variants.json_links(pages.where(kind == "json").select("url", "html").distinct(), ["url", "html"], F.col("html"))
+    in_json = in_json.groupBy("url", "html").agg(F.collect_list("link").alias("__json"))
+    rows = pages.join(in_json, ["url", "html"], "left").withColumn("__found", F.coalesce(found, F.when(kind == "json", F.col("__json")), F.array().cast("array<string>")))
+    return rows.withColumn("links", urls.resolve_all("__found", "url")).select(*pages.columns, "links")
+
+
+def derive(pages: DataFrame, goal: str, max_bytes: int = MAX_ARTIFACT) -> DataFrame:
+    """Pages (url, html, kind) in a representation: raw, markdown, metadata, links or json.
+
+    ``outcome`` is ``ok``, or ``hard_limit`` where the artifact is larger than ``max_bytes``, which it then is not given,
+    or ``output_failure`` where there is none (a text that is no JSON).
+    """
     from tracewell.functions import markup
 
     html, url, kind = F.col("html"), F.col("url"), F.col("kind")
     if goal == "raw":
-        out = html
+        rows, out = pages, html
     elif goal == "metadata":
-        out = F.to_json(F.struct(F.octet_length(html).alias("bytes"), url.alias("final_url"), F.lit("text/html").alias("media_type")))
+        rows, out = pages, F.to_json(F.struct(F.octet_length(html).alias("bytes"), url.alias("final_url"), F.lit("text/html").alias("media_type")))
     elif goal == "links":
-        out = F.to_json(markdown.markup_links(html, url))
+        rows, out = links_by_kind(pages), F.to_json("links")
     elif goal == "json":
-        out = markup.stable(html)
+        rows, out = pages, markup.stable(html)
     else:
-        fence = F.when(kind == "json", formats.fenced(html, "json")).when(kind.isin("xml", "rss", "atom", "sitemap"), formats.fenced(html, "xml"))
-        out = F.when(kind == "html", markdown.markdown(html, url)).otherwise(F.coalesce(fence, html))
-    return pages.withColumn("artifact", out).withColumn("artifact_hash", values.digest(F.col("artifact")))
+        fence = F.when(kind == "json", formats.fenced(html, "json")).when(kind.isin(XML_KINDS), formats.fenced(html, "xml"))
+        rows, out = pages, F.when(kind == "html", markdown.markdown(html, url)).otherwise(F.coalesce(fence, html))
+    rows = rows.withColumn("artifact", out).select(*pages.columns, "artifact")
+    outcome = F.when(F.col("artifact").isNull(), "output_failure").when(F.octet_length("artifact") > max_bytes, "hard_limit").otherwise("ok")
+    rows = rows.withColumn("outcome", outcome).withColumn("artifact", F.when(F.col("outcome") == "ok", F.col("artifact")))
+    return rows.withColumn("artifact_hash", values.digest(F.col("artifact")))

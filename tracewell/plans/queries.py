@@ -298,6 +298,22 @@ def journal_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.missing_objects(lines, stored)
 
 
+@query("""
+WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS o, page_id % 5 AS k FROM pages),
+l AS (SELECT page_id, k, CASE k WHEN 0 THEN '["' || o || '/h","' || o || '/z"]' WHEN 1 THEN '["' || o || '/j/' || page_id || '"]' WHEN 2 THEN '["https://x.example.org/' || page_id || '"]' WHEN 3 THEN '["' || o || '/m"]' ELSE '[]' END AS a FROM p),
+m AS (SELECT page_id, k, strlen(a) > 38 AS over, a FROM l)
+SELECT page_id, ['html', 'json', 'sitemap', 'markdown', 'binary'][k + 1] AS kind, CASE WHEN over THEN 'hard_limit' ELSE 'ok' END AS outcome, CASE WHEN NOT over THEN a END AS artifact FROM m
+""")
+def representation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of bodies of five kinds, each found by its own rules, with a cap on what a representation may weigh."""
+    k, n = F.col("page_id") % 5, F.col("page_id").cast("string")
+    bodies = [F.lit('<p><a href="/z">z</a><a href="/h#x">h</a></p>'), F.concat(F.lit('{"a":[{"b":"/j/'), n, F.lit('"}],"c":"no link"}')), F.concat(F.lit("<urlset><url><loc>https://x.example.org/"), n, F.lit("</loc></url></urlset>")), F.lit("see [m](/m 't') and <ftp://x/>"), F.lit("/plain")]
+    kinds = ["html", "json", "sitemap", "markdown", "binary"]
+    pick = lambda options: F.get(F.array(*options), k.cast("int"))
+    pages = col(spark, sf_dir, "pages", "page_id", "url", pick(bodies).alias("html"), pick([F.lit(x) for x in kinds]).alias("kind"))
+    return jobs.derive(pages, "links", 38).select("page_id", "kind", "outcome", "artifact")
+
+
 @query(r"""
 WITH d AS (SELECT doc_id, text || chr(10) || '[a](https://x.example/' || doc_id || ' "t") ![i](/i.png) <https://y.example/' || doc_id || '>' AS text FROM documents)
 SELECT doc_id, array_to_string(list_concat(regexp_extract_all(text, '!?\[[^\]]*\]\(([^\s)]+)(?:\s+["''][^"'']*["''])?\)', 1), regexp_extract_all(text, '(?i)<(https?://[^\s<>]+)>', 1)), ' ') AS links FROM d
