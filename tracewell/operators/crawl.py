@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tracewell.operators.shared import cut
 
 GLOB_MOST = 1024
+#: Equal offers that are written out at once.
+OFFERS = 10_000
 
 
 def glob_regex(glob: str) -> str:
@@ -241,6 +243,15 @@ def crawl_exact(pages: DataFrame, by: list[str], limits: dict[str, int]) -> Data
     return pages.groupBy(*by).applyInPandas(fold, schema)
 
 
+def fetched(wanted: DataFrame, narrow: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``wanted`` (url, ...) with the columns of a page: what the site and ``decide`` say of each URL."""
+    decided = decide(wanted.select("url").distinct())
+    if "sitemaps" not in decided.columns:
+        decided = decided.withColumn("sitemaps", F.lit(None).cast("array<string>"))
+    found = wanted.join(narrow, "url", "left").join(decided, "url", "left")
+    return found.select(*wanted.columns, F.coalesce("links", F.array().cast("array<string>")).alias("links"), F.coalesce("robots", F.lit(True)).alias("robots"), F.coalesce("kind", F.lit("terminal")).alias("kind"), F.coalesce("code", F.lit("not_found")).alias("code"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), F.coalesce("delay_ms", F.lit(0)).cast("long").alias("delay_ms"), F.lit(0).alias("retries"), F.lit(0).alias("redirects"), F.coalesce("sitemaps", F.array().cast("array<string>")).alias("sitemaps"))
+
+
 def crawl_on_demand(crawls: DataFrame, site: DataFrame, decide: Callable[[DataFrame], DataFrame], limits: dict[str, int], include: list[str] = ("/**",), exclude: list[str] = ()) -> DataFrame:
     """Exact ledgers of ``crawls`` (crawl, seed) over ``site`` (url, links, kind, code, bytes), of any size.
 
@@ -271,13 +282,47 @@ def crawl_on_demand(crawls: DataFrame, site: DataFrame, decide: Callable[[DataFr
     wanted = crawls.select("crawl", "seed", F.col("seed").alias("url"))
     known = None
     while True:
-        decided = decide(wanted.select("url").distinct())
-        if "sitemaps" not in decided.columns:
-            decided = decided.withColumn("sitemaps", F.lit(None).cast("array<string>"))
-        found = wanted.join(narrow, "url", "left").join(decided, "url", "left")
-        found = found.select("crawl", "seed", "url", F.coalesce("links", F.array().cast("array<string>")).alias("links"), F.coalesce("robots", F.lit(True)).alias("robots"), F.coalesce("kind", F.lit("terminal")).alias("kind"), F.coalesce("code", F.lit("not_found")).alias("code"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), F.coalesce("delay_ms", F.lit(0)).cast("long").alias("delay_ms"), F.lit(0).alias("retries"), F.lit(0).alias("redirects"), F.coalesce("sitemaps", F.array().cast("array<string>")).alias("sitemaps"))
+        found = fetched(wanted, narrow, decide)
         known = cut(found if known is None else known.unionByName(found))
         out = cut(known.groupBy("crawl").applyInPandas(fold, schema))
         wanted = out.where("state = 'wanted'").select("crawl", "seed", "url")
         if not wanted.take(1):
             return out
+
+
+def crawl_whole(crawls: DataFrame, site: DataFrame, decide: Callable[[DataFrame], DataFrame], max_depth: int, include: list[str] = ("/**",), exclude: list[str] = ()) -> DataFrame:
+    """Ledgers (crawl, url, depth, state, reason) of ``crawls`` (crawl, seed) that only their depth limits, in no order.
+
+    The arguments are those of crawl_on_demand(), and so are the rows where no other of its limits is met and pages are
+    dispatched one by one. Without a queue to be cut, the first of equal offers need not be known: a level is what the one
+    before offers and no level before holds, so a crawl of any size is joins by crawl and URL and never in one task.
+    """
+    narrow = site.select("url", "links", "kind", "code", "bytes")
+    path = F.regexp_replace("url", r"(?s)^[a-z]+://[^/?#]*([^?#]*).*$", "$1")
+    path = F.when(path == "", "/").otherwise(path)
+    outcome = F.when(~F.col("robots"), "blocked").when(F.col("kind") == "success", "accepted").when(F.col("kind") == "terminal", "blocked").otherwise("failed")
+    code = F.when(~F.col("robots"), "robots_denied").when(F.col("kind") != "success", F.col("code"))
+    offers = crawls.select("crawl", F.col("seed").alias("url"))
+    seen, named, out = crawls.select("crawl", F.col("seed").alias("url")).limit(0), None, None
+    for depth in range(max_depth + 2):
+        why = F.lit("max_depth") if depth > max_depth else scope_reason(path, list(include), list(exclude), F.lit(depth == 0))
+        counted = offers.groupBy("crawl", "url").agg(F.count("*").alias("n")).withColumn("why", why)
+        counted = counted.join(seen.withColumn("old", F.lit(True)), ["crawl", "url"], "left")
+        counted = cut(counted.withColumn("new", F.col("why").isNull() & F.col("old").isNull()))
+        # Offers beyond the first of a URL, each a row, with no long array for many of them.
+        again = counted.withColumn("n", F.col("n") - F.col("new").cast("int")).where("n > 0")
+        again = again.withColumn("left", F.explode(F.expr(f"transform(sequence(0, (n - 1) div {OFFERS}), k -> least({OFFERS}, n - k * {OFFERS}))"))).withColumn("k", F.explode(F.expr("sequence(1, left)")))
+        state, reason = F.when(F.col("why") == "max_depth", "unvisited").otherwise("skipped"), F.coalesce("why", F.lit("duplicate"))
+        rows = again.select("crawl", "url", F.lit(depth).alias("depth"), state.alias("state"), reason.alias("reason"))
+        out = rows if out is None else out.unionByName(rows)
+        level = counted.where("new").select("crawl", "url")
+        if not level.take(1):
+            break
+        seen = cut(seen.unionByName(level))
+        found = cut(fetched(level, narrow, decide))
+        out = out.unionByName(found.select("crawl", "url", F.lit(depth).alias("depth"), outcome.alias("state"), code.alias("reason")))
+        names = found.where("robots").select("crawl", F.explode("sitemaps").alias("url")).distinct()
+        names = cut(names if named is None else names.join(named, ["crawl", "url"], "left_anti"))
+        named = names if named is None else cut(named.unionByName(names))
+        offers = names.unionByName(found.where("robots AND kind = 'success'").select("crawl", F.explode("links").alias("url")))
+    return out

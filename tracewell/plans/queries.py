@@ -691,8 +691,7 @@ def crawl_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = shared.cut(pages.groupBy(F.col("origin").alias("crawl")).agg(F.min("url").alias("seed")))
     text = F.concat(F.lit("User-agent: *\nDisallow:\nSitemap: "), "crawl", F.lit("/sitemap.xml\n"))
     rules = shared.cut(robots.parsed(seeds.select(F.col("crawl").alias("origin"), F.lit(200).alias("status"), text.cast("binary").alias("body")), "tracewell/1.0"))
-    limits = {"pages": 10_000, "depth": 4, "frontier": 10_000, "bytes": 1 << 40, "wall_ms": 1 << 40, "delay_ms": 0, "concurrency": 2, "retries": 1, "redirects": 5}
-    rows = crawl.crawl_on_demand(seeds, site, lambda u: robots.gate(u, rules, sitemaps=True), limits)
+    rows = crawl.crawl_whole(seeds, site, lambda u: robots.gate(u, rules, sitemaps=True), 4)
     return rows.select(F.col("crawl").alias("origin"), "url", "depth", "state", "reason")
 
 
