@@ -2,7 +2,9 @@
 
 A range of length n holds exactly the addresses whose first n bits are its own, so each address is looked up once for
 each length that occurs in the table, by equality. There are 32 lengths of one family and 128 of the other at most,
-whatever the table's size. The table is broadcast up to ``BROADCAST_RANGES`` rows; a larger one is joined by shuffle.
+whatever the table's size. A range within an earlier one is never the first and goes beforehand; of those that stay each
+is earlier than all around it, so the longest that holds an address is the first, and an address meets one at most of a
+length. What stays is broadcast up to ``BROADCAST_RANGES`` rows; more are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -41,12 +43,33 @@ def first_match(addresses: DataFrame, address: str, ranges: DataFrame, order: st
     Equal addresses are looked up once. Addresses that are null or none at all are in no range.
     """
     keep = keep or [c for c in ranges.columns if c not in (order, "prefix", "size")]
-    ranges = cut(ranges.select("prefix", "size", order, *keep))
-    lengths = {family: [r["size"] for r in ranges.where(F.col("prefix").startswith(family)).select("size").distinct().collect()] for family in "46"}
-    distinct = addresses.select(address).distinct().withColumn("__bits", bits(F.col(address))).where("__bits is not null")
-    sizes = F.when(F.col("__bits").startswith("4"), F.array(*map(F.lit, lengths["4"])).cast("array<int>")).otherwise(F.array(*map(F.lit, lengths["6"])).cast("array<int>"))
-    asked = distinct.withColumn("size", F.explode(sizes)).withColumn("prefix", F.expr("substring(__bits, 1, size + 1)")).drop("__bits")
+    ranges = foremost(ranges.select("prefix", "size", order, *keep), order, keep)
+    asked = addresses.select(address).distinct().withColumn("__bits", bits(F.col(address))).where("__bits is not null")
     few = ranges.limit(BROADCAST_RANGES + 1).count() <= BROADCAST_RANGES
-    met = asked.join(F.broadcast(ranges) if few else ranges, ["prefix", "size"])
-    best = met.groupBy(address).agg(F.min_by(F.struct(*keep), order).alias("__best"))
+    table = F.broadcast(ranges) if few else ranges
+    prefix = F.expr("substring(__bits, 1, size + 1)").alias("prefix")
+    asked = asked.withColumn("size", F.explode(lengths_of(ranges, F.col("__bits")))).select(address, "__bits", "size", prefix)
+    # Lengths are numbers, so their greatest is kept without sorting; the columns of its range are joined after.
+    best = asked.join(table.select("prefix", "size"), ["prefix", "size"]).groupBy(address, "__bits").agg(F.max("size").alias("size"))
+    best = best.select(address, "size", prefix).join(table, ["prefix", "size"]).select(address, F.struct(*keep).alias("__best"))
     return addresses.join(best, address, "left").select(*addresses.columns, *[F.col("__best")[c].alias(c) for c in keep])
+
+
+def lengths_of(ranges: DataFrame, found: Column) -> Column:
+    """The lengths that occur in a table of ranges, for the family of some bits."""
+    sizes = [(r["family"], r["size"]) for r in ranges.select(F.substring("prefix", 1, 1).alias("family"), "size").distinct().collect()]
+    of = lambda family: F.array(*[F.lit(s) for f, s in sizes if f == family]).cast("array<int>")
+    return F.when(found.startswith("4"), of("4")).otherwise(of("6"))
+
+
+def foremost(ranges: DataFrame, order: str, keep: list[str]) -> DataFrame:
+    """(prefix, size, order and ``keep``) of the ranges that are first for some address: no equal or wider one is earlier.
+
+    Of an equal order the wider one stands first. A range without an order is none.
+    """
+    first = cut(ranges.where(F.col(order).isNotNull()).groupBy("prefix", "size").agg(F.min(order).alias(order), F.min_by(F.struct(*keep), order).alias("kept")))
+    around = first.select("prefix", "size", F.col(order).alias("own"), F.explode(F.filter(lengths_of(first, F.col("prefix")), lambda n: n < F.col("size"))).alias("wide"))
+    around = around.withColumn("outer", F.expr("substring(prefix, 1, wide + 1)"))
+    wider = first.select(F.col("prefix").alias("outer"), F.col("size").alias("wide"), F.col(order).alias("before"))
+    covered = around.join(wider, ["outer", "wide"]).where("before <= own").select("prefix", "size").distinct()
+    return cut(first.join(covered, ["prefix", "size"], "left_anti").select("prefix", "size", order, *[F.col("kept")[c].alias(c) for c in keep]))
