@@ -807,10 +807,10 @@ s AS (SELECT query, page, CAST(sum(impact) AS BIGINT) AS score FROM q JOIN i USI
 SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, page) AS INTEGER) AS rank, page, score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, page) <= 10
 """)
 def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best pages for the title of every tenth page, by an index whose bounds skip blocks."""
+    """The ten best pages for the title of every tenth page, by an index whose bounds skip most lists."""
     pages = capture.table(spark, sf_dir, "pages")
-    index = search_index.built(pages, formats.html_text(F.col("html")))
-    asked = pages.where("page_id % 10 = 0").select(F.col("page_id").alias("query"), formats.html_title(F.col("html")).alias("text"))
+    asked = shared.cut(pages.where("page_id % 10 = 0").select(F.col("page_id").alias("query"), formats.html_title(F.col("html")).alias("text")))
+    index = search_index.built(pages, formats.html_text(F.col("html")), asked=asked)
     return search_index.best(asked, index, 10)[0]
 
 
