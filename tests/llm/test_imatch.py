@@ -105,3 +105,14 @@ def test_empty_table_and_query(spark, tmp_path):
     frame(spark, corpus(20)).write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.op13_imatch(spark, str(tmp_path))
     assert got.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"] and got.count() == len(corpus(20))
+
+
+def test_every_term_counts(spark):
+    """No term is left out by its hash: each changes the fingerprint, and is counted where a document has few of them."""
+    words = [f"word{k}" for k in range(60)]
+    rows = [(k, " ".join(words[:k] + words[k + 1 :])) for k in range(60)] + [(100, " ".join(words))]
+    rows += [(200 + k, f"only{k} rare{k}") for k in range(2500)]
+    rows += [(101, " ".join(words[:4])), (102, " ".join(words[:4] + ["single"]))]  # four terms of the band, with and without a rarer one
+    got = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprinted(frame(spark, rows)).collect()}
+    assert len({got[k] for k in [*range(60), 100]}) == 61
+    assert got[101] == got[102]
