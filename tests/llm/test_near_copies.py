@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
-from tracewell.llm import simhash
+from tracewell.llm import near_copies, simhash
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -64,3 +67,49 @@ def test_simhash_keeps_one_row_of_each_group(spark):
     rows = [(1, a, "x"), (1, b, "x"), (None, a.upper(), "x"), (None, c, "x"), (None, c.upper(), "x"), (7, a, "x"), (7, a, "x")]
     out = simhash.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(r["doc_id"] or 0 for r in out) == [0, 1, 1] and {a, b} == {r["text"] for r in out if r["doc_id"]}
+
+
+def test_candidates_are_simhash_bands():
+    """A bit of the fingerprint is a majority over the shingles, and the bands are cuts of the fingerprint."""
+    rng = np.random.default_rng(6)
+    for size in (1, 4, 5, 6, 301, 5000):
+        sets = rng.integers(0, 2**64, size, np.uint64)
+        single = [near_copies.fingerprint(sets[k : k + 1], 12).tolist() for k in range(size)]
+        bits = [sum(h[b // 64] >> b % 64 & 1 for h in single) * 2 > size for b in range(64 * 12)]
+        fp = near_copies.fingerprint(sets, 12)
+        assert bits == [bool(int(fp[b // 64]) >> b % 64 & 1) for b in range(64 * 12)]
+        assert near_copies.fingerprint(sets, 9).tolist() == fp[:9].tolist()
+        for width in (8, 11):
+            want = [(k << 32) + sum(bits[k * width + b] << b for b in range(width)) for k in range(64 * 12 // width)]
+            assert near_copies.band_keys(fp, width).tolist() == want
+
+
+@pytest.mark.parametrize("pairs", [1, 300, 1 << 16])
+def test_near_groups_are_components(monkeypatch, pairs):
+    monkeypatch.setattr(near_copies, "PAIRS", pairs)
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 2, 30, 90):
+        fps = rng.integers(0, 2**64, (max(1, n // 3), near_copies.CHECKED), np.uint64)[rng.integers(0, max(1, n // 3), n)]
+        for fp in fps:
+            for bit in rng.integers(0, 64 * near_copies.CHECKED, rng.integers(0, 100)).tolist():
+                fp[bit // 64] ^= np.uint64(1 << bit % 64)
+        parent = list(range(n))
+        for i in range(n):
+            for j in range(i):
+                if sum((int(a) ^ int(b)).bit_count() for a, b in zip(fps[i], fps[j], strict=True)) <= near_copies.RADIUS:
+                    parent = [parent[j] if x == parent[i] else x for x in parent]
+        want = sorted(m for root in set(parent) if len(m := [i for i in range(n) if parent[i] == root]) > 1)
+        assert sorted(sorted(g.tolist()) for g in near_copies.near_groups(fps)) == want
+
+
+@pytest.mark.parametrize(("bits", "members"), [(8, 2000), (11, 1)])
+def test_stage_finds_the_least_similar_pairs(spark, monkeypatch, bits, members):
+    """Pairs of exactly 0.8, of few shingles (where bits agree least) and of many, by narrow bands or wider ones, groups joined or not."""
+    monkeypatch.setattr(near_copies, "LEAST_BITS", bits)
+    monkeypatch.setattr(near_copies, "JOINED", members)
+    rnd, rows = random.Random(9), []
+    for n in range(300):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range([9, 19, 54, 404][n % 4])]
+        rows += [(2 * n, " ".join(words), "x"), (2 * n + 1, " ".join(words[: 4 + (len(words) - 4) * 4 // 5]), "x")]
+    out = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(0, 600, 2))
