@@ -113,3 +113,36 @@ def test_stage_finds_the_least_similar_pairs(spark, monkeypatch, bits, members):
         rows += [(2 * n, " ".join(words), "x"), (2 * n + 1, " ".join(words[: 4 + (len(words) - 4) * 4 // 5]), "x")]
     out = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted(r["doc_id"] for r in out) == list(range(0, 600, 2))
+
+
+def test_texts_that_share_a_passage_make_no_large_group(spark):
+    """Unlike texts around one long passage are within the radius of the first words, and no longer within that of all."""
+    rnd = random.Random(10)
+    passage = " ".join(f"p{k}" for k in range(200))
+    texts = [f"{passage} " + " ".join(f"w{rnd.randrange(10**6)}" for _ in range(200)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bits = near_copies.band_bits(60)
+    entries = near_copies.marked(near_copies.keyed(docs, "doc_id"), bits).cache()
+    groups = near_copies.grouped(entries, bits).cache()
+    assert groups.count() > 100
+    assert near_copies.regrouped(groups, entries, bits).count() == 0
+    assert near_copies.deduplicate(docs).count() == 60
+
+
+@pytest.mark.parametrize("entries", [2, 60])
+def test_large_groups_meet_pair_by_pair(spark, monkeypatch, entries):
+    """Groups of more than JOINED members: every two that shared a bucket share one still, and members are not moved by band if that is more."""
+    monkeypatch.setattr(near_copies, "JOINED", 20)
+    rnd, seen, rows = random.Random(11), set(), []
+    for n in range(3 * entries):
+        members = rnd.sample(range(50), 30) if n % 3 else rnd.sample(range(100, 115), 9)
+        rows += [(v, min(members), n) for v in members]
+        seen |= {(a, b) for a in members for b in members if a < b}
+    out = near_copies.joined(spark.createDataFrame(rows, "v long, least long, bucket long")).collect()
+    met, sizes = {}, {}
+    for r in out:
+        met.setdefault(r["bucket"], set()).add(r["v"])
+        sizes[r["v"]] = sizes.get(r["v"], 0) + 1
+    assert all(any({a, b} <= m for m in met.values()) for a, b in seen)
+    assert all(sizes[v] == 1 for v in sizes if v >= 100) and max(sizes.values()) <= 4
+    assert len(out) == len({(r["v"], r["bucket"]) for r in out})

@@ -3,11 +3,14 @@
 import collections
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import plain
+from tracewell.llm import bpe, common, near_copies
+from tracewell.llm.queries import tokenizer
 
 
 @pytest.fixture(scope="module")
@@ -82,3 +85,32 @@ def test_stages_on_empty_tables_and_null_ids(spark, folder):
         assert stage(spark, docs.limit(0), folder).count() == 0, name
         nameless = spark.createDataFrame((out := stage(spark, nameless, folder)).collect(), out.schema)
     assert nameless.where("doc_id is null").count() > 50
+
+
+@pytest.mark.parametrize(("asked", "most"), [("10000", 2000), ("0", 2000), ("300", 300)])
+def test_python_stages_take_small_batches(spark, monkeypatch, asked, most):
+    """A worker and its JVM hold at most BATCH_ROWS documents a batch, fewer where the session asks for fewer."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    before = spark.conf.get(corpus_pipeline.BATCH_SETTING)
+    monkeypatch.setattr(near_copies, "deduplicate", lambda docs: docs.mapInArrow(run, "n bigint"))
+    try:
+        spark.conf.set(corpus_pipeline.BATCH_SETTING, asked)
+        sizes = [r["n"] for r in corpus_pipeline.near_dedup_stage(spark, spark.range(5000).coalesce(1), "").collect()]
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH_SETTING, before)
+    assert sum(sizes) == 5000 and max(sizes) == most
+
+
+def test_other_operators_find_no_words_of_the_tokenizer():
+    """What a worker remembers of packing goes before another operator's task begins, pre-tokens too."""
+    path = tokenizer("word_bpe_49k.json")
+    known, cache = bpe.load(path), bpe.id_cache(path)
+    cache.get_all([["several", "words", "here"]])
+    assert len(known.index) > 1 and cache.known
+    common.forget_words()
+    assert len(known.index) == 1 and not cache.known and len(known.store) == 0
+    assert cache.get_all([["several"]])["several"] == known.encode_chunks(["several"])[0]

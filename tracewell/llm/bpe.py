@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tracewell.llm.common import WordCache, bounded, text_slices
+from tracewell.llm.common import WORD_CACHES, WordCache, bounded, text_slices
 
 #: Words of more bytes than this take their rounds alone.
 LONG_BYTES = 256
@@ -258,8 +258,9 @@ class Bpe:
 
 @functools.cache
 def load(path: str) -> Bpe:
-    """One vocabulary per worker process."""
-    return Bpe(path)
+    """One vocabulary per worker process; its memory of pre-tokens goes with the caches of words."""
+    WORD_CACHES.append(bpe := Bpe(path))
+    return bpe
 
 
 @functools.cache
